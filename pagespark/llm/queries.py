@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, markup, skeleton
+from . import lines, markup, repetition, shape, skeleton
 from .common import NON_TEXT, PROSE, melt_fields, table, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(blocks).select("id", "field").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values of which at least half repeats what they have said; the labelled lines pick them, the exact share confirms."""
+    blocks = table(spark, d, "blocks", "id", "category", "text_b", "arbiter_text", "arbiter_raw").where(textual())
+    shares = repetition.measure(blocks)
+    return shares.where((F.col("labelled_share") >= 0.2) & (F.col("exact_share") >= 0.5)).select("id", "field").distinct()
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are as a whole list, table or junk."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    rows = shape.quality(docs, shape.common_words(docs))
+    return rows.where(F.col("shape") != "prose").select("doc_id", "shape").distinct()
+
+
 def _codes(spark: SparkSession, d: str) -> list[str]:
     """The reference list of designations: a small fixed table, checked to be one."""
     rows = table(spark, d, "grades", "code").limit(100_001).collect()
@@ -41,7 +55,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
