@@ -16,6 +16,7 @@ documents are labelled whole; the common-word list may be empty.
 from __future__ import annotations
 
 import re
+import textwrap
 from collections import Counter
 from functools import lru_cache
 
@@ -36,11 +37,13 @@ _DIGIT = re.compile(r"\d")
 _CELL = re.compile(r"\t| {2,}|\s*[;|]\s*(?=\S)|,(?=\S)")
 #: A two-byte character read as two single ones: a lead byte followed by a continuation byte or its stand-in.
 _BYTE_PAIR = re.compile("[\u00c2-\u00df\u00e0-\u00ef][\u0080-\u00bf]")
+#: A sentence that ends inside the line, or a clause mark.
+_INNER = re.compile(r"[.!?] +[^\W\d_]|[^\W\d_], [^\W\d_]")
 _CELL_HINT = re.compile(r"[\t;|,]|  ")
 #: Words shorter than this say nothing about whether a line's words are known.
 KNOWN_LETTERS = 4
 #: Columns of ``line_stats``.
-STATS = ("letters", "digits", "known", "long_words", "words", "numbers", "cells", "tokens", "mark", "leader", "tail", "chars", "pairs", "spaces", "ends")
+STATS = ("letters", "digits", "known", "long_words", "words", "numbers", "cells", "tokens", "mark", "leader", "tail", "chars", "pairs", "spaces", "ends", "lower", "inner")
 
 
 def line_stats(line: str, common: frozenset[str] | None) -> tuple[float, ...]:
@@ -56,6 +59,7 @@ def line_stats(line: str, common: frozenset[str] | None) -> tuple[float, ...]:
         len(_CELL.findall(line.strip())) if _CELL_HINT.search(line) else 0, len(tokens), _MARK.match(line) is not None,
         ("..." in line or ". ." in line or "…" in line or "___" in line) and _LEADER.search(line) is not None, _TAIL_NUM.search(tail) is not None,
         len(line), 0 if line.isascii() else len(_BYTE_PAIR.findall(line)), line.count(" "), tokens[-1][-1] in _END if tokens else False,
+        tokens[0][0].islower() if tokens else False, _INNER.search(line) is not None,
     )
 
 
@@ -72,14 +76,15 @@ def bins(m: np.ndarray) -> np.ndarray:
         [
             rate(c["letters"] / n, [0.3, 0.55]), rate(c["digits"] / n, [0.05, 0.3]), known, rate(c["words"], [2, 6]),
             rate(c["numbers"], [2, 4]), rate(c["cells"], [2, 4]), rate(c["cells"] / (c["tokens"] + 1), [0.34]),
-            c["mark"] + 2 * c["leader"], c["tail"], rate(c["pairs"] / n, [0.1]), rate(c["spaces"] / n, [0.03, 0.35]), rate(n, [48]),
+            c["mark"] + 2 * c["leader"], c["tail"], rate(c["pairs"] / n, [0.1]), rate(c["spaces"] / n, [0.03, 0.35]), rate(n, [48, 100]),
             rate(c["chars"] / np.maximum(c["tokens"], 1), [3.4, 14]),
+            c["lower"], c["inner"], c["ends"],
         ]
     ).astype(np.int64)
 
 
 #: Number of categories of each emission table.
-SIZES = (3, 3, 4, 3, 3, 3, 2, 4, 2, 2, 3, 2, 3)
+SIZES = (3, 3, 4, 3, 3, 3, 2, 4, 2, 2, 3, 3, 3, 2, 2, 2)
 
 
 def _made_up(rng: np.random.Generator) -> list[tuple[str, list[str]]]:
@@ -90,14 +95,21 @@ def _made_up(rng: np.random.Generator) -> list[tuple[str, list[str]]]:
     def num() -> str:
         return str(rng.integers(1, 999)) + ("," + str(rng.integers(0, 99)) if rng.random() < 0.5 else "")
 
+    def misread() -> str:
+        """A Cyrillic sentence whose bytes were taken for single characters."""
+        text = " ".join("".join(rng.choice(list("абвгдеиклмнопрст"), rng.integers(2, 10))) for _ in range(rng.integers(6, 12))) + ", 17 " + str(rng.choice([".", ""]))
+        return re.sub("[\x80-\x9f]", "·", text.encode().decode("latin-1"))
+
     out = []
     for _ in range(60):
-        out.append(("prose", [" ".join(word() for _ in range(rng.integers(5, 14))) + str(rng.choice([".", "", ",", " 17."])) for _ in range(rng.integers(3, 14))]))
+        text = " ".join((" ".join(word() for _ in range(rng.integers(5, 14))).capitalize() + str(rng.choice([".", ", " + word() + ".", " 17."]))) for _ in range(rng.integers(3, 14)))
+        out.append(("prose", [text] if rng.random() < 0.3 else textwrap.wrap(text, int(rng.integers(45, 80)))))
         style = rng.integers(0, 5)
         long = 9 if style < 4 else 5
         rows = []
         for i in range(int(rng.integers(4, 30))):
             item = " ".join(word() for _ in range(rng.integers(1, long)))
+            item = item.capitalize() if rng.random() < 0.8 else item
             rows.append([f"{i}. {item}", f"• {item}", f"1.{i} {item} {'.' * int(rng.integers(4, 20))} {i}", f"{item}, {i}, {i + 3}", f"{item}"][style])
         out.append(("list", rows))
         sep = str(rng.choice([";", "    ", "\t", " | ", "  "]))
@@ -106,7 +118,7 @@ def _made_up(rng: np.random.Generator) -> list[tuple[str, list[str]]]:
         soup = list("&*_^\\{-@[;<!}.=|<~'/>#§°¦") + list("abIl1")
         kind = rng.integers(0, 6)
         alnum = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
-        rows = [["".join(rng.choice(soup, 70)), "".join(rng.choice(alnum, 72)), " ".join(rng.choice(list("abcdefg12345:;.,"), 40)), " ".join("".join(rng.choice(["Ð¾", "Ñ·", "Ð½", "Ð°", "Ð²"], 6)) for _ in range(8)), " ".join("".join(rng.choice(list("0123456789abcdef"), 2)) for _ in range(16)), " ".join("".join(rng.choice(list("bcdfghjklmnp"), rng.integers(2, 11))) for _ in range(10))][kind] for _ in range(rng.integers(2, 14))]
+        rows = [["".join(rng.choice(soup, 70)), "".join(rng.choice(alnum, 72)), " ".join(rng.choice(list("abcdefg12345:;.,"), 40)), misread(), " ".join("".join(rng.choice(list("0123456789abcdef"), 2)) for _ in range(16)), " ".join("".join(rng.choice(list("bcdfghjklmnp"), rng.integers(2, 11))) for _ in range(10))][kind] for _ in range(rng.integers(2, 14))]
         out.append(("junk", rows))
     return out
 
@@ -119,7 +131,7 @@ def default_model(seed: int = 11, stay: float = 3.0) -> LinearChain:
     counts = np.full((len(KINDS), sum(SIZES)), 1.0)
     offs = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
     for kind, rows in docs:
-        words = None if kind != "junk" else frozenset()
+        words = frozenset() if kind == "junk" and not any(_BYTE_PAIR.search(r) for r in rows) else None
         for b in bins(np.array([line_stats(r, words) for r in rows], float)):
             counts[KINDS.index(kind), offs + b] += 1
     for o, n in zip(offs, SIZES):
