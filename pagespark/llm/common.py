@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -46,6 +47,17 @@ def melt_fields(df: DataFrame, key: str, fields: Sequence[str], extra: Sequence[
     return out.select(key, *extra, "_s.field", "_s.value")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the frame to the cluster's shared checkpoint folder and read it from there; survives lost executors.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagespark-"))
+    return df.checkpoint(eager=True)
+
+
 def memo(fn: Callable[[str], object], limit: int = 50_000) -> Callable[[str], object]:
     """Remember results by text; the store is emptied when it holds ``limit`` texts."""
     store: dict[str, object] = {}

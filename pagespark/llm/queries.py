@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, markup, repetition, shape, skeleton
-from .common import NON_TEXT, PROSE, melt_fields, table, textual
+from . import lines, markup, repetition, scans, shape, skeleton
+from .common import PROSE, cut_lineage, in_category, table, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return shares.where((F.col("labelled_share") >= 0.2) & (F.col("exact_share") >= 0.5)).select("id", "field").distinct()
 
 
+SCAN_FIELDS = ("text_a", "text_b", "final")
+
+
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Confirmed damage of the prose values: (id, field, kind, item, fix)."""
+    blocks = table(spark, d, "blocks", "id", F.col("book").alias("source"), "page", "category", *SCAN_FIELDS)
+    prose = blocks.where(in_category(PROSE))
+    words = cut_lineage(scans.word_table(prose, SCAN_FIELDS))
+    bad, good = scans.judge_words(words)
+    bad, good = cut_lineage(bad), cut_lineage(good)
+    ev = cut_lineage(scans.evidence(prose, scans.known_words(good), SCAN_FIELDS))
+    running = scans.running_lines(blocks.withColumn("text", F.col("final")))
+    return scans.confirm(ev, words, bad, good, running)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values with damage from scanning and page layout."""
+    return p5_evidence(spark, d).select("id", "field").distinct()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are as a whole list, table or junk."""
     docs = table(spark, d, "documents", "doc_id", "text")
@@ -55,7 +75,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
