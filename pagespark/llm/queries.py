@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, markup, repetition, scans, shape, skeleton
+from . import languages, lines, markup, repetition, scans, shape, skeleton
 from .common import PROSE, cut_lineage, in_category, table, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_evidence(spark, d).select("id", "field").distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Wrong labels of books and documents, and passages in another language."""
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    books = table(spark, d, "books", "name", "lang")
+    blocks = table(spark, d, "blocks", "id", "book", "category", "final", "text_a").where(in_category(PROSE) & F.col("book").isNotNull())
+    logp = languages.fit(docs)
+    junk = shape.quality(docs, shape.common_words(docs)).where(F.col("shape") == "junk").select("doc_id")
+    doc_rows = cut_lineage(languages.language_rows(docs.select("doc_id", "text"), logp, "doc_id").join(junk, "doc_id", "left_anti"))
+    block_rows = cut_lineage(languages.language_rows(blocks.select("id", "book", F.coalesce("final", "text_a").alias("text")).dropDuplicates(["id"]), logp, "id", extra=("book",)))
+    doc_main = languages.main_of(doc_rows, "doc_id")
+    book_main = languages.main_of(block_rows, "book")
+    label, segment = F.lit("label").alias("issue"), F.lit("segment").alias("issue")
+    parts = [
+        languages.wrong_labels(docs, doc_main, "doc_id").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("item"), label, "lang"),
+        languages.wrong_labels(books.withColumnRenamed("name", "book"), book_main, "book").select(F.lit("books").alias("src"), F.col("book").alias("item"), label, "lang"),
+        languages.foreign_passages(doc_rows, doc_main, "doc_id").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("item"), segment, "lang"),
+        languages.foreign_passages(block_rows, book_main, "book").select(F.lit("blocks").alias("src"), F.col("id").cast("string").alias("item"), segment, "lang"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are as a whole list, table or junk."""
     docs = table(spark, d, "documents", "doc_id", "text")
@@ -75,7 +99,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
