@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, lines, markup, repetition, scans, shape, skeleton
+from . import languages, lines, markup, repetition, scans, shape, skeleton, split
 from .common import PROSE, cut_lineage, in_category, table, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(blocks).select("id", "field").distinct()
 
 
+def _limits(spark: SparkSession, d: str) -> list[tuple[str, int, int | None]]:
+    """The limits per category: a small fixed table, checked to be one."""
+    rows = table(spark, d, "split_limits", "category", "max_chars", "overlap_chars").limit(1_001).collect()
+    if len(rows) > 1_000:
+        raise ValueError("the table of limits is meant to be small")
+    return [(r.category, r.max_chars, r.overlap_chars) for r in rows if r.category is not None and r.max_chars is not None]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that had to be cut."""
+    blocks = table(spark, d, "blocks", "id", "category", "final")
+    return split.oversized(split.split_items(blocks, _limits(spark, d)))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Values of which at least half repeats what they have said; the labelled lines pick them, the exact share confirms."""
     blocks = table(spark, d, "blocks", "id", "category", "text_b", "arbiter_text", "arbiter_raw").where(textual())
@@ -99,8 +113,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": "SELECT DISTINCT b.id FROM blocks b JOIN split_limits l ON b.category = l.category WHERE length(b.final) > l.max_chars",
+    }

@@ -34,7 +34,7 @@ _LEADER = re.compile(r"(?:\.{3,}|(?: \.){3,}|…{2,}|_{3,})\s*\d*\s*$")
 _TAIL_NUM = re.compile(r"[\s,;]\(?[\dIVXLC]{1,5}(?:[–-]\d+)?\)?[.;,]?\s*$")
 _NUMBER = re.compile(r"(?<!\w)[-+−]?\d+(?:[.,]\d+)*%?(?!\w)")
 _DIGIT = re.compile(r"\d")
-_CELL = re.compile(r"\t| {2,}|\s*[;|]\s*(?=\S)|,(?=\S)")
+_CELL = re.compile(r"\t| {2,}|\s*[;|]\s*(?=\S)|(?<=[^\d\s]),(?=\S)|,(?=[^\W\d])")
 #: A two-byte character read as two single ones: a lead byte followed by a continuation byte or its stand-in.
 _BYTE_PAIR = re.compile("[\u00c2-\u00df\u00e0-\u00ef][\u0080-\u00bf]")
 #: A sentence that ends inside the line, or a clause mark.
@@ -75,16 +75,16 @@ def bins(m: np.ndarray) -> np.ndarray:
     return np.column_stack(
         [
             rate(c["letters"] / n, [0.3, 0.55]), rate(c["digits"] / n, [0.05, 0.3]), known, rate(c["words"], [2, 6]),
-            rate(c["numbers"], [2, 4]), rate(c["cells"], [2, 4]), rate(c["cells"] / (c["tokens"] + 1), [0.34]),
+            rate(c["numbers"] / (c["tokens"] + 1), [0.15, 0.4]), rate(c["cells"], [2, 4]), rate(c["cells"] / (c["tokens"] + 1), [0.34]),
             c["mark"] + 2 * c["leader"], c["tail"], rate(c["pairs"] / n, [0.1]), rate(c["spaces"] / n, [0.03, 0.35]), rate(n, [48, 100]),
             rate(c["chars"] / np.maximum(c["tokens"], 1), [3.4, 14]),
-            c["lower"], c["inner"], c["ends"],
+            c["lower"], c["inner"], c["ends"], rate((n - c["letters"] - c["digits"] - c["spaces"]) / n, [0.15, 0.6]),
         ]
     ).astype(np.int64)
 
 
 #: Number of categories of each emission table.
-SIZES = (3, 3, 4, 3, 3, 3, 2, 4, 2, 2, 3, 3, 3, 2, 2, 2)
+SIZES = (3, 3, 4, 3, 3, 3, 2, 4, 2, 2, 3, 3, 3, 2, 2, 2, 3)
 
 
 def _made_up(rng: np.random.Generator) -> list[tuple[str, list[str]]]:
@@ -102,7 +102,7 @@ def _made_up(rng: np.random.Generator) -> list[tuple[str, list[str]]]:
 
     out = []
     for _ in range(60):
-        text = " ".join((" ".join(word() for _ in range(rng.integers(5, 14))).capitalize() + str(rng.choice([".", ", " + word() + ".", " 17."]))) for _ in range(rng.integers(3, 14)))
+        text = " ".join((" ".join(word() for _ in range(rng.integers(5, 14))).capitalize() + str(rng.choice([".", ", " + word() + ".", " 17.", f" {num()} kg {word()} {num()} mm, {word()} — {num()}."]))) for _ in range(rng.integers(3, 14)))
         out.append(("prose", [text] if rng.random() < 0.3 else textwrap.wrap(text, int(rng.integers(45, 80)))))
         style = rng.integers(0, 5)
         long = 9 if style < 4 else 5
@@ -113,12 +113,12 @@ def _made_up(rng: np.random.Generator) -> list[tuple[str, list[str]]]:
             rows.append([f"{i}. {item}", f"• {item}", f"1.{i} {item} {'.' * int(rng.integers(4, 20))} {i}", f"{item}, {i}, {i + 3}", f"{item}"][style])
         out.append(("list", rows))
         sep = str(rng.choice([";", "    ", "\t", " | ", "  "]))
-        width = int(rng.integers(3, 8))
-        out.append(("table", [sep.join([word() + " " + word()] * width)] + [sep.join([word() if rng.random() < 0.4 else num()] + [num() if rng.random() < 0.93 else "—" for _ in range(width - 1)]) for _ in range(rng.integers(3, 20))]))
+        width = int(rng.choice([3, 3, 4, 4, 5, 6, 7]))
+        out.append(("table", [sep.join([word() + " " + word()] * width)] + [sep.join([f"{word()} {word()}" if rng.random() < 0.6 else num()] + [num() if rng.random() < 0.93 else "—" for _ in range(width - 1)]) for _ in range(rng.integers(3, 20))]))
         soup = list("&*_^\\{-@[;<!}.=|<~'/>#§°¦") + list("abIl1")
         kind = rng.integers(0, 6)
         alnum = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/")
-        rows = [["".join(rng.choice(soup, 70)), "".join(rng.choice(alnum, 72)), " ".join(rng.choice(list("abcdefg12345:;.,"), 40)), misread(), " ".join("".join(rng.choice(list("0123456789abcdef"), 2)) for _ in range(16)), " ".join("".join(rng.choice(list("bcdfghjklmnp"), rng.integers(2, 11))) for _ in range(10))][kind] for _ in range(rng.integers(2, 14))]
+        rows = [["".join(rng.choice(soup + [" ", ";", "|", ":", ","] * int(rng.integers(0, 3)), 70)), "".join(rng.choice(alnum, 72)), " ".join(rng.choice(list("abcdefg12345:;.,"), 40)), misread(), " ".join("".join(rng.choice(list("0123456789abcdef"), 2)) for _ in range(16)), " ".join("".join(rng.choice(list("bcdfghjklmnp"), rng.integers(2, 11))) for _ in range(10))][kind] for _ in range(rng.integers(2, 14))]
         out.append(("junk", rows))
     return out
 
@@ -128,7 +128,7 @@ def default_model(seed: int = 11, stay: float = 3.0) -> LinearChain:
     """Hidden Markov model: emission log-probabilities by counting, transitions that favour staying."""
     docs = _made_up(np.random.default_rng(seed))
     model = LinearChain(len(KINDS), sum(SIZES))
-    counts = np.full((len(KINDS), sum(SIZES)), 1.0)
+    counts = np.full((len(KINDS), sum(SIZES)), 0.2)
     offs = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
     for kind, rows in docs:
         words = frozenset() if kind == "junk" and not any(_BYTE_PAIR.search(r) for r in rows) else None
