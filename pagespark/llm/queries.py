@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, lines, markup, repetition, scans, shape, skeleton, split
+from . import languages, lines, markup, mixing, packing, repetition, scans, shape, skeleton, split, tokens
 from .common import PROSE, cut_lineage, in_category, table, textual
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,32 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return out.distinct()
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, cut only where it exceeds a container, with its container of 2,048 tokens."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return packing.fill(tokens.count_tokens(docs, "doc_id"))
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens in them and the share of unused space."""
+    return packing.usage(p8_containers(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents", "doc_id", "source", "text")
+    return mixing.mixture(tokens.count_tokens(docs, "doc_id", extra=("source",)), table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the largest mixture with the target weights, and how often each is used."""
+    return _mixture(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mixture(spark, d)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are as a whole list, table or junk."""
     docs = table(spark, d, "documents", "doc_id", "text")
@@ -113,7 +139,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
