@@ -54,13 +54,26 @@ _JOINED_RE = re.compile(f"[{JOINED}]")
 #: Quick test: anything outside this needs the slower rules.
 _ODD_RE = re.compile(f"[{INVISIBLE}{ODD_SPACE}{JOINED}{ACCENT}]")
 _CYR, _LAT, _GRK = "\u0400-\u052f", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff", "\u0370-\u03ff\u1f00-\u1fff"
+_NON_LATIN_RE = re.compile(f"[{_CYR}{_GRK}]")
+_LATIN_RE = re.compile("[A-Za-z]")
 _WORD_RE = re.compile(f"[{_CYR}{_LAT}{_GRK}]+")
 #: A word with letters of two alphabets side by side.
 _MIX_RE = re.compile(f"[{_CYR}](?=[{_LAT}{_GRK}])|[{_LAT}](?=[{_CYR}{_GRK}])|[{_GRK}](?=[{_CYR}{_LAT}])")
 _TOKEN_RE = re.compile(f"[0-9{_CYR}{_LAT}{_GRK}]+")
+#: Designations have a digit beside a letter.
+_CODE_RE = re.compile(f"[{_CYR}{_LAT}{_GRK}](?=[0-9])|[0-9](?=[{_CYR}{_LAT}{_GRK}])")
 _CYR_RE, _LAT_RE, _GRK_RE = re.compile(f"[{_CYR}]"), re.compile(f"[{_LAT}]"), re.compile(f"[{_GRK}]")
 
 
+def mixed(text: str) -> bool:
+    """Has the text a word of two alphabets?  The two quick tests settle most texts."""
+    if text.isascii() or not _NON_LATIN_RE.search(text):
+        return False
+    if not _LATIN_RE.search(text) and not _GRK_RE.search(text):
+        return False
+    return _MIX_RE.search(text) is not None
+
+
 def skeleton(text: str) -> str:
     """Decompose, map to prototypes, decompose again; invisible characters vanish."""
     d = unicodedata.normalize("NFKD", _INVIS_RE.sub("", text)).translate(PROTO)
@@ -127,10 +140,10 @@ class Canonicaliser:
             if composed != out:
                 faults.append("accent")
                 out = composed
-        mixed = coded = False
+        mixed_word = coded = False
 
         def fix(m: re.Match) -> str:
-            nonlocal mixed, coded
+            nonlocal coded
             tok = m[0]
             hit = self.designation(tok)
             if hit is not None:
@@ -140,19 +153,19 @@ class Canonicaliser:
                 return tok
 
             def word(w: re.Match) -> str:
-                nonlocal mixed
+                nonlocal mixed_word
                 if not _MIX_RE.search(w[0]):
                     return w[0]
-                mixed = True
+                mixed_word = True
                 return _one_alphabet(w[0], cyr)
 
             return _WORD_RE.sub(word, tok)
 
-        if not out.isascii() or self.by_key:
+        if mixed(out) or (self.by_key and _CODE_RE.search(out)):
             n_cyr = len(_CYR_RE.findall(out))
             cyr = n_cyr * 2 >= len(_LAT_RE.findall(out)) and n_cyr > 0
             out = _TOKEN_RE.sub(fix, out)
-        if mixed:
+        if mixed_word:
             faults.append("alphabet")
         if coded:
             faults.append("designation")
