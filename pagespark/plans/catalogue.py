@@ -1,17 +1,678 @@
-"""Queries over the reference pipeline's operators, by name, with their SQL."""
+"""Queries over the page and block store and the star schema, by name, with the SQL that says the same."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions import tables, text
+from ..operators import consensus, evaluate, events, geometry, layout, tablediff, vocabulary
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+# Common table expressions of the SQL side: one row per block and per page.
+B = "b AS (SELECT DISTINCT ON (id) * FROM blocks ORDER BY id)"
+P = (
+    "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book, name ORDER BY (layout_status = 'done') DESC, layout_seconds DESC NULLS LAST, "
+    "printed DESC NULLS LAST, idx DESC NULLS LAST, height DESC NULLS LAST) AS rn FROM pages) WHERE rn = 1)"
+)
+TXT = "coalesce(final, text_a)"
+
+
+def _txt():
+    return F.coalesce("final", "text_a").alias("txt")
+
+
+def _blocks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    need = {"final", "text_a", *cols}
+    return schemas.block_rows(spark, d, *sorted(need)).select("id", *cols, _txt())
+
+
+@query(
+    "decision_counts",
+    f"WITH {B} SELECT kind, decision, count(*) AS blocks, round(avg(cer_ab), 6) AS mean_cer FROM b GROUP BY kind, decision",
+)
+def decision_counts(spark, d):
+    """Blocks and mean draft distance by kind and decision."""
+    b = schemas.block_rows(spark, d, "kind", "decision", "cer_ab")
+    return b.groupBy("kind", "decision").agg(F.count("*").alias("blocks"), F.round(F.avg("cer_ab"), 6).alias("mean_cer"))
+
+
+@query("consensus_decisions")
+def consensus_decisions(spark, d):
+    """Both drafts compared in canonical form: decision and distance of every block."""
+    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b")
+    out = consensus.decide(consensus.prepare(b))
+    return out.select("id", "kind", "decision", F.round("cer_ab", 6).alias("cer_ab"), "final_source")
+
+
+TAUS = [0.0, 0.005, 0.01, 0.02, 0.05]
+
+
+@query(
+    "threshold_sweep",
+    f"""WITH {B}, g AS (SELECT unnest([0.0, 0.005, 0.01, 0.02, 0.05]::DOUBLE[]) AS tau)
+    SELECT kind, tau, count(*) AS blocks, count(*) FILTER (WHERE cer_ab > tau) AS arbiter, round(count(*) FILTER (WHERE cer_ab > tau) / count(*), 4) AS share
+    FROM b CROSS JOIN g WHERE cer_ab IS NOT NULL AND kind IS NOT NULL GROUP BY kind, tau""",
+)
+def threshold_sweep(spark, d):
+    """Share of blocks over each distance threshold, from the stored distances: one pass for the whole grid."""
+    b = schemas.block_rows(spark, d, "kind", "cer_ab").where("cer_ab is not null and kind is not null")
+    rows = b.select("kind", "cer_ab", F.explode(F.array(*[F.lit(t) for t in TAUS])).alias("tau"))
+    over = F.count_if(F.col("cer_ab") > F.col("tau"))
+    return rows.groupBy("kind", "tau").agg(F.count("*").alias("blocks"), over.alias("arbiter"), F.round(over / F.count("*"), 4).alias("share"))
+
+
+@query("replayed_sweep")
+def replayed_sweep(spark, d):
+    """The same from the drafts themselves: canonical forms once, every threshold decided from them."""
+    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b")
+    return consensus.sweep(consensus.prepare(b), TAUS, ["kind"])
+
+
+@query(
+    "digit_agreement",
+    f"""WITH {B} SELECT kind, count(*) AS blocks, count(*) FILTER (WHERE list_sort(regexp_extract_all(text_a, '[0-9]+(?:[.,][0-9]+)?')) = list_sort(regexp_extract_all(text_b, '[0-9]+(?:[.,][0-9]+)?'))) AS same
+    FROM b WHERE text_a IS NOT NULL AND text_b IS NOT NULL GROUP BY kind""",
+)
+def digit_agreement(spark, d):
+    """In how many blocks do both drafts hold the same numbers, each as often?"""
+    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b").where("text_a is not null and text_b is not null")
+    n = lambda c: F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
+    return b.groupBy("kind").agg(F.count("*").alias("blocks"), F.count_if(text.same_multiset(n(F.col("text_a")), n(F.col("text_b")))).alias("same"))
+
+
+@query(
+    "language_vote",
+    f"""WITH {B}, {P}, first AS (SELECT book, name FROM (SELECT book, name, row_number() OVER (PARTITION BY book ORDER BY idx, name) AS r FROM p) WHERE r <= 10),
+    t AS (SELECT b.book, regexp_replace(b.text_a, '\\$\\$[^$]+\\$\\$|\\$[^$\\n]+\\$', ' ', 'g') AS s FROM b JOIN first f ON b.book = f.book AND b.page = f.name
+      WHERE b.category IN ('Text','Title','Section-header','List-item','Caption') AND b.text_a IS NOT NULL),
+    w AS (SELECT book, len(regexp_extract_all(s, '[А-Яа-яЁёІіЇїЄє]')) AS cyr, len(regexp_extract_all(s, '[A-Za-zÄÖÜäöüß]')) AS lat,
+      len(regexp_extract_all(s, '[äöüßÄÖÜ]')) + len(list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x IN ('der','die','das','und','nicht','mit','wird','ist','ein','eine'))) AS de,
+      len(list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x IN ('the','and','of','is','with','for','which','are','this'))) AS en FROM t),
+    v AS (SELECT book, sum(cyr)::BIGINT AS cyr, sum(lat)::BIGINT AS lat, sum(de)::BIGINT AS de, sum(en)::BIGINT AS en FROM w GROUP BY book)
+    SELECT *, CASE WHEN cyr >= lat THEN 'ru' WHEN de > en THEN 'de' WHEN en > de THEN 'en' ELSE 'ru' END AS lang FROM v""",
+)
+def language_vote(spark, d):
+    """Language of every book from the text blocks of its first ten pages."""
+    pages = schemas.page_rows(spark, d)
+    r = F.row_number().over(Window.partitionBy("book").orderBy("idx", "name"))
+    first = pages.select("book", F.col("name").alias("page"), r.alias("r")).where("r <= 10").drop("r")
+    b = schemas.block_rows(spark, d, "book", "page", "category", "text_a").where("category in ('Text','Title','Section-header','List-item','Caption') and text_a is not null")
+    plain = F.regexp_replace("text_a", r"\$\$[^$]+\$\$|\$[^$\n]+\$", " ")
+    tokens = F.regexp_extract_all(F.lower(plain), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    among = lambda words: F.size(F.filter(tokens, lambda w: w.isin(*words)))
+    german = [w for w in text.GERMAN.split("|") if w != "für"]
+    counted = b.join(first, ["book", "page"]).select(
+        "book", text.count_matches(plain, "[А-Яа-яЁёІіЇїЄє]").alias("cyr"), text.count_matches(plain, "[A-Za-zÄÖÜäöüß]").alias("lat"),
+        (text.count_matches(plain, "[äöüßÄÖÜ]") + among(german)).alias("de"), among(text.ENGLISH.split("|")).alias("en"),
+    )
+    v = counted.groupBy("book").agg(*[F.sum(c).alias(c) for c in ("cyr", "lat", "de", "en")])
+    return v.withColumn("lang", text.vote(*[F.col(c) for c in ("cyr", "lat", "de", "en")]))
+
+
+SIG_SQL = f"trim(regexp_replace(regexp_replace(lower({TXT}), '[0-9]+', '', 'g'), '\\s+', ' ', 'g'))"
+BAND_SQL = "bbox IS NOT NULL AND (bbox.y2 <= 0.08 * height OR bbox.y1 >= 0.92 * height)"
+
+
+def _sig():
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower("txt"), "[0-9]+", ""), r"\s+", " "))
+
+
+def _placed(spark, d):
+    b = _blocks(spark, d, "book", "page", "ord", "category", "bbox", "parent")
+    return layout.with_pages(b, schemas.page_rows(spark, d)).withColumn("sig", _sig())
+
+
+@query(
+    "running_signatures",
+    f"""WITH {B}, {P}, j AS (SELECT b.*, p.height, {SIG_SQL} AS sig FROM b JOIN p ON b.book = p.book AND b.page = p.name),
+    r AS (SELECT book, page, sig, floor((bbox.y1 + bbox.y2) / 2) AS mid, height FROM j WHERE category IN ('Text','Section-header','Title') AND {BAND_SQL} AND length(sig) BETWEEN 4 AND 80)
+    SELECT book, sig, count(DISTINCT page) AS pages FROM r GROUP BY book, sig
+    HAVING count(DISTINCT page) >= 3 AND greatest(max(mid) - avg(mid), avg(mid) - min(mid)) <= 0.03 * max(height)""",
+)
+def running_signatures(spark, d):
+    """Body lines in the edge bands that return at one height."""
+    return layout.repeated_signatures(_placed(spark, d))
+
+
+@query("header_actions")
+def header_actions(spark, d):
+    """Blocks to drop as running lines or numbers, and captions taken for headers."""
+    b = _placed(spark, d)
+    return layout.header_blocks(b, layout.repeated_signatures(b))
+
+
+@query(
+    "page_number_chain",
+    f"""WITH {P}, pos AS (SELECT book, name, idx, try_cast(printed AS INTEGER) AS num, row_number() OVER (PARTITION BY book ORDER BY idx, name) AS pos FROM p),
+    c AS (SELECT *, lag(pos) OVER o AS lp, lag(num) OVER o AS ln, lead(pos) OVER o AS np, lead(num) OVER o AS nn FROM pos WHERE num IS NOT NULL WINDOW o AS (PARTITION BY book ORDER BY pos)),
+    ok AS (SELECT * FROM c WHERE coalesce(abs(lp - pos) <= 3 AND ln - num = lp - pos, false) OR coalesce(abs(np - pos) <= 3 AND nn - num = np - pos, false)),
+    f AS (SELECT book, pos, num AS kept FROM (SELECT *, row_number() OVER (PARTITION BY book, num ORDER BY pos) AS rn FROM ok) WHERE rn = 1),
+    j AS (SELECT pos.*, f.kept, CASE WHEN f.kept IS NOT NULL THEN pos.pos END AS kp FROM pos LEFT JOIN f ON pos.book = f.book AND pos.pos = f.pos),
+    s AS (SELECT *, last_value(kept IGNORE NULLS) OVER b AS pk, last_value(kp IGNORE NULLS) OVER b AS pp, first_value(kept IGNORE NULLS) OVER a AS nk, first_value(kp IGNORE NULLS) OVER a AS np FROM j
+      WINDOW b AS (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY book ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    SELECT book, name, idx, num, CAST(coalesce(kept, CASE WHEN nk - pk = np - pp THEN pk + pos - pp END) AS VARCHAR) AS printed FROM s""",
+)
+def page_number_chain(spark, d):
+    """Printed page numbers that their neighbours bear out, gaps filled."""
+    pages = schemas.page_rows(spark, d).select("book", "name", "idx", F.expr("try_cast(printed as int)").alias("num"))
+    return layout.number_chain(pages)
+
+
+@query("number_candidates")
+def number_candidates(spark, d):
+    """Best printed-number candidate among the blocks of every page."""
+    return layout.number_candidates(_blocks(spark, d, "book", "page").where("txt is not null"))
+
+
+@query(
+    "page_stitches",
+    f"""WITH {B}, {P}, t AS (SELECT id, book, page, ord, category, {TXT} AS txt FROM b WHERE parent IS NULL AND {TXT} IS NOT NULL AND category NOT IN ('Page-header','Page-footer')),
+    pos AS (SELECT book, name AS page, row_number() OVER (PARTITION BY book ORDER BY idx, name) AS pos FROM p),
+    f AS (SELECT book, page, id, category, txt FROM (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY ord, id) AS r FROM t) WHERE r = 1),
+    l AS (SELECT book, page, id, category, txt FROM (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY ord DESC, id DESC) AS r FROM t WHERE category <> 'Footnote') WHERE r = 1),
+    e AS (SELECT f.book, f.page, f.id, f.category, f.txt, l.id AS lid, l.category AS lcat, l.txt AS ltxt, pos.pos FROM f JOIN pos ON f.book = pos.book AND f.page = pos.page LEFT JOIN l ON f.book = l.book AND f.page = l.page),
+    w AS (SELECT *, lag(lid) OVER o AS pid, lag(lcat) OVER o AS pcat, lag(ltxt) OVER o AS ptxt, pos - lag(pos) OVER o AS gap FROM e WINDOW o AS (PARTITION BY book ORDER BY pos))
+    SELECT book, page, id, pid AS join_to, CASE WHEN regexp_matches(ptxt, '\\p{{L}}-\\s*$') THEN concat(regexp_extract(ptxt, '(\\p{{L}}+)-\\s*$', 1), regexp_extract(ltrim(txt), '^(\\p{{Ll}}+)', 1)) END AS hyphen
+    FROM w WHERE gap = 1 AND pcat = 'Text' AND category = 'Text' AND regexp_matches(ltrim(txt), '^\\p{{Ll}}') AND NOT regexp_matches(ptxt, '[.!?…:;][)»”"'']* *$') AND NOT regexp_matches(ltrim(txt), '^[а-яa-z]\\)')""",
+)
+def page_stitches(spark, d):
+    """Paragraphs that go on over the end of a page."""
+    b = _blocks(spark, d, "book", "page", "ord", "category", "parent").where("parent is null and txt is not null and category not in ('Page-header','Page-footer')")
+    return layout.stitches(b, schemas.page_rows(spark, d))
+
+
+@query("table_continuations")
+def table_continuations(spark, d):
+    """Tables announced as the continuation of another."""
+    return layout.continuations(_blocks(spark, d, "book", "page", "ord", "category", "parent").where("parent is null"))
+
+
+@query(
+    "book_contents",
+    f"""WITH {B}, h AS (SELECT book, page, ord, id, regexp_replace(trim({TXT}), '\\s+', ' ', 'g') AS title FROM b WHERE category IN ('Title','Section-header') AND trim({TXT}) <> ''),
+    s AS (SELECT *, regexp_replace(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s-]', '', 'g')), '\\s+', '-', 'g') AS slug FROM h)
+    SELECT *, row_number() OVER (PARTITION BY book, slug ORDER BY page, ord, id) AS nth FROM s""",
+)
+def book_contents(spark, d):
+    """Headings of every book with anchor names."""
+    rows = layout.contents(_blocks(spark, d, "book", "page", "ord", "category"))
+    slug = F.regexp_replace(F.trim(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{M}\p{N}\p{Pc}\s-]", "")), r"\s+", "-")
+    return rows.select("book", "page", "ord", "id", "title", slug.alias("slug")).withColumn("nth", F.row_number().over(Window.partitionBy("book", "slug").orderBy("page", "ord", "id")))
+
+
+@query(
+    "page_markdown",
+    f"""WITH {B}, {P}, t AS (SELECT b.book, b.page, p.idx, ord, id, category, trim({TXT}, ' ') AS s FROM b JOIN p ON b.book = p.book AND b.page = p.name
+      WHERE category NOT IN ('Page-header','Page-footer','Picture') AND parent IS NULL AND trim({TXT}, ' ') <> '')
+    SELECT book, page, idx, string_agg(CASE category WHEN 'Title' THEN '# ' || s WHEN 'Section-header' THEN '## ' || s WHEN 'List-item' THEN '- ' || s WHEN 'Caption' THEN '*' || s || '*'
+      WHEN 'Formula' THEN CASE WHEN starts_with(s, '$$') THEN s ELSE '$$' || s || '$$' END ELSE s END, chr(10) || chr(10) ORDER BY ord, id) AS markdown FROM t GROUP BY book, page, idx""",
+)
+def page_markdown(spark, d):
+    """Every page as Markdown in reading order."""
+    return layout.assemble(_blocks(spark, d, "book", "page", "ord", "category", "parent"), schemas.page_rows(spark, d))
+
+
+@query(
+    "footnote_numbers",
+    f"""WITH {B}, t AS (SELECT id, book, page, ord, regexp_extract({TXT}, '^\\s*(\\*{{1,3}}|[¹²³⁴⁵⁶⁷⁸⁹]+|[0-9]{{1,2}}\\))', 1) AS mark FROM b WHERE category = 'Footnote')
+    SELECT id, book, page, mark, row_number() OVER (PARTITION BY book ORDER BY page, ord, id) AS number FROM t WHERE mark <> ''""",
+)
+def footnote_numbers(spark, d):
+    """Footnotes with their mark and running number."""
+    return layout.footnotes(_blocks(spark, d, "book", "page", "ord", "category"))
+
+
+@query("roman_chapters")
+def roman_chapters(spark, d):
+    """Books that number their chapters in Roman numerals."""
+    return layout.roman_books(_blocks(spark, d, "book"))
+
+
+WORDS_SQL = (
+    "list_filter(regexp_extract_all(regexp_replace(regexp_replace({t}, '<[^<>]*>|\\$[^$]*\\$', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+(?:-[ \\t]*\\r?\\n?[ \\t]*[\\p{{L}}\\p{{N}}_]+)+', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '\\p{{L}}+'))"
+)
+
+
+@query(
+    "vocabulary",
+    f"WITH {B}, w AS (SELECT book, lower(unnest({WORDS_SQL.format(t=TXT)})) AS word FROM b WHERE {TXT} IS NOT NULL) SELECT book, word, count(*) AS n FROM w GROUP BY book, word",
+)
+def book_vocabulary(spark, d):
+    """Whole words of every book."""
+    return vocabulary.vocabulary(_blocks(spark, d, "book"))
+
+
+@query(
+    "frequent_words",
+    f"""WITH {B}, w AS (SELECT book, lower(unnest({WORDS_SQL.format(t=TXT)})) AS word FROM b WHERE {TXT} IS NOT NULL), c AS (SELECT book, word, count(*) AS n FROM w GROUP BY book, word),
+    r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, word) AS rank FROM c) SELECT * FROM r WHERE rank <= 10""",
+)
+def frequent_words(spark, d):
+    """The ten most frequent words of every book (a report)."""
+    return vocabulary.repeated_top(vocabulary.vocabulary(_blocks(spark, d, "book")))
+
+
+@query(
+    "unknown_words",
+    f"""WITH {B}, w AS (SELECT book, lower(unnest({WORDS_SQL.format(t=TXT)})) AS word FROM b WHERE {TXT} IS NOT NULL), c AS (SELECT book, word, count(*) AS n FROM w GROUP BY book, word),
+    dict AS (SELECT DISTINCT lower(unnest({WORDS_SQL.format(t='text')})) AS word FROM documents WHERE text IS NOT NULL)
+    SELECT word, sum(n)::BIGINT AS n, count(*) AS books FROM c WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM dict) GROUP BY word ORDER BY n DESC, word LIMIT 30""",
+)
+def unknown_words(spark, d):
+    """The thirty most frequent words that the document corpus lacks (a report)."""
+    docs = schemas.scan(spark, d, "documents", F.col("text").alias("txt")).where("txt is not null")
+    dictionary = docs.select(F.explode(vocabulary.whole_words(F.col("txt"))).alias("word")).distinct()
+    return vocabulary.unknown_words(vocabulary.vocabulary(_blocks(spark, d, "book")), dictionary)
+
+
+@query("line_break_joins")
+def line_break_joins(spark, d):
+    """Words broken by a hyphen that the same book has whole."""
+    b = _blocks(spark, d, "book")
+    return vocabulary.line_breaks(b, vocabulary.vocabulary(b), vocabulary.compounds(b))
+
+
+@query(
+    "looping_drafts",
+    f"""WITH {B}, t AS (SELECT id, right(text_b, 600) AS t FROM b WHERE length(text_b) >= 600)
+    SELECT id FROM t WHERE len(list_filter(range(1, 201), lambda k: substr(t, CAST(k + 1 AS BIGINT), CAST(600 - k AS BIGINT)) = substr(t, 1, CAST(600 - k AS BIGINT)))) > 0""",
+)
+def looping_drafts(spark, d):
+    """Drafts whose end is one fragment over and over."""
+    b = schemas.block_rows(spark, d, "text_b").where("length(text_b) >= 600")
+    return b.where(text.looping(F.col("text_b"))).select("id")
+
+
+@query(
+    "plain_text_sizes",
+    f"""WITH {B}, t AS (SELECT category, regexp_replace(regexp_replace({TXT}, '(?i)<br\\b[^>]*>', ' ', 'g'), '(?i)</?(?:{text.INLINE_TAGS})\\b[^>]*>', '', 'g') AS s FROM b WHERE {TXT} IS NOT NULL)
+    SELECT category, count(*) AS blocks, sum(length(s))::BIGINT AS chars, max(length(s)) AS longest FROM t GROUP BY category""",
+)
+def plain_text_sizes(spark, d):
+    """Characters without inline markup, by category."""
+    s = text.strip_tags(F.col("txt"))
+    b = _blocks(spark, d, "category").where("txt is not null").select("category", F.length(s).alias("n"))
+    return b.groupBy("category").agg(F.count("*").alias("blocks"), F.sum("n").alias("chars"), F.max("n").alias("longest"))
+
+
+@query(
+    "html_table_sizes",
+    f"""WITH {B} SELECT id, len(regexp_extract_all({TXT}, '(?i)<tr[ >]')) AS n_rows, len(regexp_extract_all({TXT}, '(?i)<t[dh][ >]')) AS n_cells FROM b WHERE category = 'Table' AND regexp_matches({TXT}, '(?i)<table')""",
+)
+def html_table_sizes(spark, d):
+    """Rows and cells of every table, from the parsed cells."""
+    b = _blocks(spark, d, "category").where((F.col("category") == "Table") & F.col("txt").rlike("(?i)<table"))
+    t = b.select("id", tables.parse_table("txt").alias("t"))
+    return t.select("id", F.size("t").alias("n_rows"), F.size(F.flatten("t")).alias("n_cells"))
+
+
+@query("table_findings")
+def table_findings(spark, d):
+    """Columns, single-value rows, invented dashes and footnote rows of every table."""
+    b = _blocks(spark, d, "category").where((F.col("category") == "Table") & F.col("txt").rlike("(?i)<table"))
+    t = b.select("id", tables.parse_table("txt").alias("t")).where("size(t) > 0")
+    c = F.col("t")
+    return t.select("id", tables.width(c).alias("columns"), F.size(tables.single_values(c)).alias("single_values"), F.size(tables.invented_dashes(c)).alias("dash_rows"), tables.footnote_rows(c).alias("note"))
+
+
+@query("table_likeness")
+def table_likeness(spark, d):
+    """Tree likeness of the two drafts of every table, with and without the cell texts."""
+    b = schemas.block_rows(spark, d, "category", "text_a", "text_b").where("category = 'Table' and text_a is not null and text_b is not null")
+    return b.select("id", F.round(tables.teds("text_b", "text_a"), 6).alias("teds"), F.round(tables.teds_structure("text_b", "text_a"), 6).alias("teds_structure"))
+
+
+@query("foreign_draft_lines")
+def foreign_draft_lines(spark, d):
+    """Lines of a draft that belong to another block of the page."""
+    return consensus.foreign_lines(schemas.block_rows(spark, d, "book", "page", "kind", "parent", "text_a", "text_b"))
+
+
+@query("judged_answers")
+def judged_answers(spark, d):
+    """Every stored answer judged against its drafts."""
+    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b", "arbiter_text", "arbiter_error", "arbiter_status").where("arbiter_status in ('done','rejected','failed')")
+    j = consensus.judge(b.withColumnRenamed("arbiter_text", "answer").withColumnRenamed("arbiter_error", "error"))
+    return j.select("id", "verdict.status", "verdict.source", F.round("verdict.cer", 6).alias("cer"), "verdict.note")
+
+
+@query("fix_reasons")
+def fix_reasons(spark, d):
+    """Rule by which each journalled correction would be refused."""
+    f = schemas.scan(spark, d, "fixes", "id", "was", "now").dropDuplicates(["id"]).where("was is not null and now is not null")
+    return f.select("id", "was", "now", consensus.fix_reason(F.col("was"), F.col("now")).alias("reason"))
+
+
+@query(
+    "fix_journal",
+    "WITH f AS (SELECT DISTINCT ON (id) * FROM fixes ORDER BY id) SELECT book, count(*) FILTER (WHERE state = 'applied') AS applied, count(*) FILTER (WHERE state = 'reverted') AS reverted, "
+    "count(*) FILTER (WHERE state = 'not_found') AS not_found, count(*) FILTER (WHERE state = 'applied' AND suggested) AS suggested FROM f GROUP BY book",
+)
+def fix_journal(spark, d):
+    """States of the corrections of every book."""
+    f = schemas.scan(spark, d, "fixes", "id", "book", "state", "suggested").dropDuplicates(["id"])
+    n = lambda c: F.count_if(c)
+    s = F.col("state")
+    return f.groupBy("book").agg(n(s == "applied").alias("applied"), n(s == "reverted").alias("reverted"), n(s == "not_found").alias("not_found"), n((s == "applied") & F.col("suggested")).alias("suggested"))
+
+
+@query(
+    "refused_pairs",
+    "WITH f AS (SELECT DISTINCT ON (id) * FROM fixes ORDER BY id), d AS (SELECT DISTINCT was, now FROM f WHERE state = 'reverted') SELECT f.id, f.was, f.now FROM f JOIN d ON f.was = d.was AND f.now = d.now WHERE f.state = 'applied'",
+)
+def refused_pairs(spark, d):
+    """Applied corrections whose pair was reverted elsewhere."""
+    f = schemas.scan(spark, d, "fixes", "id", "was", "now", "state").dropDuplicates(["id"])
+    return consensus.denied(f.where("state = 'applied'"), f.where("state = 'reverted'")).select("id", "was", "now")
+
+
+@query(
+    "fixes_in_text",
+    f"""WITH {B}, f AS (SELECT DISTINCT ON (id) * FROM fixes ORDER BY id) SELECT f.id, f.state, contains({TXT}, f.now) AS has_now, contains({TXT}, f.was) AS has_was
+    FROM f JOIN b ON f.block = b.id WHERE f.was <> '' AND f.now <> ''""",
+)
+def fixes_in_text(spark, d):
+    """Does the block still hold what a correction replaced, or what it put in?"""
+    f = schemas.scan(spark, d, "fixes", "id", "block", "was", "now", "state").dropDuplicates(["id"]).where("was <> '' and now <> ''")
+    b = _blocks(spark, d).withColumnRenamed("id", "block")
+    return f.join(b, "block").select("id", "state", F.col("txt").contains(F.col("now")).alias("has_now"), F.col("txt").contains(F.col("was")).alias("has_was"))
+
+
+@query(
+    "run_statistics",
+    f"""WITH {B} SELECT book, count(*) AS blocks, count(DISTINCT page) AS pages, count(*) FILTER (WHERE decision IN ('accept','arbiter')) AS decided, count(*) FILTER (WHERE decision = 'arbiter') AS arbitrated,
+    round(CASE WHEN count(*) FILTER (WHERE decision IN ('accept','arbiter')) > 0 THEN count(*) FILTER (WHERE decision = 'arbiter') / count(*) FILTER (WHERE decision IN ('accept','arbiter')) ELSE 0.0 END, 4) AS arbitrated_share,
+    count(*) FILTER (WHERE arbiter_status = 'rejected') AS rejected, count(*) FILTER (WHERE arbiter_status = 'failed') AS failed, count(*) FILTER (WHERE text_b IS NULL AND drafts_status = 'done') AS lost_drafts,
+    coalesce(sum(len(arbiter_fixes)), 0)::BIGINT AS fixes, round(avg(cer_ab), 6) AS mean_cer FROM b GROUP BY book""",
+)
+def run_statistics(spark, d):
+    """Quality figures of every book."""
+    return evaluate.run_statistics(schemas.block_rows(spark, d, "book", "page", "decision", "arbiter_status", "text_b", "drafts_status", "arbiter_fixes", "cer_ab"))
+
+
+@query(
+    "category_scores",
+    f"""WITH {B} SELECT category, final_source, round(avg(cer_ab), 6) AS cer, round(avg(b_seconds), 6) AS seconds, count(*) AS rows FROM b WHERE kind IS NOT NULL GROUP BY category, final_source""",
+)
+def category_scores(spark, d):
+    """Means per category and source of the final text, NULLs left out."""
+    b = schemas.block_rows(spark, d, "kind", "category", "final_source", F.col("cer_ab").alias("cer"), F.col("b_seconds").alias("seconds")).where("kind is not null")
+    return evaluate.averages(b, ["category", "final_source"], ["cer", "seconds"])
+
+
+@query(
+    "best_book",
+    f"""WITH {B}, s AS (SELECT category, book, round(count(*) FILTER (WHERE decision = 'accept') / count(*), 6) AS up, round(avg(cer_ab), 6) AS down FROM b WHERE kind IS NOT NULL GROUP BY category, book),
+    r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY coalesce(up, 0) DESC, coalesce(down, 1) ASC, book) AS rn FROM s) SELECT category, book AS best FROM r WHERE rn = 1""",
+)
+def best_book(spark, d):
+    """Per category the book with the largest share of accepted drafts, then the smallest distance."""
+    b = schemas.block_rows(spark, d, "kind", "category", "book", "decision", "cer_ab").where("kind is not null")
+    s = b.groupBy("category", "book").agg(F.round(F.count_if(F.col("decision") == "accept") / F.count("*"), 6).alias("up"), F.round(F.avg("cer_ab"), 6).alias("down"))
+    return evaluate.best(s, "category", "book", "up", "down")
+
+
+@query("number_scores")
+def number_scores(spark, d):
+    """Numbers of draft B against those of the final text: precision, recall and F1 of every block."""
+    b = schemas.block_rows(spark, d, "text_b", "final").where("final is not null")
+    return evaluate.number_scores(b.select("id", F.coalesce("text_b", F.lit("")).alias("txt")), b.select("id", F.col("final").alias("txt")), "id")
+
+
+@query("draft_errors")
+def draft_errors(spark, d):
+    """Character and word error of draft B against the final text, by category."""
+    b = schemas.block_rows(spark, d, "category", "text_b", "final").where("final is not null and category <> 'Table' and category <> 'Page'")
+    p, g = text.normal(F.coalesce("text_b", F.lit(""))), text.normal(F.col("final"))
+    s = b.select("category", p.alias("p"), g.alias("g")).select("category", text.gold_distance(F.col("p"), F.col("g")).alias("cer"), evaluate.word_error("p", "g").alias("wer"))
+    return evaluate.averages(s, ["category"], ["cer", "wer"])
+
+
+@query(
+    "masked_boxes",
+    f"""WITH {B}, t AS (SELECT id, book, page, bbox FROM b WHERE category IN ('Text','List-item','Footnote') AND bbox IS NOT NULL AND bbox.x2 >= bbox.x1 AND bbox.y2 >= bbox.y1), o AS (SELECT id, book, page, bbox FROM b WHERE category IN ('Table','Picture') AND bbox IS NOT NULL AND bbox.x2 >= bbox.x1 AND bbox.y2 >= bbox.y1),
+    x AS (SELECT t.id, o.id AS other, greatest(0, least(t.bbox.x2, o.bbox.x2) - greatest(t.bbox.x1, o.bbox.x1))::DOUBLE * greatest(0, least(t.bbox.y2, o.bbox.y2) - greatest(t.bbox.y1, o.bbox.y1)) / ((o.bbox.x2 - o.bbox.x1)::DOUBLE * (o.bbox.y2 - o.bbox.y1)) AS s
+      FROM t JOIN o ON t.book = o.book AND t.page = o.page) SELECT id, other, round(s, 4) AS share FROM x WHERE s >= 0.5""",
+)
+def masked_boxes(spark, d):
+    """Tables and pictures inside a text block."""
+    return geometry.masked(schemas.block_rows(spark, d, "book", "page", "category", "bbox"))
+
+
+@query(
+    "boxes_in_tables",
+    f"""WITH {B}, t AS (SELECT id, book, page, bbox FROM b WHERE category = 'Table' AND bbox IS NOT NULL AND bbox.x2 >= bbox.x1 AND bbox.y2 >= bbox.y1) SELECT b.id, t.id AS inside FROM b JOIN t ON b.book = t.book AND b.page = t.page AND b.id <> t.id
+    WHERE b.bbox IS NOT NULL AND b.bbox.x2 >= b.bbox.x1 AND b.bbox.y2 >= b.bbox.y1 AND (b.bbox.x1 + b.bbox.x2) / 2.0 BETWEEN t.bbox.x1 AND t.bbox.x2 AND (b.bbox.y1 + b.bbox.y2) / 2.0 BETWEEN t.bbox.y1 AND t.bbox.y2""",
+)
+def boxes_in_tables(spark, d):
+    """Blocks whose centre lies in a table of their page."""
+    b = schemas.block_rows(spark, d, "book", "page", "category", "bbox")
+    return geometry.centres_inside(b, b.where("category = 'Table'"))
+
+
+@query(
+    "box_overlaps",
+    f"""WITH {B}, t AS (SELECT id, book, page, bbox FROM b WHERE bbox IS NOT NULL AND bbox.x2 >= bbox.x1 AND bbox.y2 >= bbox.y1),
+    x AS (SELECT l.id AS l, r.id AS r, greatest(0, least(l.bbox.x2, r.bbox.x2) - greatest(l.bbox.x1, r.bbox.x1))::DOUBLE * greatest(0, least(l.bbox.y2, r.bbox.y2) - greatest(l.bbox.y1, r.bbox.y1)) AS i,
+      (l.bbox.x2 - l.bbox.x1)::DOUBLE * (l.bbox.y2 - l.bbox.y1) + (r.bbox.x2 - r.bbox.x1)::DOUBLE * (r.bbox.y2 - r.bbox.y1) AS a FROM t l JOIN t r ON l.book = r.book AND l.page = r.page AND l.id < r.id)
+    SELECT l, r, round(i / (a - i), 6) AS iou FROM x WHERE i > 0""",
+)
+def box_overlaps(spark, d):
+    """Pairs of boxes of a page that overlap."""
+    b = schemas.block_rows(spark, d, "book", "page", "bbox")
+    p = geometry.page_pairs(b, b).where("l.id < r.id")
+    v = geometry.iou(F.col("l.bbox"), F.col("r.bbox"))
+    return p.select(F.col("l.id").alias("l"), F.col("r.id").alias("r"), F.round(v, 6).alias("iou")).where("iou > 0")
+
+
+@query("box_matches")
+def box_matches(spark, d):
+    """Greedy one-to-one matching of overlapping boxes of a page."""
+    b = schemas.block_rows(spark, d, "book", "page", "bbox")
+    p = geometry.page_pairs(b, b).where("l.id < r.id")
+    scored = p.select("book", "page", F.col("l.id").alias("l"), F.col("r.id").alias("r"), geometry.iou(F.col("l.bbox"), F.col("r.bbox")).alias("score"))
+    return geometry.greedy(scored, ["book", "page"], 0.05)
+
+
+@query("reading_order")
+def reading_order(spark, d):
+    """Place of every box in the reading order of its page."""
+    return geometry.reading_order(schemas.block_rows(spark, d, "book", "page", "bbox"))
+
+
+E_SQL = "e AS (SELECT DISTINCT ON (id) id, ts, book, lower(trim(level)) AS level, message FROM library_events ORDER BY id)"
+
+
+def _events(spark, d):
+    return events.cleaned(schemas.scan(spark, d, "library_events", "id", "ts", "book", "level", "message"))
+
+
+@query("event_levels", f"WITH {E_SQL} SELECT book, level, count(*) AS n, min(ts) AS first, max(ts) AS last FROM e GROUP BY book, level")
+def event_levels(spark, d):
+    return _events(spark, d).groupBy("book", "level").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query(
+    "late_events",
+    f"""WITH {E_SQL}, s AS (SELECT *, max(ts) OVER (PARTITION BY book ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM e WHERE book IS NOT NULL)
+    SELECT id, book, CAST(epoch(seen) AS BIGINT) - CAST(epoch(ts) AS BIGINT) AS behind_s FROM s WHERE CAST(epoch(seen) AS BIGINT) - CAST(epoch(ts) AS BIGINT) > 3600""",
+)
+def late_events(spark, d):
+    """Events that arrived more than an hour behind their book."""
+    return events.late(_events(spark, d)).select("id", "book", "behind_s")
+
+
+@query("daily_events", f"WITH {E_SQL} SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, level, count(*) AS n FROM e WHERE ts IS NOT NULL GROUP BY 1, 2")
+def daily_events(spark, d):
+    return events.tumbling(_events(spark, d), "1 day")
+
+
+@query(
+    "event_sessions",
+    f"""WITH {E_SQL}, g AS (SELECT *, CAST(epoch(ts) AS BIGINT) - CAST(epoch(lag(ts) OVER (PARTITION BY book ORDER BY ts, id)) AS BIGINT) AS gap FROM e WHERE book IS NOT NULL),
+    n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY ts, id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g)
+    SELECT book, session, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM n GROUP BY book, session""",
+)
+def event_sessions(spark, d):
+    """Runs of a book's events with no gap over a day."""
+    return events.sessions(_events(spark, d), 86_400, "book", ["id"])
+
+
+@query(
+    "error_streaks",
+    f"""WITH {E_SQL}, x AS (SELECT book, id, coalesce(level = 'error', false) AS bad FROM e WHERE book IS NOT NULL), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY id ROWS UNBOUNDED PRECEDING) AS g FROM x)
+    SELECT book, min(id) AS start, count(*) AS n FROM i WHERE bad GROUP BY book, g HAVING count(*) >= 2""",
+)
+def error_streaks(spark, d):
+    """Errors of a book in a row."""
+    return events.streaks(_events(spark, d), "book", F.coalesce(F.col("level") == "error", F.lit(False)), 2, ["id"])
+
+
+@query(
+    "rolling_events",
+    f"""WITH {E_SQL} SELECT id, book, count(*) OVER (PARTITION BY book ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM e WHERE book IS NOT NULL AND ts IS NOT NULL""",
+)
+def rolling_events(spark, d):
+    """Events of the book in the day before each event."""
+    return events.rolling(_events(spark, d).where("ts is not null"), "book", 86_400).select("id", "book", "n")
+
+
+@query("event_tail", f"WITH {E_SQL} SELECT id, book, level, message FROM e ORDER BY id DESC LIMIT 15")
+def event_tail(spark, d):
+    """The last fifteen events (a report)."""
+    return events.tail(_events(spark, d), 15).select("id", "book", "level", "message")
+
+
+@query(
+    "pages_without_blocks",
+    f"WITH {P} SELECT p.book, p.name AS page FROM p WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.book = p.book AND b.page = p.name)",
+)
+def pages_without_blocks(spark, d):
+    """Pages still to be read."""
+    pages = schemas.page_rows(spark, d).select("book", F.col("name").alias("page"))
+    return tablediff.wanted(pages, schemas.scan(spark, d, "blocks", "book", "page"), ["book", "page"])
+
+
+@query(
+    "page_versions",
+    """WITH k AS (SELECT book, name, count(*) AS versions, max(layout_seconds) AS hi, min(layout_seconds) AS lo FROM pages GROUP BY book, name) SELECT book, name, versions, hi IS DISTINCT FROM lo AS differs FROM k WHERE versions > 1""",
+)
+def page_versions(spark, d):
+    """Pages delivered in several versions."""
+    k = schemas.scan(spark, d, "pages", "book", "name", "layout_seconds").groupBy("book", "name").agg(F.count("*").alias("versions"), F.max("layout_seconds").alias("hi"), F.min("layout_seconds").alias("lo"))
+    return k.where("versions > 1").select("book", "name", "versions", (~F.col("hi").eqNullSafe(F.col("lo"))).alias("differs"))
+
+
+@query(
+    "page_sync",
+    f"""WITH {P}, o AS (SELECT book, name, width, height FROM p), n AS (SELECT DISTINCT book, page AS name FROM blocks)
+    SELECT coalesce(o.book, n.book) AS book, coalesce(o.name, n.name) AS name, CASE WHEN o.book IS NULL THEN 'added' ELSE 'removed' END AS change FROM o FULL JOIN n ON o.book = n.book AND o.name = n.name WHERE o.book IS NULL OR n.book IS NULL""",
+)
+def page_sync(spark, d):
+    """Pages known to one of the page table and the block table only."""
+    old = schemas.page_rows(spark, d).select("book", "name", F.lit(1).alias("x"))
+    new = schemas.scan(spark, d, "blocks", "book", F.col("page").alias("name")).distinct().withColumn("x", F.lit(1))
+    return tablediff.sync(old, new, ["book", "name"], ["x"])
+
+
+@query(
+    "book_progress",
+    f"""WITH {B} SELECT book, count(*) AS total, count(*) FILTER (WHERE consensus_status <> 'pending') AS done, median(b_seconds) AS median_s FROM b GROUP BY book HAVING count(b_seconds) >= 3""",
+)
+def book_progress(spark, d):
+    """Compared blocks and median seconds per draft, where at least three were timed."""
+    b = schemas.block_rows(spark, d, "book", "consensus_status", "b_seconds")
+    g = b.groupBy("book").agg(F.count("*").alias("total"), F.count_if(F.col("consensus_status") != "pending").alias("done"), F.median("b_seconds").alias("median_s"), F.count("b_seconds").alias("timed"))
+    return g.where("timed >= 3").drop("timed")
+
+
+@query(
+    "book_titles",
+    r"""WITH t AS (SELECT DISTINCT name, regexp_extract(name, '(?:^|[_ -])((?:18|19|20)[0-9]{2})$', 1) AS y FROM books),
+    r AS (SELECT name, y, CASE WHEN y <> '' THEN regexp_replace(name, '[_ -]?(?:18|19|20)[0-9]{2}$', '') ELSE name END AS rest FROM t)
+    SELECT name, replace(CASE WHEN contains(rest, '_') THEN regexp_replace(rest, '^[^_]*_', '') ELSE rest END, '_', ' ') AS title, CASE WHEN contains(rest, '_') THEN split_part(rest, '_', 1) END AS author, CASE WHEN y <> '' THEN CAST(y AS INTEGER) END AS year FROM r""",
+)
+def book_titles(spark, d):
+    """Title, author and year from the file name."""
+    b = schemas.scan(spark, d, "books", "name").distinct().withColumn("s", text.stem_parts(F.col("name")))
+    return b.select("name", "s.title", "s.author", "s.year")
+
+
+@query("order_status_sets", "SELECT o_orderstatus, o_orderpriority FROM orders EXCEPT ALL SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def order_status_sets(spark, d):
+    """Repeats of status and priority beyond the first."""
+    o = schemas.scan(spark, d, "orders", "o_orderstatus", "o_orderpriority")
+    return tablediff.multiset_difference(o, o.distinct())
+
+
+@query(
+    "pricing_summary",
+    """SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, round(CAST(sum(l_extendedprice * (1 - l_discount)) AS DOUBLE), 2) AS sum_disc_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
+)
+def pricing_summary(spark, d):
+    li = schemas.scan(spark, d, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    return li.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")).groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").cast("double").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double"), 2).alias("sum_disc_price"),
+        F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("count_order"),
+    )
+
+
+@query(
+    "nation_revenue",
+    """SELECT n.n_name, round(CAST(sum(l.l_extendedprice * (1 - l.l_discount)) AS DOUBLE), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+    JOIN supplier s ON l.l_suppkey = s.s_suppkey AND s.s_nationkey = c.c_nationkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name""",
+)
+def nation_revenue(spark, d):
+    li = schemas.scan(spark, d, "lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
+    o, c = schemas.scan(spark, d, "orders", "o_orderkey", "o_custkey"), schemas.scan(spark, d, "customer", "c_custkey", "c_nationkey")
+    s, n = schemas.scan(spark, d, "supplier", "s_suppkey", "s_nationkey"), schemas.scan(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = schemas.scan(spark, d, "region", "r_regionkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, (li.l_suppkey == s.s_suppkey) & (s.s_nationkey == c.c_nationkey))
+    j = j.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double"), 2).alias("revenue"))
+
+
+@query(
+    "top_orders_per_segment",
+    """SELECT c_mktsegment, o_orderkey, o_totalprice, rank FROM (SELECT c.c_mktsegment, o.o_orderkey, CAST(o.o_totalprice AS DOUBLE) AS o_totalprice, row_number() OVER (PARTITION BY c.c_mktsegment ORDER BY o.o_totalprice DESC, o.o_orderkey) AS rank
+    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey) WHERE rank <= 3""",
+)
+def top_orders_per_segment(spark, d):
+    """The three largest orders of every segment (a report)."""
+    o, c = schemas.scan(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice"), schemas.scan(spark, d, "customer", "c_custkey", "c_mktsegment")
+    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    j = o.join(c, o.o_custkey == c.c_custkey).select("c_mktsegment", "o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    return j.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/blocks.parquet").groupBy("decision").count()
+    """Flagship: both drafts of every block compared and decided, counted by kind and decision."""
+    out = consensus_decisions(spark, d)
+    return out.groupBy("kind", "decision").agg(F.count("*").alias("blocks"), F.round(F.avg("cer_ab"), 4).alias("mean_cer"))
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
