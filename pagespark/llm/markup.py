@@ -91,6 +91,7 @@ LABELLED = [
     (1, "The load $x_1$ on the shaft follows the speed of the gear."), (0, "</div></body></html>"), (0, "<!-- page: 3 -->"), (1, "== Forging =="),
     (1, "\\section{Moulds and cores}"), (1, "\\item the die is heated first"), (0, "\\end{center}"), (1, "The [[core]] is held by prints<ref>3</ref> in the mould."),
     (0, "<table><tr><td>"), (0, "</td></tr></table>"), (1, "Use `G1` to move the tool along the line of the cut."), (0, "<br/><br/><hr/>"),
+    (1, "<li>sand</li><li>clay</li>"), (1, "<h2>Moulds</h2>"), (1, "<li>steel</li>"), (1, "<b>Note</b>"), (1, "<td>speed</td><td>load</td>"), (1, "<p>fit<br/>gap</p>"),
 ]
 
 
