@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import tables, text
-from ..operators import consensus, evaluate, events, geometry, layout, tablediff, vocabulary
+from ..functions import answers, tables, text
+from ..operators import consensus, evaluate, events, geometry, layout, pages, tablediff, vocabulary
+from ..sources import files
+from ..streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -664,6 +666,63 @@ def top_orders_per_segment(spark, d):
     return j.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
 
 
+@query("float_order")
+def float_order(spark, d):
+    """Blocks of every page with figures and tables moved to their place."""
+    b = layout.with_pages(schemas.block_rows(spark, d, "book", "page", "ord", "category", "bbox"), schemas.page_rows(spark, d))
+    return pages.reorder_floats(b)
+
+
+@query("promoted_footnotes")
+def promoted_footnotes(spark, d):
+    """Text blocks that are footnotes."""
+    b = _blocks(spark, d, "book", "page", "ord", "category").where("txt is not null and book is not null and category not in ('Page-header','Page-footer')")
+    return pages.promoted(b)
+
+
+@query("fix_places")
+def fix_places(spark, d):
+    """Where in its block each correction stands."""
+    f = schemas.scan(spark, d, "fixes", "id", "block", "before", "was", "now", "after", "state").dropDuplicates(["id"])
+    return pages.located(f, _blocks(spark, d))
+
+
+@query("parsed_answers")
+def parsed_answers(spark, d):
+    """Text and corrections of every raw answer."""
+    b = schemas.block_rows(spark, d, "arbiter_raw", "arbiter_text").where("arbiter_raw is not null")
+    a = b.select("id", answers.parse_answer("arbiter_raw").alias("a"), "arbiter_text")
+    return a.select("id", F.length("a.text").alias("chars"), F.size("a.fixes").alias("fixes"), "a.note", F.col("a.text").eqNullSafe(F.col("arbiter_text")).alias("as_stored"))
+
+
+@query("fix_sections")
+def fix_sections(spark, d):
+    """The corrections of every book as a Markdown table."""
+    return files.fixes_table(schemas.scan(spark, d, "fixes").dropDuplicates(["id"]))
+
+
+@query(
+    "sampled_pages",
+    f"""WITH {P}, r AS (SELECT book, name, idx, row_number() OVER (PARTITION BY book ORDER BY idx, name) - 1 AS pos, count(*) OVER (PARTITION BY book) AS n FROM p)
+    SELECT book, name FROM r WHERE n <= 5 OR pos IN (SELECT CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT) FROM range(0, 5) t(i))""",
+)
+def sampled_pages(spark, d):
+    """Five pages of every book, spread evenly (a sampling operator)."""
+    return files.even_sample(schemas.page_rows(spark, d), 5).select("book", "name")
+
+
+@query("streamed_daily_events", SQL["daily_events"])
+def streamed_daily_events(spark, d):
+    """Events per day and level, counted by a stream over the event files."""
+    return live.run_once(live.counted(live.events_stream(spark, f"{d}/library_events.parquet").where("ts is not null")), "complete")
+
+
+@query("streamed_breaker")
+def streamed_breaker(spark, d):
+    """Books that failed twice in a row, told by a stream with state."""
+    return live.run_once(live.breaker(live.events_stream(spark, f"{d}/library_events.parquet")), "append")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: both drafts of every block compared and decided, counted by kind and decision."""
     out = consensus_decisions(spark, d)
