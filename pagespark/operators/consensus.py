@@ -172,7 +172,7 @@ def _loses(a: Column, b: Column) -> Column:
 def fix_reason(was: Column, now: Column) -> Column:
     """Why a correction must not be made, NULL if it may; rules in order, the first that holds names the reason."""
     leading = lambda c: F.trim(c).rlike(r"^0?[.,]\d+$")
-    same_value = leading(was) & leading(now) & (F.ltrim(F.lit("0"), F.trim(was)) == F.ltrim(F.lit("0"), F.trim(now)))
+    same_value = leading(was) & leading(now) & (F.ltrim(F.trim(was), F.lit("0")) == F.ltrim(F.trim(now), F.lit("0")))
     digits = lambda c: F.regexp_replace(_no_scripts(c), r"\D", "")
     looks = lambda c: F.translate(F.translate(F.regexp_replace(c, r"<[^<>]*>", ""), SCRIPT, "01234567890123456789"), CONFUSED, CONFUSED_AS)
     plain = lambda c: F.trim(_no_scripts(c))

@@ -29,11 +29,11 @@ def write_journals(fixes: DataFrame, path: str, files: int = 1) -> None:
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, suffix, accepted, reason) of every file under a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    """(path, name, suffix, accepted, reason) of every file under a folder; contents are not read, empty files not listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    bad = F.when(~suffix.isin(*BOOK_SUFFIXES), F.concat(F.lit("unsupported format: "), suffix)).when(F.col("length") == 0, "empty file")
+    bad = F.when(~suffix.isin(*BOOK_SUFFIXES), F.concat(F.lit("unsupported format: "), suffix))
     return files.select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("name"), suffix.alias("suffix"), bad.isNull().alias("accepted"), bad.alias("reason"))
 
 
@@ -98,13 +98,13 @@ def report_fixes(lines: DataFrame) -> DataFrame:
     cells = F.transform(F.split(F.trim("line"), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
     rows = lines.where(F.col("line").startswith("| ")).withColumn("c", cells).where("size(c) = 5")
     ref = r"^(\w+)(?: \((?:p\.|с\.) ([^)]+)\))?$"
-    rows = rows.where(F.col("c")[1].rlike(ref) & ~F.col("c")[1].isin("Page", "Страница"))
-    cell = F.col("c")[3]
+    rows = rows.where(F.get("c", F.lit(1)).rlike(ref) & ~F.get("c", F.lit(1)).isin("Page", "Страница"))
+    cell = F.get("c", F.lit(3))
     part = lambda p, g: F.nullif(F.regexp_extract(cell, p, g), F.lit(""))
     reverted, missing, review = r"^~~(.*)~~ \*{0,2}reverted\*{0,2}(?:: (.*))?$", r"^(.*) \(not found in book\.md\)$", r"^(.*) \(review: (.*)\)$"
     state = F.when(cell.rlike(reverted), "reverted").when(cell.rlike(missing), "not_found").otherwise("applied")
     now = F.when(cell.rlike(reverted), F.regexp_extract(cell, reverted, 1)).when(cell.rlike(missing), F.regexp_extract(cell, missing, 1)).when(cell.rlike(review), F.regexp_extract(cell, review, 1)).otherwise(cell)
-    out = rows.select("file", "line_no", F.regexp_extract(F.col("c")[1], ref, 1).alias("scan"), F.nullif(F.regexp_extract(F.col("c")[1], ref, 2), F.lit("")).alias("page"), F.col("c")[2].alias("was"), now.alias("now"), state.alias("state"), F.coalesce(part(reverted, 2), part(review, 2)).alias("reason"), cell.rlike(review).alias("suggested"))
+    out = rows.select("file", "line_no", F.regexp_extract(F.get("c", F.lit(1)), ref, 1).alias("scan"), F.nullif(F.regexp_extract(F.get("c", F.lit(1)), ref, 2), F.lit("")).alias("page"), F.get("c", F.lit(2)).alias("was"), now.alias("now"), state.alias("state"), F.coalesce(part(reverted, 2), part(review, 2)).alias("reason"), cell.rlike(review).alias("suggested"))
     n = F.row_number().over(Window.partitionBy("file", "scan").orderBy("line_no"))
     return out.withColumn("id", F.concat_ws("-", "scan", n)).drop("line_no")
 
