@@ -101,6 +101,27 @@ def stitches(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return pairs.where(rule).select("book", "page", F.col("first.id").alias("id"), F.col("prev.id").alias("join_to"), F.when(left != "", F.concat(left, right)).alias("hyphen"))
 
 
+def chains(blocks: DataFrame, joins: DataFrame, pages: DataFrame) -> DataFrame:
+    """(book, id, blocks, text): every paragraph that goes on over page ends, from its first block.
+
+    A block has at most one continuation and continues at most one block, on the next page; a chain is an island of the
+    ordered joined blocks, begun by a block that continues nothing.  A word broken at the joint is put together.
+    """
+    both = joins.select("book", F.explode(F.array("id", "join_to")).alias("id")).distinct()
+    rows = both.join(joins.select("id", "join_to", "hyphen"), "id", "left").join(blocks.select("id", "page", "ord", "txt"), "id")
+    rows = rows.join(pages.select("book", F.col("name").alias("page"), "idx"), ["book", "page"])
+    w = Window.partitionBy("book").orderBy("idx", "ord", "id")
+    island = F.sum(F.col("join_to").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    piece = F.struct("idx", "ord", "id", "hyphen", F.trim("txt").alias("txt"))
+    parts = rows.withColumn("island", island).groupBy("book", "island").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+
+    def add(acc: Column, x: Column) -> Column:
+        glue = F.when(x["hyphen"].isNotNull(), F.concat(F.regexp_replace(acc, r"-\s*$", ""), x["txt"])).otherwise(F.concat(acc, F.lit(" "), x["txt"]))
+        return F.when(acc == "", x["txt"]).otherwise(glue)
+
+    return parts.select("book", F.get("p", F.lit(0))["id"].alias("id"), F.size("p").alias("blocks"), F.aggregate("p", F.lit(""), add).alias("text"))
+
+
 CONTINUED = r"(?iu)^\s*(?:Продолжение|Окончание|Continuation of|Fortsetzung)\s+(?:табл(?:\.|ицы)?|Table|der Tafel|Tafel)?\s*([IVXLC]+\s*\.\s*\d+|\d+(?:\.\d+)?)"
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import answers, tables, text
+from ..functions import answers, markdown, tables, text
+from ..functions.homoglyphs import fix_output as markdown_twins
 from ..operators import consensus, evaluate, events, geometry, layout, pages, tablediff, vocabulary
 from ..sources import files
 from ..streaming import live
@@ -666,6 +667,31 @@ def top_orders_per_segment(spark, d):
     return j.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
 
 
+@query("page_scores")
+def page_scores(spark, d):
+    """Draft pages against the final pages of every book: all scores, averaged."""
+    b = schemas.block_rows(spark, d, "book", "page", "ord", "category", "parent", "text_a", "text_b", "final")
+    ps = schemas.page_rows(spark, d)
+    side = lambda c, name: layout.assemble(b.withColumn("txt", F.col(c)), ps).select("book", "page", F.col("markdown").alias(name))
+    both = side("final", "gold").join(side("text_b", "pred"), ["book", "page"], "left")
+    s = both.select("book", markdown.score_page("pred", "gold").alias("s")).select("book", "s.*")
+    return evaluate.averages(s, ["book"], markdown.SCORES.names)
+
+
+@query("paragraph_chains")
+def paragraph_chains(spark, d):
+    """Paragraphs with their continuation over page ends put together."""
+    b = _blocks(spark, d, "book", "page", "ord", "category", "parent").where("parent is null and txt is not null and category not in ('Page-header','Page-footer')")
+    return layout.chains(b, layout.stitches(b, schemas.page_rows(spark, d)), schemas.page_rows(spark, d))
+
+
+@query("output_homoglyphs")
+def output_homoglyphs(spark, d):
+    """Final texts in which look-alike letters were put right for output."""
+    b = _blocks(spark, d, "kind").where("txt is not null and coalesce(kind, '') <> 'formula'")
+    return b.select("id", "txt", markdown_twins("txt").alias("fixed")).where("txt <> fixed").select("id", "fixed")
+
+
 @query("float_order")
 def float_order(spark, d):
     """Blocks of every page with figures and tables moved to their place."""
