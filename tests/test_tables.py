@@ -87,3 +87,21 @@ def test_answers(raw, text, fixes, note):
     got = answers.read_answer(raw)
     assert (got["text"], [(f["was"], f["now"]) for f in got["fixes"]], got["note"]) == (text, fixes, note)
     assert answers.read_answer(None) is None
+
+
+def test_levenshtein_against_brute_force():
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcё") for _ in range(rng.randrange(0, 14))) for _ in range(2))
+        assert tables.levenshtein(a, b) == slow(a, b) and tables.levenshtein(list(a), list(b)) == slow(a, b)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    other = long[:100] + "x" + long[130:]
+    assert tables.levenshtein(long, other) == slow(long, other)
