@@ -177,4 +177,4 @@ def rebuild(blocks: DataFrame, rep: DataFrame, rule: Rule = Rule()) -> DataFrame
     hits = found(lines_of(blocks, rule), rep).groupBy("id").agg(F.collect_set("line_no").alias("drop_lines"))
     split = F.split(F.regexp_replace("text", "\r", ""), "\n", -1)
     kept = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("drop_lines", s["i"]))
-    return blocks.dropDuplicates(["id"]).join(hits, "id").select("id", F.array_join(F.transform(kept, lambda s: s["x"]), "\n").alias("clean"))
+    return blocks.select("id", "text").dropDuplicates(["id"]).join(hits, "id").select("id", F.array_join(F.transform(kept, lambda s: s["x"]), "\n").alias("clean"))

@@ -20,6 +20,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.found(rows, lines.repeated(rows, blocks))
 
 
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that holds a repeated line, without it."""
+    blocks = table(spark, d, "blocks", "id", F.col("book").alias("source"), "page", "category", F.col("final").alias("text"))
+    own = blocks.where(textual())
+    return lines.rebuild(own, cut_lineage(lines.repeated(lines.lines_of(own), blocks)))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text, constructs and content share of every value with markup."""
+    blocks = table(spark, d, "blocks", "id", "category", "final", "arbiter_text").where(textual())
+    return markup.clean_markup(blocks).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Values that still hold markup."""
     blocks = table(spark, d, "blocks", "id", "category", "final", "arbiter_text").where(textual())
@@ -34,12 +47,24 @@ def _limits(spark: SparkSession, d: str) -> list[tuple[str, int, int | None]]:
     return [(r.category, r.max_chars, r.overlap_chars) for r in rows if r.category is not None and r.max_chars is not None]
 
 
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every block with a limit."""
+    blocks = table(spark, d, "blocks", "id", "category", "final").dropDuplicates(["id"])
+    return split.split_items(blocks, _limits(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Blocks that had to be cut."""
     blocks = table(spark, d, "blocks", "id", "category", "final")
     return split.oversized(split.split_items(blocks, _limits(spark, d)))
 
 
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of repeated content of every value."""
+    blocks = table(spark, d, "blocks", "id", "category", "text_b", "arbiter_text", "arbiter_raw").where(textual())
+    return repetition.measure(blocks).distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Values of which at least half repeats what they have said; the labelled lines pick them, the exact share confirms."""
     blocks = table(spark, d, "blocks", "id", "category", "text_b", "arbiter_text", "arbiter_raw").where(textual())
@@ -50,16 +75,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 SCAN_FIELDS = ("text_a", "text_b", "final")
 
 
-def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Confirmed damage of the prose values: (id, field, kind, item, fix)."""
+def _scan_damage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(prose blocks, confirmed damage, known words)."""
     blocks = table(spark, d, "blocks", "id", F.col("book").alias("source"), "page", "category", *SCAN_FIELDS)
     prose = blocks.where(in_category(PROSE))
     words = cut_lineage(scans.word_table(prose, SCAN_FIELDS))
     bad, good = scans.judge_words(words)
     bad, good = cut_lineage(bad), cut_lineage(good)
-    ev = cut_lineage(scans.evidence(prose, scans.known_words(good), SCAN_FIELDS))
+    known = scans.known_words(good)
+    ev = cut_lineage(scans.evidence(prose, known, SCAN_FIELDS))
     running = scans.running_lines(blocks.withColumn("text", F.col("final")))
-    return scans.confirm(ev, words, bad, good, running)
+    return prose, scans.confirm(ev, words, bad, good, running), known
+
+
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Confirmed damage of the prose values: (id, field, kind, item, fix)."""
+    return _scan_damage(spark, d)[1]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,6 +98,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_evidence(spark, d).select("id", "field").distinct()
 
 
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every damaged value as continuous paragraphs."""
+    prose, confirmed, known = _scan_damage(spark, d)
+    return scans.repair_values(prose, confirmed, known, SCAN_FIELDS)
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of every document: words, longest passage and confidence of each."""
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    return languages.language_rows(docs.select("doc_id", "text"), languages.fit(docs), "doc_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Wrong labels of books and documents, and passages in another language."""
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
@@ -117,6 +160,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Quality statistics and label shares of every document."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return shape.quality(docs, shape.common_words(docs))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are as a whole list, table or junk."""
     docs = table(spark, d, "documents", "doc_id", "text")
@@ -132,6 +181,12 @@ def _codes(spark: SparkSession, d: str) -> list[str]:
     return sorted({r.code for r in rows if r.code})
 
 
+def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every value with characters other than they seem in its consistent form."""
+    blocks = table(spark, d, "blocks", "id", "text_a", "final")
+    return skeleton.canonicalise(blocks, _codes(spark, d)).select("id", "field", "clean", "faults").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Values with characters other than they seem."""
     blocks = table(spark, d, "blocks", "id", "text_a", "final")
@@ -139,7 +194,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found}
+    own = [
+        p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_canonical,
+        p7_found, p7_languages, p8_containers, p8_usage, p9_mixture, p9_shares, p10_found, p10_statistics,
+    ]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
