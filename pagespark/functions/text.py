@@ -41,19 +41,29 @@ def _fix_word(w: Column) -> Column:
     return F.when(w.rlike("[А-Яа-яЁё]"), F.translate(w, LATIN_TWINS, CYRILLIC_TWINS)).otherwise(w)
 
 
+def once(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c`` evaluated once, however often ``fn`` names it; nested forms would multiply it otherwise."""
+    return F.get(F.transform(F.array(c), lambda x: fn(x)), F.lit(0))
+
+
+#: A word of two alphabets has a place where they meet.
+MEETING = "[А-Яа-яЁё][A-Za-z]|[A-Za-z][А-Яа-яЁё]"
+
+
 def homoglyph_words(c: Column) -> Column:
-    """Latin look-alikes inside words that hold a Cyrillic letter become Cyrillic: words and gaps apart, then together."""
-    words = F.regexp_extract_all(c, F.lit(f"([{LETTER}]+)"), F.lit(1))
-    gaps = F.split(c, f"[{LETTER}]+", -1)
-    fixed = F.transform(words, _fix_word)
-    return F.array_join(F.zip_with(gaps, fixed, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+    """Latin look-alikes inside words that hold a Cyrillic letter become Cyrillic; texts without a mixed word stay as they are."""
+
+    def apart(x: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(x, F.lit(f"([{LETTER}]+)"), F.lit(1)), lambda w: _fix_word(w))
+        return F.array_join(F.zip_with(F.split(x, f"[{LETTER}]+", -1), words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+    return once(c, lambda x: F.when(x.rlike(MEETING), apart(x)).otherwise(x))
 
 
 def normal(c: Column) -> Column:
     """Comparison form: entities, script digits, look-alikes, dashes, quotes, decimal braces, × between numbers, spaces."""
     c = F.translate(unescape(c), SCRIPT_DIGITS, BASE_DIGITS)
-    c = F.when(c.rlike("[А-Яа-яЁё]") & c.rlike("[A-Za-z]"), homoglyph_words(c)).otherwise(c)
-    c = F.translate(c, DASHES + QUOTES, "-----" + PLAIN_QUOTES)
+    c = F.translate(homoglyph_words(c), DASHES + QUOTES, "-----" + PLAIN_QUOTES)
     c = F.replace(c, F.lit("{,}"), F.lit(","))
     c = F.regexp_replace(c, rf"(?U)(?<![\w.,])({NUMBER})(\s*)[×хХ](\s*)(?={NUMBER}(?!\w))", "$1$2x$3")
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
