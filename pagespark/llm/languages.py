@@ -53,6 +53,9 @@ NAMES = {
 _NAME = {n: code for code, names in NAMES.items() for n in names.split()}
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Code, tags, commands, entities, link targets and formulas have no language.
+_MARKUP = re.compile(r"```.*?(?:```|\Z)|<[^<>\n]*>|\\\([^\n]*?\\\)|\\[A-Za-z]+(?:\{(?:itemize|enumerate|center)\})?|&#?\w+;|\{\{[^{}\n]*\}\}|\]\([^()\n]*\)|\$\$?[^$\n]*\$\$?", re.S)
+_MAY = re.compile(r"[<\\&`$]|\{\{|\]\(")
 _PIECE = re.compile(r"[^.!?;:\n()\[\]{}«»„“”\"|<>]+")
 
 
@@ -110,6 +113,8 @@ def passages(texts: list[str], scorer: Scorer) -> pd.DataFrame:
     sizes: list[int] = []
     owner: list[int] = []
     for t, text in enumerate(texts):
+        if _MAY.search(text):
+            text = _MARKUP.sub(" ", text)
         for piece in _PIECE.findall(text.lower()):
             ws = _WORD.findall(piece)
             if ws:
