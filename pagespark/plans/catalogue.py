@@ -155,7 +155,19 @@ def running_signatures(spark, d):
     return layout.repeated_signatures(_placed(spark, d))
 
 
-@query("header_actions")
+CAPTION_SQL = r"regexp_matches(txt, '(?i)^\s*(?:Таблица|Табл\.|Продолжение|Окончание|Рис\.|Table|Tabelle|Fig\.)')"
+BARE_SQL, EDGE_SQL = r"'^\s*[-—–]?\s*([0-9]{1,4})\s*[-—–]?\s*$'", r"'^([0-9]{1,4})\s+\S|\S\s+([0-9]{1,4})$'"
+
+
+@query(
+    "header_actions",
+    f"""WITH {B}, {P}, j AS (SELECT b.id, b.book, b.page, b.category, b.bbox, p.height, {TXT} AS txt, {SIG_SQL} AS sig FROM b JOIN p ON b.book = p.book AND b.page = p.name),
+    r AS (SELECT book, page, sig, floor((bbox.y1 + bbox.y2) / 2) AS mid, height FROM j WHERE category IN ('Text','Section-header','Title') AND {BAND_SQL} AND length(sig) BETWEEN 4 AND 80),
+    s AS (SELECT book, sig FROM r GROUP BY book, sig HAVING count(DISTINCT page) >= 3 AND greatest(max(mid) - avg(mid), avg(mid) - min(mid)) <= 0.03 * max(height)),
+    k AS (SELECT j.id, category IN ('Page-header','Page-footer') AS edge, {CAPTION_SQL} AS cap, category IN ('Text','Section-header','Title') AND {BAND_SQL} AND (s.sig IS NOT NULL OR regexp_matches(txt, {BARE_SQL})) AS body
+      FROM j LEFT JOIN s ON j.book = s.book AND j.sig = s.sig)
+    SELECT id, CASE WHEN cap AND edge THEN 'caption' ELSE 'drop' END AS action FROM k WHERE (cap AND edge) OR (NOT cap AND (edge OR body))""",
+)
 def header_actions(spark, d):
     """Blocks to drop as running lines or numbers, and captions taken for headers."""
     b = _placed(spark, d)
@@ -179,7 +191,13 @@ def page_number_chain(spark, d):
     return layout.number_chain(pages)
 
 
-@query("number_candidates")
+@query(
+    "number_candidates",
+    f"""WITH {B}, t AS (SELECT book, page, {TXT} AS txt FROM b WHERE {TXT} IS NOT NULL),
+    c AS (SELECT book, page, CASE WHEN regexp_matches(txt, {BARE_SQL}) THEN CAST(regexp_extract(txt, {BARE_SQL}, 1) AS INTEGER)
+      WHEN regexp_matches(trim(txt, ' '), {EDGE_SQL}) THEN 100000 + CAST(concat(regexp_extract(trim(txt, ' '), {EDGE_SQL}, 1), regexp_extract(trim(txt, ' '), {EDGE_SQL}, 2)) AS INTEGER) END AS v FROM t WHERE NOT {CAPTION_SQL})
+    SELECT book, page, CAST(min(v) % 100000 AS INTEGER) AS num FROM c WHERE v IS NOT NULL GROUP BY book, page""",
+)
 def number_candidates(spark, d):
     """Best printed-number candidate among the blocks of every page."""
     return layout.number_candidates(_blocks(spark, d, "book", "page").where("txt is not null"))
@@ -202,7 +220,14 @@ def page_stitches(spark, d):
     return layout.stitches(b, schemas.page_rows(spark, d))
 
 
-@query("table_continuations")
+@query(
+    "table_continuations",
+    rf"""WITH {B}, t AS (SELECT id, book, page, ord, category, CASE WHEN category IN ('Caption','Text','Section-header') THEN nullif(regexp_replace(regexp_extract({TXT}, '(?i)^\s*(?:Продолжение|Окончание|Continuation of|Fortsetzung)\s+(?:табл(?:\.|ицы)?|Table|der Tafel|Tafel)?\s*([IVXLC]+\s*\.\s*[0-9]+|[0-9]+(?:\.[0-9]+)?)', 1), '\s+', '', 'g'), '') END AS ref FROM b WHERE parent IS NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY ord, id) AS n FROM t),
+    l AS (SELECT x.id, max(y.n) AS ln FROM n x JOIN n y ON x.book = y.book AND x.page = y.page AND y.n BETWEEN x.n - 3 AND x.n - 1 AND y.ref IS NOT NULL WHERE x.category = 'Table' GROUP BY x.id),
+    e AS (SELECT x.id, coalesce(max(y.n), 0) AS tn FROM n x LEFT JOIN n y ON x.book = y.book AND x.page = y.page AND y.n < x.n AND y.category = 'Table' WHERE x.category = 'Table' GROUP BY x.id)
+    SELECT l.id, y.ref AS continues FROM l JOIN e ON l.id = e.id JOIN n x ON x.id = l.id JOIN n y ON y.book = x.book AND y.page = x.page AND y.n = l.ln WHERE e.tn < l.ln""",
+)
 def table_continuations(spark, d):
     """Tables announced as the continuation of another."""
     return layout.continuations(_blocks(spark, d, "book", "page", "ord", "category", "parent").where("parent is null"))
@@ -721,7 +746,13 @@ def parsed_answers(spark, d):
     return a.select("id", F.length("a.text").alias("chars"), F.size("a.fixes").alias("fixes"), "a.note", F.col("a.text").eqNullSafe(F.col("arbiter_text")).alias("as_stored"))
 
 
-@query("fix_sections")
+@query(
+    "fix_sections",
+    """WITH f AS (SELECT DISTINCT ON (id) * FROM fixes ORDER BY id), e AS (SELECT *, replace(replace(was, '|', chr(92) || '|'), chr(10), ' ') AS w, replace(replace(now, '|', chr(92) || '|'), chr(10), ' ') AS n FROM f),
+    r AS (SELECT book, scan, id, '| ' || CASE WHEN page IS NOT NULL THEN scan || ' (p. ' || page || ')' ELSE scan END || ' | ' || w || ' | ' || CASE WHEN state = 'reverted' THEN '~~' || n || '~~ reverted' || coalesce(': ' || reason, '')
+      WHEN state = 'not_found' THEN n || ' (not found in book.md)' WHEN suggested THEN n || ' (review: ' || coalesce(reason, '') || ')' ELSE n END || ' |' AS row FROM e)
+    SELECT book, string_agg(row, chr(10) ORDER BY scan, id, row) AS section FROM r GROUP BY book""",
+)
 def fix_sections(spark, d):
     """The corrections of every book as a Markdown table."""
     return files.fixes_table(schemas.scan(spark, d, "fixes").dropDuplicates(["id"]))
