@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables, text
+from ..functions.homoglyphs import ELEMENTS
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -190,6 +191,7 @@ def fix_reason(was: Column, now: Column) -> Column:
         .when(twice, "doubles operator")
         .when(_loses(_signs(was), _signs(now)), "changes operator")
         .when(indexes(now) < indexes(was), "deletes index")
+        .when((F.translate(now, text.CYRILLIC_TWINS, text.LATIN_TWINS) == F.translate(was, text.CYRILLIC_TWINS, text.LATIN_TWINS)) & (_latin_elements(now) < _latin_elements(was)), "element to Cyrillic")
         .when(plain(was).rlike("^[A-Za-z]$") & plain(now).rlike("^[A-Za-z]$"), "ambiguous single letter")
         .when((plain(now) != "") & (plain(now) != plain(was)) & plain(was).contains(plain(now)), "deletes span")
         .when(double_word(now) & ~double_word(was), "duplicates word")
@@ -197,6 +199,40 @@ def fix_reason(was: Column, now: Column) -> Column:
     )
 
 
+def _latin_elements(c: Column) -> Column:
+    """Two-letter element symbols that stand alone, and one-letter ones after a percent sign."""
+    plain = F.regexp_replace(c, r"(?s)<(?:sub|sup)>.*?</(?:sub|sup)>", " ")
+    two = F.filter(F.regexp_extract_all(plain, F.lit(rf"(?<![{text.LETTER}])([A-Z][a-z])(?![{text.LETTER}])"), F.lit(1)), lambda e: e.isin(*[x for x in sorted(ELEMENTS) if len(x) == 2]))
+    one = F.filter(F.regexp_extract_all(plain, F.lit(rf"%\s*([A-Z])(?![{text.LETTER}])"), F.lit(1)), lambda e: e.isin(*[x for x in sorted(ELEMENTS) if len(x) == 1]))
+    return F.size(two) + F.size(one)
+
+
+def context_reasons(fixes: DataFrame, refused: DataFrame | None = None, corpus: DataFrame | None = None, seen: int = 2) -> DataFrame:
+    """(id, block, was, now, reason): the rules that need more than the pair itself, around ``fix_reason``.
+
+    A refused pair comes first.  After the rules of the pair: in one answer, what one fix puts in is what another takes
+    out (shifts value); a term the corpus has at least ``seen`` times is changed by two letters at most (normalizes term).
+    """
+    rows = fixes.where("was is not null and now is not null").select("id", "block", "was", "now")
+    real = rows.where("was <> now")
+    chained = real.select("block", F.col("was").alias("t")).intersect(real.select("block", F.col("now").alias("t"))).withColumn("_c", F.lit(True))
+    out = rows
+    for side in ("was", "now"):
+        out = out.join(chained.select("block", F.col("t").alias(side), F.col("_c").alias(f"_{side}")), ["block", side], "left")
+    out = out.withColumn("_no", F.lit(False)) if refused is None else out.join(refused.select("was", "now", F.lit(True).alias("_no")).distinct(), ["was", "now"], "left")
+    term = F.lit(False)
+    if corpus is not None:
+        out = out.withColumn("_term", F.lower("was")).join(corpus.groupBy(F.col("word").alias("_term")).agg(F.sum("n").alias("_n")), "_term", "left")
+        bare = F.lower(F.rtrim("now", F.lit(".,:;")))
+        long = rf"^[{text.LETTER}]{{5,}}$"
+        term = F.col("was").rlike(long) & bare.rlike(long) & (F.levenshtein(F.lower("was"), bare, 2) >= 0) & (F.coalesce("_n", F.lit(0)) >= seen)
+    shifts = F.coalesce("_was", F.lit(False)) | F.coalesce("_now", F.lit(False))
+    own = fix_reason(F.col("was"), F.col("now"))
+    same = F.col("was") == F.col("now")
+    reason = F.when(~same & F.coalesce("_no", F.lit(False)), "rejected by user").otherwise(F.coalesce(own, F.when(~same & shifts, "shifts value"), F.when(~same & term, "normalizes term")))
+    return out.select("id", "block", "was", "now", reason.alias("reason"))
+
+
 def denied(fixes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Fixes whose (was, now) pair is on the list of refused pairs; NULLs never match."""
     return fixes.join(pairs.select("was", "now").distinct(), ["was", "now"], "left_semi")

@@ -385,8 +385,8 @@ def judged_answers(spark, d):
 @query("fix_reasons")
 def fix_reasons(spark, d):
     """Rule by which each journalled correction would be refused."""
-    f = schemas.scan(spark, d, "fixes", "id", "was", "now").dropDuplicates(["id"]).where("was is not null and now is not null")
-    return f.select("id", "was", "now", consensus.fix_reason(F.col("was"), F.col("now")).alias("reason"))
+    f = schemas.scan(spark, d, "fixes", "id", "block", "was", "now", "state").dropDuplicates(["id"])
+    return consensus.context_reasons(f, f.where("state = 'reverted'"), vocabulary.vocabulary(_blocks(spark, d, "book")))
 
 
 @query(

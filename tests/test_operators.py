@@ -42,7 +42,7 @@ def test_judge(spark):
     [
         ("C + 1/3 Si", "C + <sup>1/8</sup> Si", "changes digits"), ("1 дм³", "1 дм²", None), ("0,15", ",15", None), ("a×b", "a××b", "doubles operator"), ("т/мм", "т мм", "changes operator"), ("5.0<sub>2</sub>", "5.0", "deletes index"),
         ("слово", "", "deletes text"), ("a & b", "a &amp; b", "escapes markup"), ("l", "t", "ambiguous single letter"), ("длинный текст", "текст", "deletes span"), ("ковка", "ковка, ковка", "duplicates word"), ("перенос", "пере-нос", "keeps line-break hyphen"),
-        ("трсбует", "требует", None), ("x", "x", None), ("СТО261", "CTO261", None), ("З5", "35", None),
+        ("0,3% C и Mo", "0,3% С и Мо", "element to Cyrillic"), ("трсбует", "требует", None), ("x", "x", None), ("СТО261", "CTO261", None), ("З5", "35", None),
     ],
 )
 def test_fix_reasons(spark, was, now, reason):
@@ -50,6 +50,17 @@ def test_fix_reasons(spark, was, now, reason):
     assert df.select(consensus.fix_reason(F.col("was"), F.col("now")).alias("r")).first().r == reason
 
 
+def test_context_reasons(spark):
+    rows = [("1", 5, "a", "b"), ("2", 5, "b", "c"), ("3", 6, "ковка", "ковку"), ("4", 7, "литой", "литый"), ("5", 8, "x", "yz"), ("6", 8, "12", "13"), ("7", 9, None, "q")]
+    df = spark.createDataFrame(rows, "id string, block long, was string, now string")
+    refused = spark.createDataFrame([("x", "yz")], "was string, now string")
+    corpus = spark.createDataFrame([("b", "ковка", 3), ("b", "литой", 1)], "book string, word string, n long")
+    got = {r.id: r.reason for r in consensus.context_reasons(df, refused, corpus).collect()}
+    assert got == {"1": "ambiguous single letter", "2": "ambiguous single letter", "3": "normalizes term", "4": None, "5": "rejected by user", "6": "changes digits"}
+    shifted = spark.createDataFrame([("1", 5, "ab", "bc"), ("2", 5, "bc", "cd"), ("3", 6, "ab", "xy")], "id string, block long, was string, now string")
+    assert {r.id: r.reason for r in consensus.context_reasons(shifted).collect()} == {"1": "shifts value", "2": "shifts value", "3": None}
+
+
 def test_foreign_lines(spark):
     other = "The riser feeds the casting while metal cools"
     rows = [(1, "b", "p", "text", None, "Own words of this block stand here", f"Own words of this block stand here\n{other}"), (2, "b", "p", "text", None, other + " slowly", None), (3, "b", "q", "text", None, "x", other)]
