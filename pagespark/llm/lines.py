@@ -27,6 +27,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
 from .skeleton import PROTO
 
 
@@ -125,7 +126,8 @@ def candidates(state: DataFrame, counts: DataFrame, rule: Rule = Rule()) -> Data
     """
     half = F.explode(F.array_distinct(F.array("p0", "s0", "p1", "s1"))).alias("half")
     by_key = state.groupBy("source", "h", "k", "p0", "s0", "p1", "s1").agg(F.count("*").alias("pages"))
-    halves = by_key.select("source", half, "pages").groupBy("source", "half").agg(F.sum("pages").alias("n"), F.count("*").alias("readings"))
+    halves = by_key.select("source", half, "pages").groupBy("source", "half").agg(F.sum("pages").alias("n"))
+    halves = halves.where(F.col("n") * 2 >= rule.min_pages)  # before the join, so that a hot source brings few rows to it
     heavy = halves.join(counts, "source").where(F.col("n") * 2 >= needed(rule)).select("source", "half")
     wide = by_key.select("source", "h", "k", "pages", half)
     return wide.join(heavy, ["source", "half"])
@@ -134,7 +136,7 @@ def candidates(state: DataFrame, counts: DataFrame, rule: Rule = Rule()) -> Data
 def repeated(lines: DataFrame, pages: DataFrame, rule: Rule = Rule(), state: DataFrame | None = None) -> DataFrame:
     """(source, key, centre, class_pages): every reading of a line above the threshold."""
     counts = page_counts(pages)
-    occ = merge(state, occurrences(lines))
+    occ = cut_lineage(merge(state, occurrences(lines)))  # the table a later delta is merged into, written once
     cand = candidates(occ, counts, rule)
     keep = cand.select("source", "h", "k").distinct()
     # the texts of the few candidates, and the pages they stand on
