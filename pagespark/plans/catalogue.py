@@ -60,7 +60,7 @@ def decision_counts(spark, d):
 @query("consensus_decisions")
 def consensus_decisions(spark, d):
     """Both drafts compared in canonical form: decision and distance of every block."""
-    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b")
+    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b", heavy=True)
     out = consensus.decide(consensus.prepare(b))
     return out.select("id", "kind", "decision", F.round("cer_ab", 6).alias("cer_ab"), "final_source")
 
@@ -85,7 +85,7 @@ def threshold_sweep(spark, d):
 @query("replayed_sweep")
 def replayed_sweep(spark, d):
     """The same from the drafts themselves: canonical forms once, every threshold decided from them."""
-    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b")
+    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b", heavy=True)
     return consensus.sweep(consensus.prepare(b), TAUS, ["kind"])
 
 
@@ -325,7 +325,7 @@ def line_break_joins(spark, d):
 )
 def looping_drafts(spark, d):
     """Drafts whose end is one fragment over and over."""
-    b = schemas.block_rows(spark, d, "text_b").where("length(text_b) >= 600")
+    b = schemas.block_rows(spark, d, "text_b", heavy=True).where("length(text_b) >= 600")
     return b.where(text.looping(F.col("text_b"))).select("id")
 
 
@@ -364,7 +364,7 @@ def table_findings(spark, d):
 @query("table_likeness")
 def table_likeness(spark, d):
     """Tree likeness of the two drafts of every table, with and without the cell texts."""
-    b = schemas.block_rows(spark, d, "category", "text_a", "text_b").where("category = 'Table' and text_a is not null and text_b is not null")
+    b = schemas.block_rows(spark, d, "category", "text_a", "text_b", heavy=True).where("category = 'Table' and text_a is not null and text_b is not null")
     return b.select("id", F.round(tables.teds("text_b", "text_a"), 6).alias("teds"), F.round(tables.teds_structure("text_b", "text_a"), 6).alias("teds_structure"))
 
 
@@ -377,7 +377,7 @@ def foreign_draft_lines(spark, d):
 @query("judged_answers")
 def judged_answers(spark, d):
     """Every stored answer judged against its drafts."""
-    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b", "arbiter_text", "arbiter_error", "arbiter_status").where("arbiter_status in ('done','rejected','failed')")
+    b = schemas.block_rows(spark, d, "kind", "text_a", "text_b", "arbiter_text", "arbiter_error", "arbiter_status", heavy=True).where("arbiter_status in ('done','rejected','failed')")
     j = consensus.judge(b.withColumnRenamed("arbiter_text", "answer").withColumnRenamed("arbiter_error", "error"))
     return j.select("id", "verdict.status", "verdict.source", F.round("verdict.cer", 6).alias("cer"), "verdict.note")
 
@@ -461,14 +461,14 @@ def best_book(spark, d):
 @query("number_scores")
 def number_scores(spark, d):
     """Numbers of draft B against those of the final text: precision, recall and F1 of every block."""
-    b = schemas.block_rows(spark, d, "text_b", "final").where("final is not null")
+    b = schemas.block_rows(spark, d, "text_b", "final", heavy=True).where("final is not null")
     return evaluate.number_scores(b.select("id", F.coalesce("text_b", F.lit("")).alias("txt")), b.select("id", F.col("final").alias("txt")), "id")
 
 
 @query("draft_errors")
 def draft_errors(spark, d):
     """Character and word error of draft B against the final text, by category."""
-    b = schemas.block_rows(spark, d, "category", "text_b", "final").where("final is not null and category <> 'Table' and category <> 'Page'")
+    b = schemas.block_rows(spark, d, "category", "text_b", "final", heavy=True).where("final is not null and category <> 'Table' and category <> 'Page'")
     p, g = text.normal(F.coalesce("text_b", F.lit(""))), text.normal(F.col("final"))
     s = b.select("category", p.alias("p"), g.alias("g")).select("category", text.gold_distance(F.col("p"), F.col("g")).alias("cer"), evaluate.word_error("p", "g").alias("wer"))
     return evaluate.averages(s, ["category"], ["cer", "wer"])
