@@ -9,11 +9,11 @@ budget takes a subset of the documents of a larger one.
 
 A source whose budget exceeds its size is used whole as often as it fits and once
 more below the threshold, at most ``max_repeats`` times.  Without a given total the
-mixture is the largest in which every source gets its weight.
+mixture is the largest in which every source that has documents gets its weight.
 
 Defined results: documents of NULL or unlisted sources, NULL text or no tokens are
-never used; a listed source without documents makes the largest full mixture
-empty (it is reported with share 0); weights are normalised, those of NULL or at
+never used; a listed source without documents is reported with share 0 and does
+not limit the others; weights are normalised, those of NULL or at
 most 0 are left out; max_repeats NULL counts as 1; equal hashes are taken
 together, and a threshold never exceeds its budget.
 """
@@ -75,7 +75,8 @@ def plan(rows: DataFrame, targets: pd.DataFrame, total: float | None = None, sou
     t = targets.copy()
     t["available"] = [sum(n for _, n in hist.get(s, [])) for s in t["source"]]
     if total is None:
-        total = float((t["available"] * t["max_repeats"] / t["weight"]).min()) if len(t) else 0.0
+        there = t[(t["available"] > 0) & (t["max_repeats"] > 0)]
+        total = float((there["available"] * there["max_repeats"] / there["weight"]).min()) if len(there) else 0.0
     t["budget"] = (t["weight"] * total).clip(upper=t["available"] * t["max_repeats"])
     t["whole"] = [int(b // a) if a else 0 for b, a in zip(t["budget"], t["available"])]
     left = {s: b - w * a for s, b, w, a in zip(t["source"], t["budget"], t["whole"], t["available"])}
