@@ -75,8 +75,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 SCAN_FIELDS = ("text_a", "text_b", "final")
 
 
-def _scan_damage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(prose blocks, confirmed damage, known words)."""
+def _scan_damage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(prose blocks, confirmed damage)."""
     blocks = table(spark, d, "blocks", "id", F.col("book").alias("source"), "page", "category", *SCAN_FIELDS)
     prose = blocks.where(in_category(PROSE))
     words = cut_lineage(scans.word_table(prose, SCAN_FIELDS))
@@ -85,7 +85,7 @@ def _scan_damage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, lis
     known = scans.known_words(good)
     ev = cut_lineage(scans.evidence(prose, known, SCAN_FIELDS))
     running = scans.running_lines(blocks.withColumn("text", F.col("final")))
-    return prose, scans.confirm(ev, words, bad, good, running), known
+    return prose, scans.confirm(ev, words, bad, good, running)
 
 
 def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -100,8 +100,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Every damaged value as continuous paragraphs."""
-    prose, confirmed, known = _scan_damage(spark, d)
-    return scans.repair_values(prose, confirmed, known, SCAN_FIELDS)
+    prose, confirmed = _scan_damage(spark, d)
+    return scans.repair_values(prose, confirmed, SCAN_FIELDS)
 
 
 def p7_languages(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ Method: sequence labelling of lines.  A hidden Markov model over layout features
 (numbers, case of the first letter, end mark, sentence marks, neighbours) labels
 every line of a value as body, break (its last word goes on in the next line),
 header (running line or page number), reading (a column of figures) or list item; paragraphs
-are put together from body and break lines.  Words are checked against the
+are put together from all lines but the confirmed running lines and numbers.  Words are checked against the
 corpus: a word is misread when another word one misreading away is at least
 ``ratio`` times as frequent in the language where the word is most at home.
 
@@ -12,12 +12,15 @@ The mapper only gathers evidence (broken words, joined words, suspicious words,
 running-line candidates).  What needs the corpus is confirmed by joins with the
 word tables and the running-line table, so nothing that grows with the corpus is
 broadcast: the list of known words sent along holds at most ``KNOWN`` words and
-only saves evidence rows.
+only saves evidence rows.  The repair applies what was confirmed for the value, no
+more and no less: it has no word list of its own.
 
 Defined results: NULL and empty values have no evidence; a value that is one
 running line or number as a whole is no case unless a word in it is misread;
 ties between neighbour words go to the more frequent, then the alphabetically
-first; values of any length are read whole; extra columns are ignored.
+first; values of any length are read whole; extra columns are ignored.  A repaired
+value is in the consistent form of problem 6, in which its damage was found; markup
+stays; a word whose rest stands in another value keeps its mark.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from operator import add
 
@@ -85,18 +89,31 @@ _LIST_MARK = re.compile(r"(?:\d{1,2}[.)]|[•·—–*-]|[a-zа-я]\)) +(?=\D)")
 _READING = re.compile(r"\s*[-+]?\d+(?:[.,]\d+)?\s*")
 _ENDS = frozenset(".!?:;…»\"')]")
 _HYPH = re.compile(rf"{_L}[-¬]\s*$")
+_HEAD_PART = re.compile(rf"({_L}+)[-¬]\s*\Z")
+_TAIL_PART = re.compile(rf"\s*({_L}+)")
+_NEXT = re.compile(rf"({_L}+)( +)(?=({_L}+))")
 _UK = re.compile("[іїєґІЇЄҐ]")
 _CYR = re.compile("[Ѐ-ӿ]")
 _CANON = skeleton.Canonicaliser()
 
+#: Stands for a piece of markup while a value is repaired; read as a space.
+_MARK = "\ufdd0"
+_ASIDE = re.compile(f"{_MARKUP.pattern}|{_MARK}")
+
 STATES = ("body", "break", "header", "reading", "list")
 SIZES = (3, 3, 3, 3, 2, 3, 3, 2, 2)
 
 
-def clean_marks(text: str) -> str:
-    """The value without markup and look-alike characters, so that their faults don't count here."""
+def consistent(text: str) -> str:
+    """The value without look-alike characters."""
     if not text.isascii() and (skeleton._ODD_RE.search(text) or skeleton.mixed(text)):
         text = _CANON(text)[0]
+    return text
+
+
+def clean_marks(text: str) -> str:
+    """The value without markup and look-alike characters, so that their faults don't count here."""
+    text = consistent(text)
     if "<" in text or "\\" in text or "&" in text or "{" in text or "](" in text or "`" in text or "$" in text:
         text = _MARKUP.sub(" ", text)
     return text
@@ -301,7 +318,10 @@ class Gatherer:
                             out.add(("sure", "number"))
                     elif m:
                         out.add(("line", ln))
-            body = "\n".join(x for x, y in zip(lines, labels) if y != 2 or not _NUM_LINE.fullmatch(x))
+            kept = [(x, m) for x, y, m in zip(lines, labels, may) if y != 2 or not _NUM_LINE.fullmatch(x)]
+            body = "\n".join(x for x, _ in kept)
+            if "-" in body or "¬" in body:
+                out.update(("good", w) for w in _around(kept))
         if "-" in body or "¬" in body:
             for m in _BREAK.finditer(body):
                 out.add(("sure", "break") if "¬" in m[0] else ("good", (m[1] + m[2]).lower()))
@@ -337,7 +357,8 @@ class Gatherer:
             out.update(("bad", w) for w in odd)  # a runaway value breaks off its words
         return sorted(out)
 
-    def digits(self, token: str) -> list[str]:
+    @staticmethod
+    def digits(token: str) -> list[str]:
         """Known words the token could be with its digits read as letters."""
         cyr = bool(_CYR.search(token))
         forms = [""]
@@ -350,6 +371,18 @@ class Gatherer:
         return [f for f in forms if len(f) >= 4]
 
 
+def _around(lines: list[tuple[str, bool]]) -> Iterator[str]:
+    """The words that are whole if the lines between their halves, all candidates for running lines, go."""
+    for i, (line, _) in enumerate(lines[:-2]):
+        a = _HEAD_PART.search(line) if line.rstrip()[-1:] in ("-", "¬") else None
+        for j in range(i + 2, len(lines) if a else 0):
+            if not lines[j - 1][1]:
+                break
+            b = _TAIL_PART.match(lines[j][0])
+            if b and b[1][0].islower():
+                yield (a[1] + b[1]).lower()
+
+
 def evidence(df: DataFrame, known: list[str], fields: tuple[str, ...], key: str = "id", source: str = "source") -> DataFrame:
     """(key, field, source, kind, item) of every value of ``fields``."""
     words = frozenset(known)
@@ -377,66 +410,157 @@ def running_lines(blocks: DataFrame, min_pages: int = 3) -> DataFrame:
 
 
 def confirm(ev: DataFrame, words: DataFrame, bad: DataFrame, good: DataFrame, running: DataFrame, key: str = "id", floor: int = 3, ratio: int = RATIO) -> DataFrame:
-    """(key, field, kind, item, fix): the evidence that the corpus tables bear out."""
+    """(key, field, kind, item, fix, n): the evidence that the corpus tables bear out; n is how frequent a whole word is."""
     cols = [key, "field", "kind", "item"]
-    sure = ev.where(F.col("kind") == "sure").select(*cols, F.lit(None).cast("string").alias("fix"))
-    odd = ev.where(F.col("kind") == "bad").join(bad.withColumnRenamed("word", "item"), "item").select(*cols, "fix")
+    none = F.lit(None).cast("long").alias("n")
+    sure = ev.where(F.col("kind") == "sure").select(*cols, F.lit(None).cast("string").alias("fix"), none)
+    odd = ev.where(F.col("kind") == "bad").join(bad.withColumnRenamed("word", "item"), "item").select(*cols, "fix", none)
     whole = good.where(F.col("n") >= floor).select(F.col("word").alias("whole"), F.col("n").alias("n_whole"))
-    joined = ev.where(F.col("kind") == "good").join(whole, F.col("item") == F.col("whole")).select(*cols, F.col("whole").alias("fix"))
+    joined = ev.where(F.col("kind") == "good").join(whole, F.col("item") == F.col("whole")).select(*cols, F.col("whole").alias("fix"), F.col("n_whole").alias("n"))
     # a word in two: the parts are no words, or hardly ever stand alone
     total = words.groupBy("word").agg(F.sum("n").alias("n"))
     parts = ev.where(F.col("kind") == "parts").select(*cols, F.split("item", " ").alias("ab")).select(*cols, F.col("ab")[0].alias("a"), F.col("ab")[1].alias("b"))
     parts = parts.join(whole, F.concat("a", "b") == F.col("whole"))
     for c in ("a", "b"):
         parts = parts.join(total.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
-    split = parts.where(F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) * ratio <= F.col("n_whole")).select(*cols, F.col("whole").alias("fix"))
+    split = parts.where(F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) * ratio <= F.col("n_whole")).select(*cols, F.col("whole").alias("fix"), F.col("n_whole").alias("n"))
     cand = ev.where(F.col("kind") == "line").withColumn("key", line_key(F.col("item"))).where(F.length("key") >= 4)
     halves = lambda d: d.withColumn("half", F.explode(F.array_distinct(F.array(*_halves()))))
     run = halves(running).select("source", "half", F.col("key").alias("centre"))
-    lines = halves(cand).join(run, ["source", "half"]).where(one_misreading(F.col("key"), F.col("centre"))).select(*cols, F.lit("").alias("fix"))
+    lines = halves(cand).join(run, ["source", "half"]).where(one_misreading(F.col("key"), F.col("centre"))).select(*cols, F.lit("").alias("fix"), none)
     return sure.unionByName(odd).unionByName(joined).unionByName(split).unionByName(lines).distinct()
 
 
+#: What was confirmed in one value: (kind, item) -> (how frequent the word is, fix).
+Found = dict[tuple[str, str], tuple[int, str]]
+
+
 def repair(value: str, known: frozenset[str], fixes: dict[str, str] | None = None, model: LinearChain | None = None) -> str:
-    """Continuous paragraphs: header lines dropped, broken and spaced words joined, listed misreadings replaced."""
+    """One value repaired where no corpus tables are at hand: ``known`` words and listed misreadings confirm its evidence."""
     model = model or default_model()
-    fixes = fixes or {}
-    out: list[str] = []
-    for para in re.split(r"\n[ \t]*\n", value):
-        lines = [x for x in para.split("\n") if x.strip()]
-        if not lines:
-            continue
-        labels = label_lines(lines, model)
-        if all(y == 2 for y in labels):
-            out.append(" ".join(x.strip() for x in lines))
+    found: Found = {(k, i): (0, i) for k, i in Gatherer(known, model).many([value])[0] if k == "sure" or (k == "good" and i in known)}
+    found |= {("bad", w): (0, fix) for w, fix in (fixes or {}).items()}
+    return repair_many([value], [found], model)[0]
+
+
+def repair_many(values: list[str], found: list[Found], model: LinearChain) -> list[str]:
+    """Continuous paragraphs: exactly the confirmed lines and numbers dropped, words joined and misreadings replaced."""
+    texts, marks = zip(*[_set_aside(v) for v in values]) if values else ((), ())
+    lines = [[x for x in t.replace(_MARK, " ").split("\n") if x and not x.isspace()] if "\n" in t else [] for t in texts]
+    labels, _ = label_many([x if len(x) > 1 else [] for x in lines], model)
+    return [_repair_one(t, list(m), y, f) for t, m, y, f in zip(texts, marks, labels, found)]
+
+
+def _set_aside(value: str) -> tuple[str, list[str]]:
+    """The value as ``clean_marks`` reads it, with a sign where that has a space for markup, and the markup."""
+    marks: list[str] = []
+    return _ASIDE.sub(lambda m: marks.append(m[0]) or _MARK, consistent(value)), marks
+
+
+def _edit(pattern: re.Pattern, fn, text: str) -> str:
+    """``pattern.sub`` that reads the signs of markup as spaces; those inside a changed match stand behind it."""
+    if _MARK not in text:
+        return pattern.sub(fn, text)
+    out, at = [], 0
+    for m in pattern.finditer(text.replace(_MARK, " ")):
+        new = fn(m)
+        if new != m[0]:
+            out += [text[at : m.start()], new, _MARK * text.count(_MARK, *m.span())]
+            at = m.end()
+    return "".join(out) + text[at:]
+
+
+def _repair_one(text: str, marks: list[str], labels: list[int], found: Found) -> str:
+    label, mark = iter(labels), iter(marks)
+    kept_marks: list[str] = []
+    paras: list[list[tuple[str, int]]] = [[]]
+    for ln in text.split("\n"):
+        own = [next(mark) for _ in range(ln.count(_MARK))]
+        plain = ln.replace(_MARK, " ")
+        blank = not plain or plain.isspace()
+        y = 4 if blank else next(label, 0)
+        if (not blank and ("line", plain) in found) or (y == 2 and ("sure", "number") in found and _NUM_LINE.fullmatch(plain)):
             continue
-        text = ""
-        for ln, y in zip(lines, labels):
-            if y == 2:
-                continue
-            text += ("\x01" if y in (3, 4) and text else "\n" if text else "") + ln.strip("\r")
-        text = _BREAK.sub(lambda m: m[1] + m[2] if "¬" in m[0] or (m[1] + m[2]).lower() in known else m[0], text)
-        text = re.sub(r"[ \t\r]*\n[ \t]*", " ", text).replace("\x01", "\n")
-        text = _SPACED.sub(lambda m: m[0].replace(" ", "") if m[0].replace(" ", "").lower() in known else m[0], text)
-        out.append(_WORD.sub(lambda m: _case(m[0], fixes[m[0].lower()]) if m[0].lower() in fixes else m[0], text))
-    return "\n\n".join(out)
-
-
-def repair_values(df: DataFrame, confirmed: DataFrame, known: list[str], fields: tuple[str, ...], key: str = "id") -> DataFrame:
-    """(key, field, clean) of every value with confirmed damage: its own fixes applied, paragraphs put together."""
-    words = frozenset(known)
-    pairs = F.map_from_entries(F.collect_set(F.when(F.col("kind") == "bad", F.struct("item", "fix"))))
-    fixes = confirmed.groupBy(key, "field").agg(pairs.alias("fixes"))
+        if not blank or own:
+            paras[-1].append((ln, y))
+            kept_marks += own
+        elif paras[-1]:
+            paras.append([])
+    if not any(paras) and labels:  # nothing but running lines: no damage by them
+        kept_marks, paras = marks, [[(ln, 0) for ln in text.split("\n")]]
+    out = ""
+    for para in filter(None, paras):
+        for k, (ln, y) in enumerate(para):
+            ln = ln.strip("\r")
+            own_line = k and y in (3, 4)
+            gap = "" if not out else "\n" if _goes_on(out, ln, found) else "\x01\x01" if not k else "\x01" if own_line else "\n"
+            out += gap + ln
+    out = _words(out, found)
+    out = re.sub(r"[ \t\r]*\n[ \t]*", " ", out).replace("\x01", "\n")
+    rest = iter(kept_marks)
+    return re.sub(_MARK, lambda m: next(rest), out)
+
+
+def _goes_on(before: str, line: str, found: Found) -> bool:
+    """Does the line begin with the rest of a confirmed broken word?"""
+    a = _HEAD_PART.search(before[-2 * MAX_WORD :].replace(_MARK, " "))
+    b = _TAIL_PART.match(line.replace(_MARK, " ")) if a else None
+    return b is not None and ("good", (a[1] + b[1]).lower()) in found
+
+
+def _words(text: str, found: Found) -> str:
+    """The confirmed words joined, read and replaced, in the order in which the evidence was gathered."""
+    kinds = {k for k, _ in found}
+
+    def spaced(m: re.Match) -> str:
+        w = m[0].replace(" ", "")
+        low = w.lower()
+        for part, whole in ((low, w), (low[1:], f"{w[0]} {w[1:]}"), (low[:-1], f"{w[:-1]} {w[-1]}")):
+            if ("good", part) in found:
+                return whole
+        return m[0]
+
+    def letters(m: re.Match) -> str:
+        forms = [f for f in Gatherer.digits(m[0].lower()) if ("good", f) in found]
+        return _case(m[0], min(forms, key=lambda f: (-found["good", f][0], f))) if forms else m[0]
+
+    if "-" in text or "¬" in text:
+        text = _edit(_BREAK, lambda m: m[1] + m[2] if "¬" in m[0] or ("good", (m[1] + m[2]).lower()) in found else m[0], text)
+    if "good" in kinds:
+        for pattern, fn in ((_SPACED, spaced), (_DIGIT_WORD, letters), (_SIGN_WORD, letters)):
+            text = _edit(pattern, fn, text)
+    if "parts" in kinds:
+        end = -1
+
+        def join(m: re.Match) -> str:
+            nonlocal end
+            if m.start() == end or ("parts", f"{m[1]} {m[3]}".lower()) not in found:
+                return m[0]
+            end = m.end()
+            return m[1]
+
+        text = _edit(_NEXT, join, text)
+    if "bad" in kinds:
+        text = _edit(_WORD, lambda m: _case(m[0], found["bad", m[0].lower()][1]) if ("bad", m[0].lower()) in found else m[0], text)
+    return text
+
+
+def repair_values(df: DataFrame, confirmed: DataFrame, fields: tuple[str, ...], key: str = "id") -> DataFrame:
+    """(key, field, clean) of every value with confirmed damage: all that was confirmed is applied, paragraphs put together."""
+    cols = ("kind", "item", "fix", "n")
+    found = confirmed.groupBy(key, "field").agg(F.collect_set(F.struct(*cols)).alias("_f"))
+    found = found.select(key, "field", *[F.col(f"_f.{c}").alias(c) for c in cols])
     values = melt_fields(df.select(key, *fields).dropDuplicates([key]), key, fields)
     types = dict(df.dtypes)
 
     def run(it):
         model = default_model()
         for pdf in it:
-            pdf["clean"] = [repair(v, words, dict(f or {}), model) for v, f in zip(pdf["value"], pdf["fixes"])]
+            got = [{(k, i): (0 if n is None or n != n else int(n), fix) for k, i, fix, n in zip(*row)} for row in zip(*[pdf[c] for c in cols])]
+            pdf["clean"] = repair_many(pdf["value"].tolist(), got, model)
             yield pdf[[key, "field", "clean"]]
 
-    return values.join(fixes, [key, "field"]).mapInPandas(run, f"{key} {types[key]}, field string, clean string")
+    return values.join(found, [key, "field"]).mapInPandas(run, f"{key} {types[key]}, field string, clean string")
 
 
 def _case(old: str, new: str) -> str:

@@ -79,3 +79,23 @@ def test_whole_path(spark):
     got = {(r.id, r.field, r.kind) for r in scans.confirm(ev, words, bad, good, scans.running_lines(heads)).collect()}
     assert got == {(100, "text_a", "bad"), (101, "text_b", "line")}
     assert scans.word_table(df.limit(0), fields).count() == 0
+
+
+def test_all_that_is_confirmed_is_repaired(spark):
+    df = spark.createDataFrame(
+        [
+            (1, "The ca5ting cools and the mou|d drops."), (2, "Here a c o o l s slowly and <b>the cast-\ning</b> fil ls."), (3, f"{PROSE}\nHollow frame and riser 31"), (4, f"Hollow frame and riser\n{PROSE}\n45"),
+            (5, "The metal fills every cor-\nHollow frame and riser 31\nner of the hollow frame."), (6, "The <i>castlng</i> cools."),
+        ],
+        "id long, final string",
+    )
+    rows = [(1, "good", "casting", "casting", 9), (1, "good", "mould", "mould", 9), (2, "good", "cools", "cools", 9), (2, "good", "casting", "casting", 9), (2, "parts", "fil ls", "fills", 9), (3, "line", "Hollow frame and riser 31", "", None)]
+    rows += [(4, "sure", "number", None, None), (5, "line", "Hollow frame and riser 31", "", None), (5, "good", "corner", "corner", 9), (6, "bad", "castlng", "casting", None)]
+    confirmed = spark.createDataFrame([(i, "final", *r) for i, *r in rows], "id long, field string, kind string, item string, fix string, n long")
+    flat = PROSE.replace("\n", " ")
+    got = {r.id: r.clean for r in scans.repair_values(df, confirmed, ("final",)).collect()}
+    assert got == {1: "The casting cools and the mould drops.", 2: "Here a cools slowly and <b>the casting</b> fills.", 3: flat, 4: f"Hollow frame and riser {flat}", 5: "The metal fills every corner of the hollow frame.", 6: "The <i>casting</i> cools."}
+
+
+def test_word_broken_around_a_running_line_is_evidence():
+    assert ("good", "corner") in G.many(["The metal fills every cor-\nHollow frame and riser 31\nner of the hollow frame."])[0]
