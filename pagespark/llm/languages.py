@@ -104,40 +104,47 @@ _CHAIN.emit = np.eye(len(LANGS))
 _CHAIN.trans = -SWITCH * (1 - np.eye(len(LANGS)))
 
 
-def passages(texts: list[str], scorer: Scorer) -> pd.DataFrame:
-    """(text, lang, words, longest, confidence): per text and language, its words and its longest passage.
+_S, _W = [f"s{k}" for k in range(len(LANGS))], [f"w{k}" for k in range(len(LANGS))]
+
+
+def runs(texts: list[str], scorer: Scorer) -> pd.DataFrame:
+    """(text, passage, start, end, lab, words, s0...): every passage in order, with its offsets in code points and scores.
 
     ``text`` is the position in ``texts``; texts without words have no rows.
     """
     flat: list[int] = []
-    sizes: list[int] = []
-    owner: list[int] = []
+    pieces: list[tuple[int, int, int, int]] = []
     for t, text in enumerate(texts):
         if _MAY.search(text):
-            text = _MARKUP.sub(" ", text)
-        for piece in _PIECE.findall(text.lower()):
-            ws = _WORD.findall(piece)
+            text = _MARKUP.sub(lambda m: " " * len(m[0]), text)
+        for m in _PIECE.finditer(text):
+            ws = _WORD.findall(m[0].lower())
             if ws:
                 flat += scorer.index(ws)
-                sizes.append(len(ws))
-                owner.append(t)
+                pieces.append((t, m.end() - len(m[0].lstrip()), m.start() + len(m[0].rstrip()), len(ws)))
     if not flat:
-        return pd.DataFrame({"text": pd.Series(dtype="int64"), "lang": pd.Series(dtype=object), "words": pd.Series(dtype="int64"), "longest": pd.Series(dtype="int64"), "confidence": pd.Series(dtype=float)})
-    size, own = np.array(sizes), np.array(owner)
+        return pd.DataFrame({c: pd.Series(dtype=float if c in _S else "int64") for c in ("text", "passage", "start", "end", "lab", "words", *_S)})
+    own, start, end, size = np.array(pieces, np.int64).T
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
     score = np.add.reduceat(scorer.rows[np.array(flat)].astype(np.float64), at, axis=0)
     score -= score.max(1, keepdims=True)
     bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), [len(own)]])
     lab = _CHAIN.decode_many(score, bounds)
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (lab[1:] != lab[:-1])])
-    run = np.cumsum(new) - 1
-    runs = pd.DataFrame({"text": own[new], "lab": lab[new], "words": np.bincount(run, size)})
-    total = np.zeros((int(run[-1]) + 1, len(LANGS)))
-    np.add.at(total, run, score)
-    for k in range(len(LANGS)):
-        runs[f"s{k}"] = total[:, k]
-    g = runs.groupby(["text", "lab"], sort=True).agg(words=("words", "sum"), longest=("words", "max"), **{f"s{k}": (f"s{k}", "sum") for k in range(len(LANGS))}).reset_index()
-    s = g[[f"s{k}" for k in range(len(LANGS))]].to_numpy() / np.sqrt(g["words"].to_numpy())[:, None]
+    out = pd.DataFrame({"text": own[new], "start": start[new], "end": end[np.concatenate([new[1:], [True]])], "lab": lab[new]})
+    out.insert(1, "passage", out.groupby("text").cumcount() + 1)
+    first = np.flatnonzero(new)
+    out["words"] = np.add.reduceat(size, first)
+    out[_S] = np.add.reduceat(score, first, axis=0)
+    return out
+
+
+def passages(texts: list[str], scorer: Scorer) -> pd.DataFrame:
+    """(text, lang, words, longest, confidence): per text and language, its words and its longest passage."""
+    g = runs(texts, scorer).groupby(["text", "lab"], sort=True).agg(words=("words", "sum"), longest=("words", "max"), **{c: (c, "sum") for c in _S}).reset_index()
+    if g.empty:
+        return pd.DataFrame({"text": pd.Series(dtype="int64"), "lang": pd.Series(dtype=object), "words": pd.Series(dtype="int64"), "longest": pd.Series(dtype="int64"), "confidence": pd.Series(dtype=float)})
+    s = g[_S].to_numpy() / np.sqrt(g["words"].to_numpy())[:, None]
     e = np.exp(s - s.max(1, keepdims=True))
     g["confidence"] = (e / e.sum(1, keepdims=True))[np.arange(len(g)), g["lab"]]
     g["lang"] = [LANGS[i] for i in g["lab"]]
@@ -229,6 +236,62 @@ def language_rows(df: DataFrame, logp: np.ndarray, key: str, text: str = "text",
     return df.select(key, *extra, text).mapInPandas(run, f"{head}, lang string, words long, longest long, confidence double")
 
 
+def passage_rows(df: DataFrame, logp: np.ndarray, key: str, fields: tuple[str, ...], extra: tuple[str, ...] = (), chunk_chars: int = 500_000) -> DataFrame:
+    """(key, extra..., field, first, passage, start, end, w0..., s0...): one row per passage, and one without a passage number per value.
+
+    Words and scores are kept per language, so that rows can be added up; ``verdict`` turns them into language and
+    confidence.  ``first`` marks the item's first field that is not NULL.
+    """
+    types = dict(df.dtypes)
+    names = [key, *extra, "field", "first", "passage", "start", "end", *_W, *_S]
+
+    def run(it):
+        scorer = Scorer(logp)
+        for pdf in it:
+            at: dict[str, int] = {}
+            cells = []
+            for i, row in enumerate(zip(*[pdf[f] for f in fields])):
+                first = next((f for f, v in zip(fields, row) if v is not None), None)
+                cells += [(i, f, f == first, at.setdefault(v or "", len(at))) for f, v in zip(fields, row)]
+            texts, a = list(at), 0
+            head = pd.DataFrame(cells, columns=["_i", "field", "first", "text"])
+            while a < len(texts):
+                b, n = a, 0
+                while b < len(texts) and (n == 0 or n + len(texts[b]) <= chunk_chars):
+                    n += len(texts[b]) + 1
+                    b += 1
+                r = runs(texts[a:b], scorer)
+                r["text"] += a
+                for k, c in enumerate(_W):
+                    r[c] = np.where(r["lab"] == k, r["words"], 0).astype("int64")
+                whole = pd.DataFrame({"text": range(a, b)}).merge(r.groupby("text")[_W + _S].sum().reset_index(), on="text", how="left").fillna(0)
+                rows = head.merge(pd.concat([r, whole]), on="text")
+                out = pd.concat([pdf[[key, *extra]].iloc[rows["_i"]].reset_index(drop=True), rows], axis=1)[names]
+                yield out.astype({c: "Int64" for c in ("passage", "start", "end")} | dict.fromkeys(_W, "int64"))
+                scorer.trim()
+                a = b
+
+    head = ", ".join(f"{c} {types[c]}" for c in (key, *extra))
+    numbers = ", ".join([f"{c} long" for c in ("passage", "start", "end", *_W)] + [f"{c} double" for c in _S])
+    return df.select(key, *extra, *fields).mapInPandas(run, f"{head}, field string, first boolean, {numbers}")
+
+
+def pooled(rows: DataFrame, key: str) -> DataFrame:
+    """(key, w0..., s0...): the rows of each key added up."""
+    return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in (*_W, *_S)])
+
+
+def verdict() -> list:
+    """(lang, words, confidence) of rows with words and scores: the language with most words and its tempered posterior."""
+    w, s = F.array(*_W), F.array(*_S)
+    words = sum((F.col(c) for c in _W[1:]), F.col(_W[0]))
+    at = F.array_position(w, F.array_max(w)).cast("int")
+    own = F.element_at(s, at)
+    odds = F.aggregate(F.transform(s, lambda x: F.exp(F.least((x - own) / F.sqrt(words), F.lit(700.0)))), F.lit(0.0), lambda acc, x: acc + x)
+    spoken = words > 0
+    return [F.when(spoken, F.element_at(F.array(*[F.lit(x) for x in LANGS]), at)).alias("lang"), F.coalesce(words, F.lit(0)).alias("words"), F.coalesce(F.when(spoken, 1 / odds), F.lit(0.0)).alias("confidence")]
+
+
 def main_of(rows: DataFrame, key: str) -> DataFrame:
     """(key, main): the language with most words of each key; ties go to the first in ``LANGS``."""
     rank = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("lang"))

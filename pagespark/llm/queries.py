@@ -105,9 +105,33 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Languages of every document: words, longest passage and confidence of each."""
+    """Language and confidence of every document, block draft, final and book (passage NULL), and of every passage with its place.
+
+    Junk documents, formulas and pictures have no language; a book speaks through its prose blocks.
+    """
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
-    return languages.language_rows(docs.select("doc_id", "text"), languages.fit(docs), "doc_id")
+    books = table(spark, d, "books", "name").where(F.col("name").isNotNull()).distinct()
+    blocks = table(spark, d, "blocks", "id", "book", "category", "final", "text_a")
+    spoken = ~F.coalesce("category", F.lit("")).isin("Formula", "Picture")
+    blocks = blocks.withColumns({c: F.when(spoken, F.col(c)) for c in ("final", "text_a")})
+    logp = languages.fit(docs)
+    junk = shape.quality(docs, shape.common_words(docs)).where(F.col("shape") == "junk").select("doc_id", F.lit(True).alias("junk")).distinct()
+    doc_rows = languages.passage_rows(docs, logp, "doc_id", ("text",)).join(junk, "doc_id", "left").where(F.col("passage").isNull() | F.col("junk").isNull())
+    rows = languages.passage_rows(blocks, logp, "id", ("final", "text_a"), extra=("book", "category"))
+    block_rows = cut_lineage(rows.dropDuplicates(["id", "field", "passage"]))
+    own = block_rows.where(F.col("passage").isNull() & F.col("first") & in_category(PROSE))
+    book_rows = books.withColumnRenamed("name", "book").join(languages.pooled(own, "book"), "book", "left")
+    lang, words, confidence = languages.verdict()
+    place = ["passage", "start", "end"]
+    none = [F.lit(None).cast("long").alias(c) for c in place]
+    head = lambda src, key, field: [F.lit(src).alias("src"), F.col(key).cast("string").alias("item"), field.alias("field")]
+    quiet = lambda c, name, otherwise: F.when(F.col("junk").isNull(), c).otherwise(otherwise).alias(name)
+    parts = [
+        doc_rows.select(*head("documents", "doc_id", F.col("field")), *place, quiet(lang, "lang", F.lit(None)), words, quiet(confidence, "confidence", F.lit(0.0))),
+        block_rows.select(*head("blocks", "id", F.col("field")), *place, lang, words, confidence),
+        book_rows.select(*head("books", "book", F.lit(None).cast("string")), *none, lang, words, confidence),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

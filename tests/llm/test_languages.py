@@ -63,3 +63,25 @@ def test_empty_sample(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     m = lg.fit(empty)
     assert m.shape == (5, lg.BUCKETS) and np.allclose(m[0], m[1])
+
+
+def test_every_item_and_passage_has_its_row(spark, tmp_path):
+    from pagespark.llm import queries
+
+    rng = random.Random(4)
+    ru, de = " ".join(sentence(rng, "ru") for _ in range(3)), [sentence(rng, "de", 12) for _ in range(3)]
+    text = f"<b>{ru}</b> " + " ".join(f"{x} {ru}" for x in de)
+    train = [(i, t, lab) for i, t, lab, _ in corpus(rng, 100)]
+    spark.createDataFrame([*train, (900, text, None), (901, None, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b", "ru"), ("empty", None)], "name string, lang string").write.parquet(f"{tmp_path}/books.parquet")
+    block = [(1, "b", "Text", ru, de[0]), (1, "b", "Text", ru, de[0]), (2, "b", "Text", None, ru), (3, "b", "Formula", "x^2", None)]
+    spark.createDataFrame(block, "id long, book string, category string, final string, text_a string").write.parquet(f"{tmp_path}/blocks.parquet")
+    rows = queries.p7_languages(spark, str(tmp_path)).collect()
+    one = sorted((r for r in rows if r.item == "900" and r.passage), key=lambda r: r.passage)
+    assert [r.passage for r in one] == [1, 2, 3, 4, 5, 6, 7] and [r.lang for r in one] == ["ru", "de"] * 3 + ["ru"]
+    assert [text[r.start : r.end] + "." for r in one if r.lang == "de"] == de and all(0 < r.confidence <= 1 for r in one)
+    whole = {(r.src, r.item, r.field): (r.lang, r.confidence > 0) for r in rows if r.passage is None}
+    assert whole["documents", "900", "text"] == ("ru", True) and whole["documents", "901", "text"] == (None, False)
+    assert {k[1:]: v for k, v in whole.items() if k[0] == "blocks"} == {("1", "final"): ("ru", True), ("1", "text_a"): ("de", True), ("2", "final"): (None, False), ("2", "text_a"): ("ru", True), ("3", "final"): (None, False), ("3", "text_a"): (None, False)}
+    assert {k[1]: v for k, v in whole.items() if k[0] == "books"} == {"b": ("ru", True), "empty": (None, False)}
+    assert len(rows) == len({(r.src, r.item, r.field, r.passage) for r in rows})
