@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from pagespark.functions import homoglyphs, markdown
+from pagespark.functions import homoglyphs, markdown, tables
 from pagespark.operators import layout
 
 GOLD = "# Head\n\nThe casting cools in the mould at 1 350 °C and more.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n$$x^{2}$$\n\nA second paragraph that is long enough to count."
@@ -31,6 +33,26 @@ def test_best_window():
     assert markdown.best_window("abcdefgh", "zzz")[0] == 0
 
 
+def test_every_start_is_measured():
+    par = "the casting cools slowly in the mold"
+    for off in range(8):
+        hay = "z" * (16 + off) + "tqe casting cools slowly in the qold" + "z" * 40
+        like, at = markdown.best_window(par, hay)
+        assert like == pytest.approx(34 / 36) and at == 16 + off
+    rng = random.Random(3)
+    for _ in range(60):
+        needle, hay = ("".join(rng.choices("abc", k=n)) for n in (rng.randrange(1, 7), rng.randrange(0, 12)))
+        least = min(tables.levenshtein(needle, hay[i:j]) for i in range(len(hay) + 1) for j in range(i, len(hay) + 1))
+        like, start, end = markdown.best_stretch(needle, hay)
+        assert like == pytest.approx(1 - least / len(needle)) and (like == 0 or tables.levenshtein(needle, hay[start:end]) == least)
+
+
+def test_order_looks_behind_the_last_hit_first():
+    one, two = "the casting cools slowly in the mould", "a second paragraph with other words in it"
+    assert markdown.order_share(f"{two} {one} {two.replace('words', 'w0rds')}", [one, two]) == 1
+    assert markdown.order_share(f"{two} {one}", [one, two]) == 0
+
+
 @pytest.mark.parametrize(
     "raw, want",
     [("Мoдель", "Модель"), ("Сплав 12X18 прочен", "Сплав 12Х18 прочен"), ("газ CO2 и Fe3O4", "газ CO2 и Fe3O4"), ("твёрдость HRC45 стали", "твёрдость HRC45 стали"), ("the grade 12X18", "the grade 12X18"), ("сталь $X_1$ <b class='A1'>AB</b>", "сталь $X_1$ <b class='A1'>AB</b>"), ("точка Ac1 стали", "точка Ac1 стали"), ("", "")],
