@@ -1,27 +1,20 @@
 """Text functions as column expressions: normal forms, numbers, distances, loops, language.
 
-Everything here runs inside the JVM.  Patterns carry ``(?U)`` where letters of any
+Everything here runs inside the JVM, but for entities and composition where a text has any.  Patterns carry ``(?U)`` where letters of any
 script must count as letters.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .forms import BASE_DIGITS, CYRILLIC_TWINS, DASHES, LATIN_TWINS, PLAIN_QUOTES, QUOTES, SCRIPT_DIGITS, composed
 
-# Look-alike letters (Latin, Cyrillic), script digits, dashes, quotes.
-LATIN_TWINS = "ABCEHKMOPTXaceopxy"
-CYRILLIC_TWINS = "АВСЕНКМОРТХасеорху"
-SCRIPT_DIGITS = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻₀₁₂₃₄₅₆₇₈₉₊₋"
-BASE_DIGITS = "0123456789+-0123456789+-"
-DASHES = "–—−‒‑"
-QUOTES = "«»“”„‘’"
-PLAIN_QUOTES = "\"\"\"\"\"''"
-# HTML entities that the texts use, in the order they are undone.
-ENTITIES = [("&nbsp;", " "), ("&laquo;", "«"), ("&raquo;", "»"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&")]
 # Inline elements that carry no content of their own.
 INLINE_TAGS = "br|p|div|span|sup|sub|b|i|u|em|strong|small|big|code|a|img|hr|ul|ol|li|h[1-6]"
-NUMBER = r"\d+(?:[.,]\d+)?"
 LETTER = "A-Za-zА-Яа-яЁё"
 
 
@@ -31,10 +24,18 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(spaced, rf"(?i)</?(?:{INLINE_TAGS})\b[^>]*>", "")
 
 
-def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else composed(t))
+
+
+#: Only texts with one of these need composing: an entity, or a combining mark of any script.
+_LOOSE = r"&[#A-Za-z]|\p{M}"
+
+
+def compose(c: Column) -> Column:
+    """Entities undone and accents composed.  Only texts that may need it are sent to Python, the others go as NULL."""
+    return F.coalesce(_composed(F.when(c.rlike(_LOOSE), c)), c)
 
 
 def _fix_word(w: Column) -> Column:
@@ -61,11 +62,11 @@ def homoglyph_words(c: Column) -> Column:
 
 
 def normal(c: Column) -> Column:
-    """Comparison form: entities, script digits, look-alikes, dashes, quotes, decimal braces, × between numbers, spaces."""
-    c = F.translate(unescape(c), SCRIPT_DIGITS, BASE_DIGITS)
-    c = F.translate(homoglyph_words(c), DASHES + QUOTES, "-----" + PLAIN_QUOTES)
+    """Comparison form: entities, composition, script digits, look-alikes, dashes, quotes, decimal braces, × between numbers, spaces."""
+    c = F.translate(compose(c), SCRIPT_DIGITS, BASE_DIGITS)
+    c = F.translate(homoglyph_words(c), DASHES + QUOTES, "-" * len(DASHES) + PLAIN_QUOTES)
     c = F.replace(c, F.lit("{,}"), F.lit(","))
-    c = F.regexp_replace(c, rf"(?U)(?<![\w.,])({NUMBER})(\s*)[×хХ](\s*)(?={NUMBER}(?!\w))", "$1$2x$3")
+    c = F.regexp_replace(c, r"(?U)(?<![\w.,])(\d+(?:[.,]\d+)?\s*)[×хХ](?=\s*\d+(?:[.,]\d+)?(?!\w))", "$1x")
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
@@ -80,7 +81,7 @@ def numbers(c: Column) -> Column:
     c = normal(base_scripts(c))
     c = F.regexp_replace(c, r"(?<!\d)(\d{1,3}) (?=\d{3}(?!\d))", "$1")
     c = F.regexp_replace(c, r"(?<=\d{4,6}) (?=\d{3}(?!\d))", "")
-    return F.regexp_extract_all(c, F.lit(rf"((?:(?<![^\s(])-)?{NUMBER})"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(r"((?:(?<=^|[\s(])-)?\d+(?:[.,]\d+)?)"), F.lit(1))
 
 
 def same_multiset(a: Column, b: Column) -> Column:
@@ -170,8 +171,8 @@ def roman_chapter(part: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Lower case, no punctuation, spaces to hyphens."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w\s-]", "")), r"(?U)\s+", "-")
+    """Lower case, no punctuation, spaces to hyphens, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s-]", ""), r"(?U)\s+", "-"), "^-+|-+$", "")
 
 
 def stem_parts(stem: Column) -> Column:
@@ -189,5 +190,5 @@ def plain_from_html(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
     c = F.regexp_replace(c, r"(?i)<li[^>]*>", "\n- ")
     c = F.regexp_replace(c, r"(?i)</(?:p|div|h[1-6]|ul|ol|table|tr)\s*>", "\n\n")
-    c = unescape(F.regexp_replace(c, r"<[^<>]*>", ""))
+    c = compose(F.regexp_replace(c, r"<[^<>]*>", ""))
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables, text
-from ..functions.homoglyphs import ELEMENTS
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -114,35 +113,75 @@ def fallback(a: Column, b: Column) -> Column:
     return F.struct(F.when(use_b, b).otherwise(a).alias("text"), F.when(use_b, "fallback_b").otherwise("fallback_a").alias("source"))
 
 
-def judge(df: DataFrame, tau: float = 0.15, chars: int = 3) -> DataFrame:
+# Latin units, elements and standards that a Cyrillic answer may use.
+KEPT_LATIN = "Fe Mn Si Cr Ni Mo Cu Al Mg Ti Zn Pb Sn Co Ca Na Mo Nb Zr Ce HB HRC HV HRB MPa GPa kPa kgf Pa mm cm min max SiO Al2O CaO MgO FeO MnO CO NaOH ISO GOST".lower().split()
+
+
+def letter_words(c: Column) -> Column:
+    """Runs of letters outside tags and formulas."""
+    return F.regexp_extract_all(F.regexp_replace(c, r"<[^>]*>|\$[^$]*\$", " "), F.lit(r"(\p{L}+)"), F.lit(1))
+
+
+def _all_latin(w: Column) -> Column:
+    return w.rlike("^[A-Za-z]{3,}$") & ~w.rlike("^[IVXLCDM]+$") & ~F.lower(w).isin(*KEPT_LATIN)
+
+
+def script_change(answer: Column, drafts: Column) -> Column:
+    """First word of the answer that no draft has and that changes the script: Latin letters only, or two alphabets."""
+    known = F.transform(F.flatten(F.transform(drafts, letter_words)), F.lower)
+    both = lambda w: w.rlike("[А-Яа-яЁё]") & w.rlike("[A-Za-z]")
+    return F.get(F.filter(letter_words(answer), lambda w: (_all_latin(w) | both(w)) & ~F.array_contains(known, F.lower(w))), F.lit(0))
+
+
+def blind_note(answer: Column) -> Column:
+    """Remark on an answer that no draft can vouch for: its Latin words, and its share of Cyrillic letters if under half."""
+    latin = F.array_sort(F.array_distinct(F.filter(letter_words(answer), _all_latin)))
+    letters, cyr = F.regexp_count(answer, F.lit(r"\p{L}")), F.regexp_count(answer, F.lit("[А-Яа-яЁё]"))
+    share = F.when(letters > 0, cyr / letters).otherwise(F.lit(1.0))
+    return F.concat(
+        F.lit("unverified: no drafts"), F.when(F.size(latin) > 0, F.concat(F.lit("; latin: "), F.array_join(latin, ", "))).otherwise(""),
+        F.when(share < 0.5, F.concat(F.lit("; cyrillic share "), F.format_string("%.2f", share))).otherwise(""),
+    )
+
+
+def judge(df: DataFrame, tau: float = 0.15, chars: int = 3, lang: str | None = None) -> DataFrame:
     """Adds verdict struct(status, source, text, cer, note) for an answer to two drafts.
 
-    Needs kind, text_a, text_b, answer, error.  The budget of changes is the larger of ``tau`` times the length of the
-    nearer draft and ``chars``.
+    Needs kind, text_a, text_b, answer, error, and a column ``lang`` (name given by ``lang``) where the language
+    matters: Russian answers other than formulas must not change the script.  The budget of changes is the larger of
+    ``tau`` times the length of the nearer draft and ``chars``.
     """
     kind = F.coalesce("kind", F.lit(""))
     form = lambda c: F.when(kind == "table", tables.canonical_table(c)).when(kind == "formula", text.formula_form(c)).otherwise(text.text_form(c))
     drafts = F.filter(F.array("text_a", "text_b"), lambda d: d.isNotNull() & (F.trim(d) != ""))
-    fb = fallback(F.col("text_a"), F.col("text_b"))
-    out = df.withColumn("_fb", fb).withColumn("_n", F.size(drafts)).withColumn("_ans", form(F.regexp_replace("answer", r"<img\b[^>]*>", "")))
+    russian = (kind != "formula") & (F.lit(True) if lang is None else F.coalesce(F.col(lang), F.lit("ru")) == "ru")
+    out = df.withColumn("_fb", fallback(F.col("text_a"), F.col("text_b"))).withColumn("_drafts", drafts).withColumn("_script", F.when(russian, script_change(F.col("answer"), F.col("_drafts"))))
+    bare = F.when(kind == "table", F.regexp_replace("answer", r"<img\b[^>]*>", "")).otherwise(F.col("answer"))
+    out = out.withColumn("_ans", form(bare))
     for c, name in (("text_a", "_da"), ("text_b", "_db")):
         d = form(F.col(c))
         out = out.withColumn(name, F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.struct(F.levenshtein(F.col("_ans"), d).alias("d"), d.alias("t"))))
-    out = out.withColumn("_near", F.least("_da", "_db")).withColumn("_cer", F.col("_near.d") / F.greatest(F.length("_ans"), F.length("_near.t"), F.lit(1)))
+    far_off = F.col("_script").isNull()  # a change of script is reported without a distance
+    out = out.withColumn("_near", F.least("_da", "_db")).withColumn("_cer", F.when(far_off, F.col("_near.d") / F.greatest(F.length("_ans"), F.length("_near.t"), F.lit(1))))
     limit = F.greatest(F.lit(tau) * F.length("_near.t"), F.lit(float(chars)))
-    failed = F.col("error").isNotNull() | F.col("answer").isNull()
-    far = F.col("_near.d") > limit
+    reason = F.when(F.col("_script").isNotNull(), F.concat(F.lit("script changed: "), "_script")).when(
+        F.col("_near.d") > limit, F.concat(F.lit("cer "), F.format_string("%.3f", F.col("_cer")), F.lit(": "), F.col("_near.d").cast("string"), F.lit(" chars > "), F.bround(limit, 0).cast("long").cast("string"))
+    )
+    out = out.withColumn("_reason", reason)
     s = lambda status, source, txt, cer, note: F.struct(F.lit(status).alias("status"), source.alias("source"), txt.alias("text"), cer.cast("double").alias("cer"), note.cast("string").alias("note"))
     arb, none = F.lit("arbiter"), F.lit(None)
-    blank = F.trim("_fb.text") == ""
+    blank_answer = F.trim("answer") == ""
+    blank_draft = F.coalesce(F.trim("_fb.text") == "", F.lit(True))
+    blind_remark = F.when(russian, blind_note(F.col("answer"))).otherwise("unverified: no drafts")
     verdict = (
-        F.when(failed, s("failed", F.col("_fb.source"), F.col("_fb.text"), none, F.coalesce("error", F.lit("no answer"))))
-        .when(F.col("_n") == 0, F.when(F.trim("answer") == "", s("failed", arb, F.col("answer"), none, F.lit("empty answer, no drafts"))).otherwise(s("done", arb, F.col("answer"), none, F.lit("unverified: no drafts"))))
-        .when(~far, s("done", arb, F.col("answer"), F.col("_cer"), none))
-        .when(F.coalesce(blank, F.lit(True)), s("done", arb, F.col("answer"), F.col("_cer"), F.lit("kept: fallback empty")))
-        .otherwise(s("rejected", F.col("_fb.source"), F.col("_fb.text"), F.col("_cer"), F.concat(F.col("_near.d").cast("string"), F.lit(" changes"))))
+        F.when(F.col("error").isNotNull() | F.col("answer").isNull(), s("failed", F.col("_fb.source"), F.col("_fb.text"), none, F.coalesce(F.nullif("error", F.lit("")), F.lit("no answer"))))
+        .when((F.size("_drafts") == 0) & blank_answer, s("failed", arb, F.col("answer"), none, F.lit("empty answer, no drafts")))
+        .when(F.size("_drafts") == 0, s("done", arb, F.col("answer"), none, blind_remark))
+        .when(F.col("_reason").isNull(), s("done", arb, F.col("answer"), F.col("_cer"), none))
+        .when(blank_draft & ~blank_answer, s("done", arb, F.col("answer"), F.col("_cer"), F.concat(F.lit("kept: fallback empty: "), "_reason")))
+        .otherwise(s("rejected", F.col("_fb.source"), F.col("_fb.text"), F.col("_cer"), F.col("_reason")))
     )
-    return out.withColumn("verdict", verdict).drop("_fb", "_n", "_ans", "_da", "_db", "_near", "_cer")
+    return out.withColumn("verdict", verdict).drop("_fb", "_drafts", "_script", "_ans", "_da", "_db", "_near", "_cer", "_reason")
 
 
 # --- proposed corrections -------------------------------------------------------------------------------------
@@ -152,6 +191,11 @@ RELATIONS = "/×÷·=±<>≤≥%+"
 DOUBLED = "×÷·=±"
 CONFUSED = "OoОоlIіЗзбВАСЕНКМРТХаерсух"
 CONFUSED_AS = "0000111336BACEHKMPTXaepcyx"
+# Element symbols that a correction must not turn into Cyrillic.
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu"
+).split()
 SCRIPT = "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
 
 
@@ -162,19 +206,24 @@ def _no_scripts(c: Column) -> Column:
 
 
 def _signs(c: Column) -> Column:
-    plain = text.unescape(F.regexp_replace(c, r"</?[A-Za-z][^<>]*>", ""))
+    plain = text.compose(F.regexp_replace(c, r"</?[A-Za-z][^<>]*>", ""))
     return F.regexp_extract_all(plain, F.lit(f"([{RELATIONS}])"), F.lit(1))
 
 
 def _loses(a: Column, b: Column) -> Column:
     """Does array b lack an element of array a, counting repeats?"""
-    return F.exists(F.array_distinct(a), lambda x: F.size(F.filter(a, lambda y: y == x)) > F.size(F.filter(b, lambda y: y == x)))
+    times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
+    return text.once(F.struct(a.alias("a"), b.alias("b")), lambda s: F.exists(F.array_distinct(s["a"]), lambda x: times(s["a"], x) > times(s["b"], x)))
+
+
+def same_number(was: Column, now: Column) -> Column:
+    """Decimal fractions that differ in a leading zero only: 0.15 and .15."""
+    fraction = lambda c: F.regexp_extract(F.trim(c), r"^0?([.,]\d+)$", 1)
+    return (fraction(was) != "") & (fraction(was) == fraction(now))
 
 
 def fix_reason(was: Column, now: Column) -> Column:
     """Why a correction must not be made, NULL if it may; rules in order, the first that holds names the reason."""
-    leading = lambda c: F.trim(c).rlike(r"^0?[.,]\d+$")
-    same_value = leading(was) & leading(now) & (F.ltrim(F.trim(was), F.lit("0")) == F.ltrim(F.trim(now), F.lit("0")))
     digits = lambda c: F.regexp_replace(_no_scripts(c), r"\D", "")
     looks = lambda c: F.translate(F.translate(F.regexp_replace(c, r"<[^<>]*>", ""), SCRIPT, "01234567890123456789"), CONFUSED, CONFUSED_AS)
     plain = lambda c: F.trim(_no_scripts(c))
@@ -185,9 +234,9 @@ def fix_reason(was: Column, now: Column) -> Column:
     double_word = lambda c: c.rlike(rf"\b([{text.LETTER}]{{3,}}),\s*\1\b")
     hyphens = F.regexp_extract_all(now, F.lit(rf"([{text.LETTER}]{{2,}}-[{text.LETTER}]{{2,}})"), F.lit(1))
     return (
-        F.when((was == now) | same_value, F.lit(None).cast("string"))
+        F.when((was == now) | same_number(was, now), F.lit(None).cast("string"))
         .when((F.trim(was) != "") & (F.trim(now) == ""), "deletes text")
-        .when(text.unescape(was) == text.unescape(now), "escapes markup")
+        .when(text.compose(was) == text.compose(now), "escapes markup")
         .when((digits(was) != digits(now)) & (looks(was) != looks(now)), "changes digits")
         .when(twice, "doubles operator")
         .when(_loses(_signs(was), _signs(now)), "changes operator")
@@ -203,8 +252,8 @@ def fix_reason(was: Column, now: Column) -> Column:
 def _latin_elements(c: Column) -> Column:
     """Two-letter element symbols that stand alone, and one-letter ones after a percent sign."""
     plain = F.regexp_replace(c, r"(?s)<(?:sub|sup)>.*?</(?:sub|sup)>", " ")
-    two = F.filter(F.regexp_extract_all(plain, F.lit(rf"(?<![{text.LETTER}])([A-Z][a-z])(?![{text.LETTER}])"), F.lit(1)), lambda e: e.isin(*[x for x in sorted(ELEMENTS) if len(x) == 2]))
-    one = F.filter(F.regexp_extract_all(plain, F.lit(rf"%\s*([A-Z])(?![{text.LETTER}])"), F.lit(1)), lambda e: e.isin(*[x for x in sorted(ELEMENTS) if len(x) == 1]))
+    two = F.filter(F.regexp_extract_all(plain, F.lit(rf"(?<![{text.LETTER}])([A-Z][a-z])(?![{text.LETTER}])"), F.lit(1)), lambda e: e.isin(*[x for x in ELEMENTS if len(x) == 2]))
+    one = F.filter(F.regexp_extract_all(plain, F.lit(rf"%\s*([A-Z])(?![{text.LETTER}])"), F.lit(1)), lambda e: e.isin(*[x for x in ELEMENTS if len(x) == 1]))
     return F.size(two) + F.size(one)
 
 
@@ -229,7 +278,7 @@ def context_reasons(fixes: DataFrame, refused: DataFrame | None = None, corpus:
         term = F.col("was").rlike(long) & bare.rlike(long) & (F.levenshtein(F.lower("was"), bare, 2) >= 0) & (F.coalesce("_n", F.lit(0)) >= seen)
     shifts = F.coalesce("_was", F.lit(False)) | F.coalesce("_now", F.lit(False))
     own = fix_reason(F.col("was"), F.col("now"))
-    same = F.col("was") == F.col("now")
+    same = (F.col("was") == F.col("now")) | same_number(F.col("was"), F.col("now"))
     reason = F.when(~same & F.coalesce("_no", F.lit(False)), "rejected by user").otherwise(F.coalesce(own, F.when(~same & shifts, "shifts value"), F.when(~same & term, "normalizes term")))
     return out.select("id", "block", "was", "now", reason.alias("reason"))
 

@@ -54,11 +54,19 @@ def page_pairs(left: DataFrame, right: DataFrame, cell: int = 256) -> DataFrame:
     return pairs.where((F.col("gx") == fx) & (F.col("gy") == fy)).select("book", "page", "l", "r")
 
 
+# Kinds of blocks whose frame may hold tables and pictures that are not theirs.
+MASKED_KINDS = ("text", "title", "caption", "footnote", "list", "formula")
+
+
 def masked(blocks: DataFrame, share: float = 0.5) -> DataFrame:
-    """(id, other, share): tables and pictures that lie to at least ``share`` inside a text block of their page."""
-    texts = blocks.where("category in ('Text','List-item','Footnote')")
-    others = blocks.where("category in ('Table','Picture')")
-    p = page_pairs(texts, others).withColumn("share", intersection(F.col("l.bbox"), F.col("r.bbox")) / area(F.col("r.bbox")))
+    """(id, other, share): tables and pictures that lie to at least ``share`` inside a block of text or formula of their page.
+
+    Blocks inside another one mask nothing.  Needs id, book, page, category, kind, parent, bbox.
+    """
+    texts = blocks.where(F.col("kind").isin(*MASKED_KINDS))
+    others = blocks.where("category in ('Table','Picture') and parent is null")
+    both = intersection(F.col("l.bbox"), F.col("r.bbox"))
+    p = page_pairs(texts, others).where(F.col("l.id") != F.col("r.id")).withColumn("share", F.when(area(F.col("r.bbox")) > 0, both / area(F.col("r.bbox"))))
     return p.where(F.col("share") >= share).select(F.col("l.id").alias("id"), F.col("r.id").alias("other"), F.round("share", 4).alias("share"))
 
 

@@ -135,7 +135,7 @@ BAND_SQL = "bbox IS NOT NULL AND (bbox.y2 <= 0.08 * height OR bbox.y1 >= 0.92 *
 
 
 def _sig():
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower("txt"), "[0-9]+", ""), r"\s+", " "))
+    return text.signature(F.col("txt"))
 
 
 def _placed(spark, d):
@@ -476,13 +476,13 @@ def draft_errors(spark, d):
 
 @query(
     "masked_boxes",
-    f"""WITH {B}, t AS (SELECT id, book, page, bbox FROM b WHERE category IN ('Text','List-item','Footnote') AND bbox IS NOT NULL AND bbox.x2 >= bbox.x1 AND bbox.y2 >= bbox.y1), o AS (SELECT id, book, page, bbox FROM b WHERE category IN ('Table','Picture') AND bbox IS NOT NULL AND bbox.x2 >= bbox.x1 AND bbox.y2 >= bbox.y1),
-    x AS (SELECT t.id, o.id AS other, greatest(0, least(t.bbox.x2, o.bbox.x2) - greatest(t.bbox.x1, o.bbox.x1))::DOUBLE * greatest(0, least(t.bbox.y2, o.bbox.y2) - greatest(t.bbox.y1, o.bbox.y1)) / ((o.bbox.x2 - o.bbox.x1)::DOUBLE * (o.bbox.y2 - o.bbox.y1)) AS s
-      FROM t JOIN o ON t.book = o.book AND t.page = o.page) SELECT id, other, round(s, 4) AS share FROM x WHERE s >= 0.5""",
+    f"""WITH {B}, t AS (SELECT id, book, page, bbox FROM b WHERE kind IN ('text','title','caption','footnote','list','formula') AND bbox IS NOT NULL AND bbox.x2 >= bbox.x1 AND bbox.y2 >= bbox.y1), o AS (SELECT id, book, page, bbox FROM b WHERE category IN ('Table','Picture') AND parent IS NULL AND bbox IS NOT NULL AND bbox.x2 >= bbox.x1 AND bbox.y2 >= bbox.y1),
+    x AS (SELECT t.id, o.id AS other, greatest(0, least(t.bbox.x2, o.bbox.x2) - greatest(t.bbox.x1, o.bbox.x1))::DOUBLE * greatest(0, least(t.bbox.y2, o.bbox.y2) - greatest(t.bbox.y1, o.bbox.y1)) / nullif((o.bbox.x2 - o.bbox.x1)::DOUBLE * (o.bbox.y2 - o.bbox.y1), 0) AS s
+      FROM t JOIN o ON t.book = o.book AND t.page = o.page AND t.id <> o.id) SELECT id, other, round(s, 4) AS share FROM x WHERE s >= 0.5""",
 )
 def masked_boxes(spark, d):
-    """Tables and pictures inside a text block."""
-    return geometry.masked(schemas.block_rows(spark, d, "book", "page", "category", "bbox"))
+    """Tables and pictures inside a block of text or formula."""
+    return geometry.masked(schemas.block_rows(spark, d, "book", "page", "category", "kind", "parent", "bbox"))
 
 
 @query(

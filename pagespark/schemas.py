@@ -46,10 +46,10 @@ def page_rows(spark: SparkSession, d: str) -> DataFrame:
 def block_rows(spark: SparkSession, d: str, *cols: str, heavy: bool = False) -> DataFrame:
     """Blocks with one row per id; whole rows are repeated, so any of them will do.
 
-    ``heavy`` spreads the rows over as many partitions as ``spark.sql.shuffle.partitions`` names, for queries that spend
-    long on each row: adaptive coalescing goes by bytes and would leave few, long tasks.  It is the same one shuffle.
+    ``heavy`` is for queries that spend long on each row: the rows are rebalanced by id, so adaptive execution splits
+    them by their size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) whatever the number of shuffle partitions.
     """
     rows = scan(spark, d, "blocks", "id", *cols)
     if heavy:
-        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+        return rows.dropDuplicates(["id"]).hint("rebalance", "id")
     return rows.dropDuplicates(["id"])

@@ -30,8 +30,11 @@ LABEL_LIST = {
     "formula_number": "Text", "algorithm": "Text",
 }
 HTML_LABELS = {
-    "Caption": "Caption", "Footnote": "Footnote", "Equation-Block": "Formula", "List-Group": "List-item", "Page-Header": "Page-header", "Page-Footer": "Page-footer", "Image": "Picture", "Figure": "Picture",
-    "Diagram": "Picture", "Section-Header": "Section-header", "Table": "Table",
+    "Caption": "Caption", "Footnote": "Footnote", "Equation-Block": "Formula", "List-Group": "List-item",
+    "Page-Header": "Page-header", "Page-Footer": "Page-footer", "Image": "Picture", "Figure": "Picture",
+    "Diagram": "Picture", "Section-Header": "Section-header", "Table": "Table", "Text": "Text",
+    "Complex-Block": "Text", "Code-Block": "Text", "Form": "Text", "Table-Of-Contents": "Text",
+    "Chemical-Block": "Formula", "Bibliography": "Text",
 }
 
 

@@ -57,8 +57,9 @@ def test_order_looks_behind_the_last_hit_first():
     "raw, want",
     [("Мoдель", "Модель"), ("Сплав 12X18 прочен", "Сплав 12Х18 прочен"), ("газ CO2 и Fe3O4", "газ CO2 и Fe3O4"), ("твёрдость HRC45 стали", "твёрдость HRC45 стали"), ("the grade 12X18", "the grade 12X18"), ("сталь $X_1$ <b class='A1'>AB</b>", "сталь $X_1$ <b class='A1'>AB</b>"), ("точка Ac1 стали", "точка Ac1 стали"), ("", "")],
 )
-def test_output_homoglyphs(raw, want):
-    assert homoglyphs.fix_text(raw) == want
+def test_output_homoglyphs(spark, raw, want):
+    df = spark.createDataFrame([(raw,), (None,)], "t string")
+    assert [r.x for r in df.select(homoglyphs.fix_output("t").alias("x")).collect()] == [want, None]
 
 
 def test_chains(spark):

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagespark import schemas
 from pagespark.operators import consensus, evaluate, events, geometry, layout, pages, tablediff, vocabulary
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
@@ -26,6 +27,20 @@ def test_decisions(spark):
     assert sweep[0.0] == sweep[0.01] + 1
 
 
+def test_judge_scripts(spark):
+    rows = [
+        ("text", "Сталь мягкая", None, "Steel мягкая", None), ("text", "Сталь 12 MPa", None, "Сталь 12 MPa", None), ("text", "Модель", None, "Мoдель", None),
+        ("formula", "x", None, "abc", None), ("text", " ", None, "Сталь VII", None), ("text", None, None, " ", None), ("text", " ", "", "алмаз", ""),
+    ]
+    df = spark.createDataFrame(rows, "kind string, text_a string, text_b string, answer string, error string")
+    got = [r.verdict for r in consensus.judge(df).collect()]
+    assert [(v.status, v.note) for v in got] == [
+        ("rejected", "script changed: Steel"), ("done", None), ("rejected", "script changed: Мoдель"), ("done", None), ("done", "unverified: no drafts"),
+        ("failed", "empty answer, no drafts"), ("failed", "no answer"),
+    ]
+    assert got[0].cer is None and got[0].text == "Сталь мягкая"
+
+
 def test_judge(spark):
     rows = [
         (1, "text", "metal cools", "metal cools", "metal cools", None), (2, "text", "metal cools", None, "something else entirely here", None), (3, "text", "", None, "new text", None),
@@ -34,7 +49,7 @@ def test_judge(spark):
     df = spark.createDataFrame(rows, "id long, kind string, text_a string, text_b string, answer string, error string")
     got = {r.id: r.verdict for r in consensus.judge(df).collect()}
     assert (got[1].status, got[1].source) == ("done", "arbiter") and (got[2].status, got[2].source) == ("rejected", "fallback_a")
-    assert got[3].note == "unverified: no drafts" and got[4].note == "no answer" and got[5].source == "fallback_b" and got[6].status == "failed"
+    assert got[3].note == "unverified: no drafts; latin: new, text; cyrillic share 0.00" and got[4].note == "no answer" and got[5].source == "fallback_b" and got[6].status == "failed"
 
 
 @pytest.mark.parametrize(
@@ -128,7 +143,11 @@ def test_geometry(spark):
     B = lambda *b: dict(zip(("x1", "y1", "x2", "y2"), b))
     rows = [(1, "b", "p", "Text", B(0, 0, 1000, 1000)), (2, "b", "p", "Table", B(100, 100, 400, 400)), (3, "b", "p", "Picture", B(900, 900, 1300, 1300)), (4, "b", "q", "Table", B(0, 0, 10, 10)), (5, "b", "p", "Text", None), (6, "b", "p", "Caption", B(120, 120, 130, 130))]
     df = spark.createDataFrame(rows, f"id long, book string, page string, category string, bbox {BOX}")
-    assert [(r.id, r.other, r.share) for r in geometry.masked(df).collect()] == [(1, 2, 1.0)]
+    kinds = df.withColumn("kind", schemas.kind_of(F.col("category"))).withColumn("parent", F.lit(None).cast("long"))
+    assert [(r.id, r.other, r.share) for r in geometry.masked(kinds).collect()] == [(1, 2, 1.0)]
+    titled = kinds.withColumn("kind", F.when(F.col("id") == 1, "title").otherwise(F.col("kind")))
+    assert [r.id for r in geometry.masked(titled).collect()] == [1]
+    assert geometry.masked(kinds.withColumn("parent", F.when(F.col("id") == 2, 9))).count() == 0
     assert {(r.id, r.inside) for r in geometry.centres_inside(df, df.where("category='Table'")).collect()} == {(6, 2)}
     pairs = geometry.page_pairs(df, df).where("l.id < r.id")
     ids = sorted((r.l.id, r.r.id) for r in pairs.collect())
