@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -48,14 +50,32 @@ def melt_fields(df: DataFrame, key: str, fields: Sequence[str], extra: Sequence[
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the cluster's shared checkpoint folder and read it from there; survives lost executors.
+    """Write the frame to the cluster's shared checkpoint folder and read it from there; survives lost executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is set.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, ``spark.checkpoint.dir``.
+
+    Where that is unset, a session that runs in one process (as in tests) gets a temporary one; on a cluster a folder
+    of one machine would lose what others write, so there it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagespark-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagespark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as a column table in the shared folder: later steps read only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def memo(fn: Callable[[str], object], limit: int = 50_000) -> Callable[[str], object]:

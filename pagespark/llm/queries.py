@@ -16,15 +16,50 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that stand on many pages of their book."""
     blocks = table(spark, d, "blocks", "id", F.col("book").alias("source"), "page", "category", F.col("final").alias("text"))
-    rows = lines.lines_of(blocks.where(textual()))
-    return lines.found(rows, lines.repeated(rows, blocks))
+    rows = lines.line_table(lines.lines_of(blocks.where(textual())))
+    return lines.found(rows, lines.repeated(rows, lines.page_counts(blocks)))
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     """Every text that holds a repeated line, without it."""
     blocks = table(spark, d, "blocks", "id", F.col("book").alias("source"), "page", "category", F.col("final").alias("text"))
     own = blocks.where(textual())
-    return lines.rebuild(own, cut_lineage(lines.repeated(lines.lines_of(own), blocks)))
+    rows = lines.line_table(lines.lines_of(own))
+    return lines.rebuild(own, rows, cut_lineage(lines.repeated(rows, lines.page_counts(blocks))))
+
+
+def _arrivals(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The blocks as two deliveries, which together are the whole table: later blocks are those of a hash."""
+    blocks = table(spark, d, "blocks", "id", F.col("book").alias("source"), "page", "category", F.col("final").alias("text"))
+    later = F.xxhash64("id") % 2 == 0
+    return [blocks.where(~later), blocks.where(later)]
+
+
+def _after_delta(spark: SparkSession, d: str) -> tuple[list[DataFrame], DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(deliveries, line table, that of the second, repeated lines, crossings) after the second delivery was merged into the tables of the first."""
+    first, second = _arrivals(spark, d)
+    state = lines.line_table(lines.lines_of(first.where(textual())))
+    counts, pages = cut_lineage(lines.count_table(state)), cut_lineage(lines.page_table(first))
+    before = cut_lineage(lines.repeated(state, lines.page_counts(pages), counts=counts))
+    delta = lines.line_table(lines.lines_of(second.where(textual())))
+    counts, pages = cut_lineage(lines.merge_counts(counts, state, delta)), lines.page_table(pages.unionByName(lines.page_table(second)))
+    whole = lines.merge(state, delta)
+    after = cut_lineage(lines.repeated(whole, cut_lineage(lines.page_counts(pages)), counts=counts))
+    return [first, second], whole, delta, after, cut_lineage(lines.crossings(before, after))
+
+
+def p1_delta(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of ``p1_found`` by way of two deliveries merged one after the other; ``late``: it took the second to see it."""
+    _, whole, _, after, crossed = _after_delta(spark, d)
+    late = lines.found(whole, crossed.where("crossed")).withColumn("late", F.lit(True))
+    return lines.found(whole, after).join(late, ["id", "line_no"], "left").select("id", "line_no", F.coalesce("late", F.lit(False)).alias("late"))
+
+
+def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The texts to write after the second delivery: its own with a repeated line, and old ones with a line that it lifted over the threshold or left behind."""
+    arrived, whole, delta, after, crossed = _after_delta(spark, d)
+    own = arrived[0].unionByName(arrived[1]).where(textual())
+    return lines.rebuild(own, whole, after, crossed, delta)
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +254,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_canonical,
+        p1_found, p1_clean, p1_delta, p1_rebuilt, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_canonical,
         p7_found, p7_languages, p8_containers, p8_usage, p9_mixture, p9_shares, p10_found, p10_statistics,
     ]
     return {f.__name__: f for f in own}

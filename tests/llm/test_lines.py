@@ -27,11 +27,11 @@ def same(a, b):
     return a[i:] == b[i + 1 :] or any(a[:k] == b[:k] and a[k + 1 :] == b[k + 2 :] for k in range(len(a)))
 
 
-def run(spark, data, state=None):
+def run(spark, data):
     df = rows_of(spark, data)
-    ln = lines.lines_of(df)
-    rep = lines.repeated(ln, df, state=state)
-    return {(r.id, r.line_no) for r in lines.found(ln, rep).collect()}, df, rep
+    table = lines.line_table(lines.lines_of(df))
+    rep = lines.repeated(table, lines.page_counts(df))
+    return {(r.id, r.line_no) for r in lines.found(table, rep).collect()}, df, rep
 
 
 def noise(i, n=25):
@@ -98,22 +98,54 @@ def test_brute_force(spark):
     assert got == want
 
 
-def test_increment_equals_whole(spark):
+def test_rare_readings_of_a_class_count(spark):
+    """48 of 1,200 pages are needed: a centre on 12, and four readings on 9 each that share different halves with it."""
+    base = "theoldworkshopofcastingandforging"
+    readings = [base] * 12 + [base[:3] + "q" + base[4:]] * 9 + [base[:-3] + "q" + base[-2:]] * 9 + [base[:5] + base[6:]] * 9 + [base[:-6] + base[-5:]] * 9
+    data = [(i, "s", f"p{i}", readings[i] if i < 48 else noise(i), "e") for i in range(1200)]
+    assert {i for i, _ in run(spark, data)[0]} == set(range(48))
+    assert run(spark, data + [(5000 + i, "s", f"q{i}", noise(5000 + i), "e") for i in range(25)])[0] == set()
+
+
+def test_light_half_is_counted(spark):
+    """A reading that shares only a half that few pages have still belongs to the class."""
+    base = "theoldworkshopofcastingandforging"
+    data = [(i, "s", f"p{i}", base, "e") for i in range(4)] + [(4, "s", "p4", base[:-2] + "zg", "e"), (5, "s", "p5", "q" + base[1:], "e")]
+    assert {i for i, _ in run(spark, data)[0]} == set(range(6))
+
+
+def test_delta_alone_is_enough(spark):
+    """The state's tables and the delta give the whole result; no old line is handed over again."""
     data = book(20, random.Random(2), "Deep moulds and the hot core")
-    old, new = data[:4], data[4:]
-    olds = rows_of(spark, old)
-    state = lines.occurrences(lines.lines_of(olds))
-    before = lines.repeated(lines.lines_of(olds), olds)
-    assert before.count() == 0
-    merged = lines.merge(lines.merge(state, lines.occurrences(lines.lines_of(rows_of(spark, new)))), state)
-    every = rows_of(spark, data)
-    whole = lines.occurrences(lines.lines_of(every))
-    assert merged.exceptAll(whole).count() == 0 and whole.exceptAll(merged).count() == 0
-    after = lines.repeated(lines.lines_of(every), every, state=state)
+    for cut in (4, 16):
+        old, new = rows_of(spark, data[:cut]), rows_of(spark, data[cut:])
+        state, delta = lines.line_table(lines.lines_of(old)), lines.line_table(lines.lines_of(new))
+        counts = lines.count_table(state)
+        before = lines.repeated(state, lines.page_counts(old), counts=counts)
+        merged = lines.merge_counts(lines.merge_counts(counts, state, delta), lines.merge(state, delta), delta)  # delivered twice
+        every = rows_of(spark, data)
+        whole = lines.line_table(lines.lines_of(every))
+        key = lambda d: sorted(map(tuple, d.collect()))
+        assert key(merged) == key(lines.count_table(whole))
+        pages = lines.page_counts(lines.page_table(old).unionByName(lines.page_table(new)))
+        after = lines.repeated(lines.merge(state, delta), pages, counts=merged)
+        assert key(after) == key(lines.repeated(whole, lines.page_counts(every)))
+        crossed = lines.crossings(before, after)
+        assert (before.count() == 0) == (cut == 4) and (crossed.where("crossed").count() > 0) == (cut == 4)
+        clean = {r.id: r.clean for r in lines.rebuild(every, lines.merge(state, delta), after, crossed, delta).collect()}
+        assert all("moulds" not in t.lower() and t.endswith(" x") for t in clean.values())
+        assert set(clean) == set(range(20) if cut == 4 else range(16, 20))  # old documents only for lines that crossed
+
+
+def test_lines_fall_behind(spark):
+    few = [(i, "s", f"p{i}", "Running title here", "e") for i in range(5)]
+    more = [(100 + i, "s", f"q{i}", noise(i), "e") for i in range(200)]
+    old, every = rows_of(spark, few), rows_of(spark, few + more)
+    a, b = lines.line_table(lines.lines_of(old)), lines.line_table(lines.lines_of(every))
+    before, after = lines.repeated(a, lines.page_counts(old)), lines.repeated(b, lines.page_counts(every))
     crossed = lines.crossings(before, after)
-    assert crossed.count() > 0
-    clean = {r.id: r.clean for r in lines.rebuild(every, crossed).collect()}
-    assert len(clean) == 20 and all("moulds" not in t.lower() and t.endswith(" x") for t in clean.values())
+    assert before.count() == 1 and after.count() == 0 and [r.crossed for r in crossed.collect()] == [False]
+    assert {r.clean for r in lines.rebuild(every, b, after, crossed).collect()} == {"Running title here"}
 
 
 def test_nulls_empty_and_repeats(spark):
