@@ -74,12 +74,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_markup(blocks).select("id", "field").distinct()
 
 
-def _limits(spark: SparkSession, d: str) -> list[tuple[str, int, int | None]]:
-    """The limits per category: a small fixed table, checked to be one."""
-    rows = table(spark, d, "split_limits", "category", "max_chars", "overlap_chars").limit(1_001).collect()
-    if len(rows) > 1_000:
-        raise ValueError("the table of limits is meant to be small")
-    return [(r.category, r.max_chars, r.overlap_chars) for r in rows if r.category is not None and r.max_chars is not None]
+def _limits(spark: SparkSession, d: str) -> DataFrame | list[tuple[str, int, int | None]]:
+    """The limits per category as a list, or as the table it is where they are many."""
+    limits = table(spark, d, "split_limits", "category", "max_chars", "overlap_chars").where("category is not null and max_chars is not null").distinct()
+    rows = limits.limit(split.FEW + 1).collect()
+    return limits if len(rows) > split.FEW else [tuple(r) for r in rows]
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -48,6 +48,22 @@ def test_defined_cases(spark):
         split.split_items(spark.createDataFrame([], "id long, final string, category string"), [("Text", 0, 0)])
 
 
+def test_table_of_limits_equals_list(spark):
+    rows = [(i, "word and more; text.\n" * (i % 7), ["Text", "Tiny", "Table", "Odd", "None"][i % 5]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, final string, category string")
+    table = spark.createDataFrame([*LIMITS, ("Text", 90, 1), (None, 3, 1), ("None", None, 1)], "category string, max_chars int, overlap_chars int")
+    assert sorted(split.split_items(df, table).collect()) == sorted(split.split_items(df, LIMITS).collect())
+    with pytest.raises(Exception, match="under 1"):
+        split.split_items(df, spark.createDataFrame([("Text", 0, 0)], "category string, max_chars int, overlap_chars int")).collect()
+
+
+def test_overlap_over_several_pieces(spark):
+    df = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz" * 3, "Text"), (2, "\U0001f600" * 50, "Text")], "id long, final string, category string")
+    for r in split.split_items(df, [("Text", 10, 8)]).collect():
+        text = ("abcdefghijklmnopqrstuvwxyz" * 3) if r.id == 1 else "\U0001f600" * 50
+        assert r.piece == text[r.start : r.start + r.n_chars] and r.core_start - r.start == min(8, r.core_start) and r.n_chars <= 10
+
+
 def test_long_text(spark):
     text = "word and more. " * 40_000
     p = pieces(spark, [(1, text, "Text", "e")])[1]
