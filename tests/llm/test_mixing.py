@@ -55,3 +55,29 @@ def test_equal_sizes_ties_and_edges(spark):
     assert used.count() == 100 and {r.source: r.share for r in report.collect()} == {"a": 1.0, "gone": 0.0}
     used, report = mixing.mixture(df.limit(0), t)
     assert used.count() == 0 and report.count() == 1
+
+
+def test_many_sources(spark, monkeypatch):
+    """Thousands of sources, by join as by broadcast, with a plan that doesn't grow with them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{i % 3000}", int(rng.integers(1, 50))) for i in range(15_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([(f"s{k}", 1.0 + k % 3, 2) for k in range(3000)], "source string, weight double, max_repeats int")
+    used, report = mixing.mixture(df, t)
+    got = sorted(used.collect())
+    spent = {}
+    for r in got:
+        spent[r.source] = spent.get(r.source, 0) + r.tokens * r.uses
+    targets = mixing.targets_of(t)
+    budget = {r.source: r.budget for r in mixing.plan(mixing.hashed(df), targets).collect()}
+    assert len(budget) == 3000 and all(spent.get(s, 0) <= b + 1e-6 for s, b in budget.items())
+    assert abs(sum(r.share for r in report.collect()) - 1) < 1e-9
+    monkeypatch.setattr(mixing, "SMALL", 10)
+    assert sorted(mixing.mixture(df, t)[0].collect()) == got
+
+
+def test_boundary_is_refined_to_the_last_document(spark):
+    """A bucket of several documents is told apart further: no document that fits is left out."""
+    df = spark.createDataFrame([(i, "a", 1) for i in range(20_000)], "doc_id long, source string, tokens long")
+    t = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
+    assert mixing.mixture(df, t, total=12_345)[0].count() == 12_345
