@@ -15,6 +15,7 @@ documents are labelled whole; the common-word list may be empty.
 
 from __future__ import annotations
 
+import math
 import re
 import textwrap
 from collections import Counter
@@ -25,8 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
 from .crf import LinearChain
 
+#: A list of this many common words is sent to all tasks; a longer one is joined.
+SENT = 300_000
 KINDS = ("prose", "list", "table", "junk")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _MARK = re.compile(r"\s*(?:[•·*–—\-+§]|\(?\d{1,3}(?:\.\d{1,3})*[.)]|\d{1,3}(?:\.\d{1,3})+(?=\s+[^\W\d])|\(?[a-zа-я][.)])\s+(?=\S)", re.I)
@@ -155,10 +159,23 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_docs"))
 
 
-def common_words(docs: DataFrame, top: int = 50_000, min_docs: int = 3) -> list[str]:
-    """The ``top`` words that stand in most documents; at most ``top`` strings reach the driver."""
-    rows = word_counts(docs).where(F.col("n_docs") >= min_docs).orderBy(F.desc("n_docs"), "word").limit(top).collect()
-    return [r.word for r in rows]
+def common_words(docs: DataFrame, text: str = "text", min_docs: int = 3, rate: float = 1e-5) -> DataFrame:
+    """The words that stand in at least ``min_docs`` documents and in ``rate`` of all, however many these are."""
+    least = max(min_docs, math.ceil(rate * docs.count()))
+    return cut_lineage(word_counts(docs, text).where(F.col("n_docs") >= least).select("word"))
+
+
+def known_words(docs: DataFrame, common: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, known): the common ones among the words of each document, by a join with the whole table."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(it):
+        for pdf in it:
+            rows = [(k, w) for k, t in zip(pdf[key], pdf[text]) if t for w in set(_WORD.findall(t.lower())) if len(w) >= KNOWN_LETTERS]
+            yield pd.DataFrame(rows, columns=[key, "word"])
+
+    words = docs.select(key, text).mapInPandas(run, f"{key} {kind}, word string")
+    return words.join(common, "word").groupBy(key).agg(F.collect_set("word").alias("known"))
 
 
 def label(texts: list[str], common: frozenset[str], model: LinearChain | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,18 +212,24 @@ def summarise(stats: np.ndarray, lab: np.ndarray, bounds: np.ndarray) -> pd.Data
     return pd.DataFrame(dict(zip(names, [*cols, shape])))
 
 
-def quality(docs: DataFrame, common: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, statistics..., label shares, shape) of every document; ``common`` is bounded by ``common_words``."""
-    words = frozenset(common)
+def quality(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text", sent: int = SENT) -> DataFrame:
+    """(key, statistics..., label shares, shape) of every document.
+
+    A list of at most ``sent`` common words is sent to all tasks; a longer one is joined with the words of the documents.
+    """
+    few = [r.word for r in common.limit(sent + 1).collect()]
+    words = frozenset(few) if len(few) <= sent else None
+    rows = docs.select(key, text) if words is not None else docs.select(key, text).join(known_words(docs, common, key, text), key, "left")
     model = default_model()
 
     def run(it):
         for pdf in it:
             texts = pdf[text].tolist()
             for a in range(0, len(texts), 512):
-                res = summarise(*label(texts[a : a + 512], words, model))
+                own = words if words is not None else frozenset(w for ws in pdf["known"].iloc[a : a + 512] if ws is not None for w in ws)
+                res = summarise(*label(texts[a : a + 512], own, model))
                 res.insert(0, key, pdf[key].to_numpy()[a : a + 512])
                 yield res.astype(object).where(res.notna(), None) if res.isna().any().any() else res
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, {SCHEMA}")
+    return rows.mapInPandas(run, f"{key} {kind}, {SCHEMA}")

@@ -31,14 +31,22 @@ def test_shapes(spark):
     assert abs(sum(got["mixed"][f"{k}_share"] for k in shape.KINDS) - 1) < 1e-9
 
 
+def test_long_word_lists_are_joined(spark):
+    df = spark.createDataFrame([(k, t, 1) for k, _, t in docs()] + [("none", None, 1), ("twice", "Steel mould.", 1), ("twice", "Steel mould.", 1)], "doc_id string, text string, word int")
+    common = shape.common_words(df)
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(shape.quality(df, common, sent=3)) == key(shape.quality(df, common))
+    assert shape.common_words(df, rate=0.5).count() < common.count()
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "Steel is hot.\nMould 12"), (2, None), (3, "   \n "), (4, "x " * 60_000)], "doc_id long, text string")
-    got = {r.doc_id: r for r in shape.quality(df, ["steel"]).collect()}
+    got = {r.doc_id: r for r in shape.quality(df, spark.createDataFrame([("steel",)], "word string")).collect()}
     a = got[1]
     assert (a.n_lines, a.n_words) == (2, 4) and a.mean_word_length == pytest.approx(15 / 4) and a.end_punct_share == 0.5 and a.common_word_share == 0.5
     assert got[2].shape == got[3].shape == "junk" and got[2].symbol_ratio is None and got[2].n_lines == 0
     assert got[4].n_lines == 1
-    assert shape.quality(df.limit(0), []).count() == 0
+    assert shape.quality(df.limit(0), shape.common_words(df.limit(0))).count() == 0
 
 
 def test_model_is_a_distribution():
