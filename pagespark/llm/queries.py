@@ -100,10 +100,10 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values of which at least half repeats what they have said; the labelled lines pick them, the exact share confirms."""
+    """Values of which at least half lies in lines labelled as repeating what the value has said."""
     blocks = table(spark, d, "blocks", "id", "category", "text_b", "arbiter_text", "arbiter_raw").where(textual())
     shares = repetition.measure(blocks)
-    return shares.where((F.col("labelled_share") >= 0.2) & (F.col("exact_share") >= 0.5)).select("id", "field").distinct()
+    return shares.where(F.col("labelled_share") >= 0.5).select("id", "field").distinct()
 
 
 SCAN_FIELDS = ("text_a", "text_b", "final")
