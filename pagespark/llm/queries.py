@@ -246,14 +246,20 @@ def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values with characters other than they seem."""
+    """Values with a token that its skeleton group spells otherwise."""
     blocks = table(spark, d, "blocks", "id", "text_a", "final")
-    return skeleton.canonicalise(blocks, _codes(spark, d)).select("id", "field").distinct()
+    return skeleton.respell(*skeleton.survey(blocks, _codes(spark, d))).select("id", "field").distinct()
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of several spellings that look the same, with the consistent one."""
+    blocks = table(spark, d, "blocks", "id", "text_a", "final")
+    return skeleton.skeleton_groups(skeleton.survey(blocks, _codes(spark, d))[1]).where("n_spellings > 1")
 
 
 def queries() -> dict[str, Query]:
     own = [
-        p1_found, p1_clean, p1_delta, p1_rebuilt, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_canonical,
+        p1_found, p1_clean, p1_delta, p1_rebuilt, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_shares, p5_found, p5_repaired, p6_found, p6_canonical, p6_groups,
         p7_found, p7_languages, p8_containers, p8_usage, p9_mixture, p9_shares, p10_found, p10_statistics,
     ]
     return {f.__name__: f for f in own}

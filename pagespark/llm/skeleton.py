@@ -1,44 +1,54 @@
 """Problem 6: visually identical text with different characters.
 
-Method: confusables skeleton.  A text is decomposed, every character is replaced
+Method: confusables skeleton.  A token is decomposed, every character is replaced
 by the prototype of its look-alike class, and the result is decomposed again;
-texts with equal skeletons look the same.  ``canonical`` brings a text to one
-consistent form: invisible characters go, every space becomes U+0020, accents
-are composed, full-width and joined forms are expanded, a word of two alphabets
-is rewritten in its majority alphabet, and designations take the spelling of the
-reference list that has the same skeleton.
+tokens with equal skeletons look the same and form a group.  ``survey`` reads every
+text once: it counts the spellings of the corpus by skeleton and keeps the values
+with a token that may not be spelled as it looks (characters that don't show, odd
+spaces, loose accents, wide or joined forms, two alphabets in a word, a skeleton of
+the reference list).  ``respell`` gives each such token the spelling of its group: the
+listed designation; else its spelling in one alphabet if the corpus has it; else the
+group's most frequent consistent spelling; else the spelling in one alphabet.  A value
+is a case if a token's group spells it otherwise.
+
+``Canonicaliser`` is the same for one text on its own, where no corpus is at hand.
 
 Defined results: NULL stays NULL, the empty text stays empty, a text of any
 length is treated whole; the reference list may be empty.  Ties between the two
-alphabets of a word go to the alphabet of the nearest unambiguous letters of the
-text (Cyrillic if the text has none).
+alphabets of a word go to the alphabet of most letters of the text (Cyrillic if
+there are as many of both); equally frequent spellings go to the greater string.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Sequence
+from collections import Counter
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_frames, melt_fields, memo
+from .common import stored
 
-# Look-alike letters, prototype first (Latin), then its Cyrillic and Greek twins.
+# Look-alike letters, prototype first (Latin), then its Cyrillic, Greek, Armenian and other twins.
 LOOKALIKES = [
-    "AАΑ", "BВΒ", "CС", "EЕΕ", "HНΗ", "IІΙ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "SЅ", "TТΤ", "XХΧ", "YУΥ", "ZΖ",
-    "aаα", "cс", "eе", "iіι", "jј", "kкκ", "oоο", "pрρ", "sѕ", "xхχ", "yуγ", "vν", "uυ", "hһ", "dԁ", "qԛ", "wԝ",
+    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "LԼ", "MМΜϺ", "NΝ", "OОΟՕ", "PРΡ", "QԚ", "SЅՏ", "TТΤ", "UՍ", "VѴ", "WԜ", "XХΧ", "YҮΥ", "ZΖ",
+    "aаα", "cсϲ", "dԁ", "eе", "gց", "hһհ", "iіιı", "jјϳ", "kкκ", "lӏ", "nո", "oоοօσ", "pрρ", "qԛգ", "sѕ", "uυս", "vνѵ", "wԝω", "xхχ", "yуγү", "ÆӔ", "æӕ", "ÐĐ", "əә",
 ]
-#: Cyrillic letters that look like Latin small capitals; used only inside designations and capital words.
-SMALL_CAPS = ["Mм", "Tт", "Hн", "Bв"]
 
-#: Every twin -> Latin prototype.
+#: Every twin -> Latin prototype, and every letter of a class -> its member of one alphabet.
 PROTO = {ord(t): g[0] for g in LOOKALIKES for t in g[1:]}
-TO_CYR = {ord(t): c for g in LOOKALIKES for c in [next((x for x in g if "CYRILLIC" in unicodedata.name(x)), None)] if c for t in g}
-TO_LAT = {ord(t): g[0] for g in LOOKALIKES for t in g[1:]}
-TO_GRK = {ord(t): c for g in LOOKALIKES for c in [next((x for x in g if "GREEK" in unicodedata.name(x)), None)] if c for t in g}
+
+
+def _into(alphabet: str, rare: str = "ӀԌԼԚѴԜҮցհӏոօգսѵүӔӕ") -> dict[int, str]:
+    """Letters a word may be rewritten with: those in use today, not every one that looks alike."""
+    own = [(g, next((x for x in g if unicodedata.name(x).startswith(alphabet) and x not in rare), None)) for g in LOOKALIKES]
+    return {ord(t): c for g, c in own if c for t in g if t != c}
+
+
+TO_CYR, TO_LAT, TO_GRK = _into("CYRILLIC"), _into("LATIN"), _into("GREEK")
 
 #: Characters that show nothing: soft hyphen, zero-width and direction marks, joiners, byte-order mark.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufe00-\ufe0f"
@@ -80,11 +90,6 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFKD", d)
 
 
-def code_key(token: str) -> str:
-    """Skeleton of a designation: case matters, small capitals count as capitals."""
-    return skeleton(token)
-
-
 def _alphabet(word: str) -> tuple[int, int, int]:
     return len(_CYR_RE.findall(word)), len(_LAT_RE.findall(word)), len(_GRK_RE.findall(word))
 
@@ -112,14 +117,14 @@ class Canonicaliser:
         self.codes = {c for c in codes if c}
         self.by_key: dict[str, str] = {}
         for c in sorted(self.codes):
-            self.by_key.setdefault(code_key(c), c)
+            self.by_key.setdefault(skeleton(c), c)
         self.cores = {len(k) for k in self.by_key}
 
     def designation(self, token: str) -> str | None:
         """The listed spelling if the token only looks like it."""
         if len(token) not in self.cores or token in self.codes:
             return None
-        hit = self.by_key.get(code_key(token))
+        hit = self.by_key.get(skeleton(token))
         return hit if hit != token else None
 
     def __call__(self, text: str) -> tuple[str, str]:
@@ -172,34 +177,145 @@ class Canonicaliser:
         return out, ",".join(faults)
 
 
-def canonicalise(blocks: DataFrame, codes: Sequence[str], fields: Sequence[str] = ("text_a", "final"), key: str = "id") -> DataFrame:
-    """(key, field, value, clean, faults): one row per value that had a fault.
+#: A token: letters and digits with what may be hidden in or joined to them; or a run of odd spaces.
+_SPELLED = re.compile(f"[0-9{_CYR}{_LAT}{_GRK}{INVISIBLE}{JOINED}{ACCENT}]+|[{ODD_SPACE}]+")
+
+
+def alphabet_of(text: str) -> bool:
+    """Is the text Cyrillic, for words that could be either?"""
+    n = len(_CYR_RE.findall(text))
+    return n > 0 and n * 2 >= len(_LAT_RE.findall(text))
+
+
+def ruled(token: str, cyrillic_text: bool) -> tuple[str, str]:
+    """(the token spelled consistently, kinds of fault) by the token alone: nothing hidden, composed, each word in one alphabet."""
+    out, faults = token, []
+    for name, pattern, fn in (("invisible", _INVIS_RE, ""), ("space", _SPACE_RE, " "), ("joined", _JOINED_RE, lambda m: unicodedata.normalize("NFKC", m[0]))):
+        if pattern.search(out):
+            faults.append(name)
+            out = pattern.sub(fn, out)
+    composed = unicodedata.normalize("NFC", out)
+    if composed != out:
+        faults.append("accent")
+        out = composed
+    if _MIX_RE.search(out):
+        faults.append("alphabet")
+        out = _WORD_RE.sub(lambda w: _one_alphabet(w[0], cyrillic_text) if _MIX_RE.search(w[0]) else w[0], out)
+    return out, ",".join(faults)
+
+
+class Surveyor:
+    """What one task learns: the spellings of its texts, and the values with tokens to look up in their group."""
+
+    def __init__(self, codes: Iterable[str]):
+        self.codes = {c for c in codes if c}
+        self.listed: dict[str, str] = {}
+        for c in sorted(self.codes):
+            self.listed.setdefault(skeleton(c), c)
+        self.lengths = {len(k) for k in self.listed}
+        self.counts: Counter[str] = Counter()
+        self.keys: dict[str, str] = {}
+
+    def key(self, token: str) -> str:
+        """Skeleton of the token, remembered."""
+        got = self.keys.get(token)
+        if got is None:
+            if len(self.keys) > 300_000:
+                self.keys.clear()
+            got = self.keys[token] = token if token.isascii() else skeleton(token)
+        return got
+
+    def tokens(self, text: str) -> list[dict]:
+        """The tokens of the text to look up, each once, with its group and its spelling by rule."""
+        found = _SPELLED.findall(text)
+        self.counts.update(found)
+        cyrillic: bool | None = None
+        out = []
+        for tok in dict.fromkeys(found):
+            plain = tok.isascii()
+            hit = self.listed.get(self.key(tok)) if len(tok) in self.lengths or not plain else None
+            if hit is not None:
+                if hit != tok and tok not in self.codes:
+                    out.append({"was": tok, "skeleton": self.key(tok), "now": hit, "faults": "designation", "listed": True})
+                continue
+            if plain or not (_ODD_RE.search(tok) or _MIX_RE.search(tok)):
+                continue
+            cyrillic = alphabet_of(text) if cyrillic is None else cyrillic
+            now, faults = ruled(tok, cyrillic)
+            if faults:
+                out.append({"was": tok, "skeleton": self.key(tok), "now": now, "faults": faults, "listed": False})
+        return out
+
+    def spellings(self) -> list[tuple[str, str, int, bool]]:
+        """(skeleton, spelling, n, consistent) counted so far; the count begins anew."""
+        rows = [(self.key(t), t, n, t.isascii() or not (_ODD_RE.search(t) or _MIX_RE.search(t))) for t, n in self.counts.items() if not t.isspace()]
+        self.counts.clear()
+        return rows
+
+
+TOKENS = "array<struct<was:string,skeleton:string,now:string,faults:string,listed:boolean>>"
+
+
+def survey(blocks: DataFrame, codes: Sequence[str], fields: Sequence[str] = ("text_a", "final"), key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(values with tokens to look up, spellings by skeleton), from one pass over the texts, written once.
 
     ``codes`` is a short reference list (its size is the caller's bound; it travels with the task closure).
     """
     codes = tuple(codes)
+    names = [key, "field", "value", "tokens", "skeleton", "spelling", "n", "consistent"]
+
+    def words(s: Surveyor) -> pd.DataFrame:
+        return pd.DataFrame([(None, None, None, None, *row) for row in s.spellings()], columns=names, dtype=object)
 
     def run(it):
-        fn = memo(Canonicaliser(codes))
+        s = Surveyor(codes)
         for pdf in it:
-            res = [fn(v) for v in pdf["value"]]
-            pdf["clean"] = [r[0] for r in res]
-            pdf["faults"] = [r[1] for r in res]
-            yield pdf[pdf["faults"] != ""][[key, "field", "value", "clean", "faults"]]
+            rows, done = [], {}
+            for k, *vals in zip(pdf[key], *[pdf[f] for f in fields]):
+                for f, v in zip(fields, vals):
+                    if v:
+                        if v not in done:
+                            done[v] = s.tokens(v)
+                        if done[v]:
+                            rows.append((k, f, v, done[v], None, None, None, None))
+            if rows:
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+            if len(s.counts) > 200_000:
+                yield words(s)
+        yield words(s)
 
-    melted = melt_fields(blocks.select(key, *fields), key, fields)
     kind = dict(blocks.dtypes)[key]
-    return melted.mapInPandas(run, f"{key} {kind}, field string, value string, clean string, faults string")
+    both = stored(blocks.select(key, *fields).mapInPandas(run, f"{key} {kind}, field string, value string, tokens {TOKENS}, skeleton string, spelling string, n long, consistent boolean"))
+    return both.where("tokens is not null").select(key, "field", "value", "tokens"), both.where("spelling is not null").select("skeleton", "spelling", "n", "consistent")
 
 
-def skeleton_groups(values: DataFrame, col: str) -> DataFrame:
-    """Distinct spellings of ``col`` with the same skeleton: (skeleton, n_spellings, n_rows, spelling)."""
-    counts = values.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
+def skeleton_groups(spellings: DataFrame) -> DataFrame:
+    """(skeleton, n_spellings, n_rows, spelling): the groups, each with its most frequent consistent spelling (NULL if none is)."""
+    counts = spellings.groupBy("skeleton", "spelling").agg(F.sum("n").alias("n"), F.bool_or("consistent").alias("consistent"))
+    rank = F.when(F.col("consistent"), F.struct("n", "spelling"))
+    return counts.groupBy("skeleton").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"), F.max(rank)["spelling"].alias("spelling"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"skeleton": [skeleton(v) for v in pdf[col]], "spelling": pdf[col], "n": pdf["n"]})
 
-    keyed = map_frames(counts.select(col, "n"), run, "skeleton string, spelling string, n long")
-    return keyed.groupBy("skeleton").agg(
-        F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"), F.max_by("spelling", F.struct("n", "spelling")).alias("spelling")
-    )
+def respell(values: DataFrame, spellings: DataFrame, key: str = "id") -> DataFrame:
+    """(key, field, was, now, faults): every token whose group spells it otherwise."""
+    asked = values.select(key, "field", F.explode("tokens").alias("t")).select(key, "field", "t.*").distinct()
+    known = spellings.where("consistent").select(F.col("spelling").alias("now")).distinct().withColumn("_known", F.lit(True))
+    groups = skeleton_groups(spellings.join(asked.select("skeleton").distinct(), "skeleton", "left_semi")).select("skeleton", "spelling")
+    found = asked.join(known, "now", "left").join(groups, "skeleton", "left")
+    now = F.when(F.col("listed") | F.col("_known"), F.col("now")).otherwise(F.coalesce("spelling", "now"))
+    return found.select(key, "field", "was", now.alias("now"), "faults").where("was <> now")
+
+
+def canonicalise(blocks: DataFrame, codes: Sequence[str], fields: Sequence[str] = ("text_a", "final"), key: str = "id") -> DataFrame:
+    """(key, field, value, clean, faults): one row per value that had a fault, with every token as its group spells it."""
+    values, spellings = survey(blocks, codes, fields, key)
+    fixes = respell(values, spellings, key).groupBy(key, "field").agg(F.map_from_entries(F.collect_set(F.struct("was", "now"))).alias("map"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("faults", ","))))), ",").alias("faults"))
+
+    def run(it):
+        for pdf in it:
+            pdf["clean"] = [_SPELLED.sub(lambda m: dict_.get(m[0], m[0]), v) for v, dict_ in zip(pdf["value"], map(dict, pdf["map"]))]
+            yield pdf[[key, "field", "value", "clean", "faults"]]
+
+    kind = dict(blocks.dtypes)[key]
+    rows = values.select(key, "field", "value").distinct().join(fixes, [key, "field"])
+    return rows.mapInPandas(run, f"{key} {kind}, field string, value string, clean string, faults string")

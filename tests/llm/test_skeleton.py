@@ -45,6 +45,19 @@ def test_operator_with_nulls_and_no_codes(spark):
 
 
 def test_groups(spark):
-    df = spark.createDataFrame([("вал",), ("вaл",), ("вал",), (None,), ("шов",)], "w string")
-    got = {(r.n_spellings, r.n_rows, r.spelling) for r in skeleton.skeleton_groups(df, "w").collect()}
+    df = spark.createDataFrame([(1, "вал", "вaл"), (2, "вал", None), (3, "шов", "")], "id long, text_a string, final string")
+    got = {(r.n_spellings, r.n_rows, r.spelling) for r in skeleton.skeleton_groups(skeleton.survey(df, [])[1]).collect()}
     assert got == {(2, 3, "вал"), (1, 1, "шов")}
+
+
+def test_group_names_the_spelling(spark):
+    """A word that could be of either alphabet takes the spelling its group has; without the group the rule would miss it."""
+    rows = [(1, "xox сор", "cоp of it"), (2, "cop cop cop", None), (3, "Cталь", "Сталь"), (4, "１２", "x\u00a0y"), (5, "41T4X18", "41Т4Х18")]
+    df = spark.createDataFrame(rows, "id long, text_a string, final string")
+    got = {(r.id, r.field): (r.was, r.now, r.faults) for r in skeleton.respell(*skeleton.survey(df, ["41Т4Х18"])).collect()}
+    assert got == {
+        (1, "final"): ("cоp", "cop", "alphabet"), (3, "text_a"): ("Cталь", "Сталь", "alphabet"), (4, "text_a"): ("１２", "12", "joined"),
+        (4, "final"): ("\u00a0", " ", "space"), (5, "text_a"): ("41T4X18", "41Т4Х18", "designation"),
+    }
+    none = skeleton.respell(*skeleton.survey(df.limit(0), []))
+    assert none.count() == 0
