@@ -62,16 +62,19 @@ def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     return lines.rebuild(own, whole, after, crossed, delta)
 
 
+def _markup(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "blocks", "id", "category", "final", "arbiter_text", "text_a").where(textual())
+    return markup.clean_markup(blocks, w=markup.sample_weights(blocks, ("final", "arbiter_text"), "text_a"))
+
+
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Clean text, constructs and content share of every value with markup."""
-    blocks = table(spark, d, "blocks", "id", "category", "final", "arbiter_text").where(textual())
-    return markup.clean_markup(blocks).distinct()
+    """Clean text, constructs, content share and residue score of every value with markup."""
+    return _markup(spark, d).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Values that still hold markup."""
-    blocks = table(spark, d, "blocks", "id", "category", "final", "arbiter_text").where(textual())
-    return markup.clean_markup(blocks).select("id", "field").distinct()
+    """Values whose residue of markup scores above 0."""
+    return _markup(spark, d).select("id", "field").distinct()
 
 
 def _limits(spark: SparkSession, d: str) -> DataFrame | list[tuple[str, int, int | None]]:
