@@ -98,6 +98,7 @@ def fill(items: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     checkpoint folder first, so that nothing is measured twice.
     """
     cut = cut_lineage(pieces(items, key, size, capacity))
+    none = items.where(~F.coalesce(F.col(size) > 0, F.lit(False))).select(key, F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("container"))
     full = cut.where(F.col("length") == capacity).select(key, "piece_no", "start", "length", F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), F.col("piece_no")).alias("container"))
     rest = cut.where(F.col("length") < capacity)
     n = rest.count()
@@ -108,7 +109,7 @@ def fill(items: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     again = _repack(loose, max(1, -(-m // per_stream)), capacity)
     placed = first.join(again, "container", "left").select(key, "piece_no", "length", F.coalesce("moved", "container").alias("container"))
     start = F.col("piece_no").cast("long") * capacity
-    return placed.select(key, "piece_no", start.alias("start"), "length", "container").unionByName(full)
+    return placed.select(key, "piece_no", start.alias("start"), "length", "container").unionByName(full).unionByName(none)
 
 
 def _repack(loose: DataFrame, streams: int, capacity: int) -> DataFrame:
@@ -126,5 +127,5 @@ def _repack(loose: DataFrame, streams: int, capacity: int) -> DataFrame:
 
 def usage(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(containers, used, unused_share) of a packing."""
-    boxes = placed.groupBy("container").agg(F.sum("length").alias("used"))
+    boxes = placed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("length").alias("used"))
     return boxes.agg(F.count("*").alias("containers"), F.sum("used").alias("used"), (1 - F.sum("used") / (F.count("*") * F.lit(float(capacity)))).alias("unused_share"))

@@ -9,11 +9,15 @@ corpus: a word is misread when another word one misreading away is at least
 ``ratio`` times as frequent in the language where the word is most at home.
 
 The mapper only gathers evidence (broken words, joined words, suspicious words,
-running-line candidates).  What needs the corpus is confirmed by joins with the
+running-line candidates): a hyphen at a line end is a break where the line is labelled
+as body, break or item, a line is looked up as a running line where its header score is
+near the best.  What needs the corpus is confirmed by joins with the
 word tables and the running-line table, so nothing that grows with the corpus is
-broadcast: the list of known words sent along holds at most ``KNOWN`` words and
-only saves evidence rows.  The repair applies what was confirmed for the value, no
-more and no less: it has no word list of its own.
+broadcast.  The list of known words sent along, the ``KNOWN`` most frequent good ones,
+only saves rows that the joins would refuse: a good word is never bad, and two words
+that are both among the most frequent can only be parts of a word that is 20 times as
+frequent as one of them, hence in the list as well.  The repair applies what was
+confirmed for the value, no more and no less: it has no word list of its own.
 
 Defined results: NULL and empty values have no evidence; a value that is one
 running line or number as a whole is no case unless a word in it is misread;
@@ -37,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import skeleton
+from . import repetition, skeleton
 from .common import melt_fields
 from .crf import LinearChain
 from .lines import _halves, line_key, one_misreading
@@ -46,18 +50,21 @@ from .lines import _halves, line_key, one_misreading
 KNOWN = 200_000
 #: A neighbour must be this many times as frequent for a word to count as its misreading.
 RATIO = 20
-#: A value that compresses below this share of its bytes has run away (problem 4).
-RUNAWAY = 0.3
+#: Only values that compress below this share of their bytes are searched for loops (a text without one doesn't).
+LOOPING = 0.3
 #: A line whose header score is at most this much below its best score is looked up among the running lines.
 DOUBT = 5.0
-#: Runs of letters longer than this are unspaced runs, not words.
-MAX_WORD = 40
+#: Runs of letters longer than this are unspaced runs, not words of any of the languages.
+MAX_WORD = 100
 
 # Function words that tell the Latin-script languages apart.
 STOP = {
-    "en": "the of and is are a an at by with from than for to which while not more in on if then",
-    "de": "der die das des dem den und ist nicht von bei mit auf zur wird einer eine als so sich",
-    "fr": "le la les du de des et est une un au aux pour dans sur par que qui il se",
+    "en": "the of and is are was were be been a an at by with from than for to which while not more in on if then this that these those it its as or but has have had can will would "
+    "should must may when where there their they we our into over under between after before during through each such",
+    "de": "der die das dem den und ist sind war waren nicht von bei mit auf zu zum zur wird werden wurde einer eine einem einen eines ein als so sich auch aus nach durch für über unter "
+    "zwischen oder aber wenn dass daß kann können muß muss bis noch nur sowie dieser diese dieses",
+    "fr": "le la les du de des et est sont une un au aux pour dans sur par que qui il elle ils se ce cette ces son sa ses avec sans sous entre ou mais donc plus ne pas peut être "
+    "après avant lorsque dont très deux leur",
 }
 _STOP = {w: lang for lang, ws in STOP.items() for w in ws.split()}
 # Digits and signs, and the letters they are read for (Cyrillic, Latin).
@@ -215,6 +222,24 @@ def label_many(values: list[list[str]], model: LinearChain) -> tuple[list[list[i
     return [a for a, _ in both], [b for _, b in both]
 
 
+def outside_loops(text: str) -> set[str] | None:
+    """The words of a text that loops, but for those inside what it has said before and those broken off where a loop begins.
+
+    None for a text that doesn't loop.  A loop begins where the first window that comes again stood for the first time;
+    recognition ran away there in the middle of a word.
+    """
+    raw = text.encode()
+    if len(text) <= 120 or len(zlib.compress(raw, 1)) >= LOOPING * len(raw):
+        return None
+    even = re.sub(r"\d", "0", text)  # a loop may count
+    codes = np.frombuffer(even.encode("utf-32-le", "surrogatepass"), np.uint32)
+    said = repetition.covered(repetition.seen_windows(codes, np.zeros(len(codes), np.int64)))
+    begun = np.flatnonzero(said & ~np.concatenate([[False], said[:-1]])).tolist()
+    edges = {e for b in begun for e in (b, even.find(even[b : b + repetition.WINDOW]))}
+    near = {e + k for e in edges for k in range(-3, 5)}
+    return {m[0] for m in _WORD.finditer(text) if m.end() not in near and not said[m.start() : m.end()].any()}
+
+
 def language(words: list[str]) -> str:
     """Language of lower-case words by script and function words; x when nothing tells."""
     cyr = [w for w in words if "\u0400" <= w[0] <= "\u04ff"]
@@ -264,7 +289,7 @@ def judge_words(words: DataFrame, ratio: int = RATIO, min_length: int = 4) -> tu
     """(bad words, good words).
 
     A word belongs to the language where it is most frequent.  There it is bad if a word one misreading away is
-    ``ratio`` times as frequent, or if it is two frequent words without the space.
+    ``ratio`` times as frequent, or if it is two frequent words without the space.  Function words are never bad.
     """
     rank = F.struct("n", F.col("lang") != "x", "lang")
     home = words.groupBy("word").agg(F.max_by(F.struct("lang", "n"), rank).alias("h"), F.sum("n").alias("n_all")).select("word", "h.lang", "h.n", "n_all")
@@ -276,14 +301,14 @@ def judge_words(words: DataFrame, ratio: int = RATIO, min_length: int = 4) -> tu
     misread = rare.join(frequent, ["lang", "v"]).where((F.col("n") * ratio <= F.col("n_right")) & one_misreading(F.col("word"), F.col("right"))).groupBy("word").agg(F.max_by("right", F.struct("n_right", "right")).alias("fix"))
     # two frequent words run together
     splits = F.transform(F.sequence(F.lit(2), F.length("word") - 2), lambda i: F.struct(F.substring("word", F.lit(1), i).alias("a"), F.substring(F.col("word"), i + 1, F.length("word")).alias("b")))
-    cut = long.where(F.length("word") >= 5).select("word", "lang", "n", F.explode(splits).alias("s")).select("word", "lang", "n", "s.a", "s.b")
+    cut = long.where(F.length("word") >= 5).join(F.broadcast(best), "lang").where(F.col("n") * ratio <= F.col("best")).select("word", "lang", "n", F.explode(splits).alias("s")).select("word", "lang", "n", "s.a", "s.b")
     parts = solid
     glued = (
         cut.join(parts.select(F.col("word").alias("a"), F.col("lang"), F.col("n").alias("na")), ["a", "lang"]).where(F.col("na") >= F.col("n") * ratio)
         .join(parts.select(F.col("word").alias("b"), F.col("lang"), F.col("n").alias("nb")), ["b", "lang"]).where(F.col("nb") >= F.col("n") * ratio)
         .groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.struct(F.least("na", "nb"), "a")).alias("fix"))
     )
-    bad = misread.unionByName(glued).groupBy("word").agg(F.min("fix").alias("fix"))
+    bad = misread.unionByName(glued).where(~F.col("word").isin(*_STOP)).groupBy("word").agg(F.min("fix").alias("fix"))
     good = home.join(bad, "word", "left_anti").select("word", F.col("n_all").alias("n"))
     return bad, good
 
@@ -322,10 +347,13 @@ class Gatherer:
             body = "\n".join(x for x, _ in kept)
             if "-" in body or "¬" in body:
                 out.update(("good", w) for w in _around(kept))
+        for ln in (x.rstrip() for x, y in zip(lines, labels) if y in (2, 3)):
+            if ln[-1:] in ("-", "¬"):  # a running line or reading doesn't go on in the next line
+                body = body.replace(ln, ln[:-1])
         if "-" in body or "¬" in body:
             for m in _BREAK.finditer(body):
                 out.add(("sure", "break") if "¬" in m[0] else ("good", (m[1] + m[2]).lower()))
-            if _END_BREAK.search(body[-60:]):
+            if body.rstrip()[-1:] in ("-", "¬") and _END_BREAK.search(body[-2 * MAX_WORD :]):
                 out.add(("sure", "end"))
             body = _END_BREAK.sub(" ", _BREAK.sub(" ", body))
             if "-" in body:
@@ -350,11 +378,12 @@ class Gatherer:
                 parts = m[0].split()
                 for x, y in zip(parts[:-1], parts[1:]):
                     j = x + y
-                    if j in known or (5 <= len(j) <= MAX_WORD and (x in strange or y in strange)):
+                    if len(j) <= MAX_WORD and (j in known or x in strange or y in strange):
                         out.add(("parts", f"{x} {y}"))
-        odd = [w for w in strange if 4 <= len(w) <= MAX_WORD]
-        if odd and not (len(text) > 120 and len(zlib.compress(text.encode(), 1)) < RUNAWAY * len(text.encode())):
-            out.update(("bad", w) for w in odd)  # a runaway value breaks off its words
+        odd = {w for w in strange if 4 <= len(w) <= MAX_WORD}
+        if odd and (whole := outside_loops(low)) is not None:
+            odd &= whole
+        out.update(("bad", w) for w in odd)
         return sorted(out)
 
     @staticmethod

@@ -47,7 +47,8 @@ def test_fill(spark):
     got = packing.fill(df, per_stream=1000).toPandas()
     assert (got.groupby("container").length.sum() <= packing.CAPACITY).all()
     back = got.groupby("doc_id").length.sum().to_dict()
-    assert back == {i: s for i, s, _ in rows if s}
+    assert back == {i: s or 0 for i, s, _ in rows}
+    assert set(got[got.container.isna()].doc_id) == {9002, 9003}  # returned, but in no container
     assert set(got[got.duplicated("doc_id", keep=False)].doc_id) == {9000}
     assert got[got.doc_id == 9000].sort_values("piece_no").start.tolist() == [0, 2048, 4096]
     u = packing.usage(spark.createDataFrame(got)).first()

@@ -99,3 +99,28 @@ def test_all_that_is_confirmed_is_repaired(spark):
 
 def test_word_broken_around_a_running_line_is_evidence():
     assert ("good", "corner") in G.many(["The metal fills every cor-\nHollow frame and riser 31\nner of the hollow frame."])[0]
+
+
+def test_loops_keep_their_evidence():
+    """A misread word before a loop counts, the word broken off where the loop begins doesn't, nor do its repeats."""
+    known = frozenset("the casting cools slowly in mould and sand of a workshop for hollow shaft position".split())
+    head = "the castlng cools slowly in the mould and the sand of a worksh\n"
+    value = head + "".join(f"Position {k}. the hollow shaft. " for k in range(1, 40)) + "Position 41. the holl"
+    got = scans.Gatherer(known, scans.default_model()).many([value])[0]
+    assert {w for k, w in got if k == "bad"} == {"castlng"}
+    assert scans.outside_loops("no loop in here") is None
+
+
+def test_long_words_are_seen():
+    word = "a" * 30 + "b" * 40
+    got = scans.Gatherer(frozenset(), scans.default_model()).many([f"one {word} two", "x" * 70 + "-"])
+    assert ("bad", word) in got[0] and ("sure", "end") in got[1]
+
+
+def test_hyphen_counts_by_the_label_of_its_line():
+    known = frozenset(["moulding"])
+    gather = scans.Gatherer(known, scans.default_model())
+    lines = ["The casting cools slowly in the mou-", "lding of the shop, and the metal is", "hot and dry."]
+    for label, want in ((1, True), (0, True), (4, True), (2, False), (3, False)):
+        got = gather.one("\n".join(lines), lines, [label, 0, 0], [False, False, False])
+        assert (("good", "moulding") in got) == want
