@@ -76,33 +76,6 @@ def sweep(prepared: DataFrame, taus: list[float], group: list[str] | None = None
     return d.groupBy(*keys).agg(F.count("*").alias("blocks"), arb.alias("arbiter"), F.round(arb / F.count("*"), 4).alias("share"))
 
 
-# --- text of other blocks in a draft -------------------------------------------------------------------------
-
-MIN_LINE, FOREIGN_SHARE, OWN_SHARE = 12, 0.9, 0.85
-TABLE_SHARE = 0.6
-
-
-def foreign_lines(blocks: DataFrame) -> DataFrame:
-    """(book, page, id, line_no, line, own, other): lines of draft B with the share of their words that draft A has,
-    and the greatest share that another block of the page has.
-
-    A line is foreign when it is long enough, others have it and its own draft A does not.  Words are matched by an
-    equi-join on (book, page, word), so a page is never paired with itself as a whole.
-    """
-    word = lambda c: F.array_distinct(F.filter(F.split(F.lower(text.text_form(c)), r"(?U)[^\w]+"), lambda w: w != ""))
-    base = blocks.where(F.col("book").isNotNull() & F.col("page").isNotNull())
-    b = base.where("text_b is not null and kind in ('text','list','footnote','caption','title')")
-    lines = b.select("book", "page", "id", word(F.col("text_a")).alias("own_words"), F.posexplode(F.split("text_b", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.length("line") >= MIN_LINE).withColumn("words", word(F.col("line"))).where(F.size("words") >= 2)
-    lines = lines.withColumn("own", F.size(F.array_intersect("words", "own_words")) / F.size("words"))
-    odd = lines.where(F.col("own") < OWN_SHARE)
-    asked = odd.select("book", "page", F.col("id").alias("lid"), "line_no", F.size("words").alias("n"), F.explode("words").alias("w"))
-    others = base.where("parent is null and trim(text_a) <> ''").select("book", "page", F.col("id").alias("oid"), F.explode(word(F.col("text_a"))).alias("w"))
-    hits = asked.join(others, ["book", "page", "w"]).where("lid <> oid").groupBy("book", "page", "lid", "line_no", "oid").agg((F.count("*") / F.first("n")).alias("share"))
-    best = hits.groupBy(F.col("lid").alias("id"), "line_no").agg(F.max("share").alias("other"))
-    return odd.join(best, ["id", "line_no"]).where(F.col("other") >= FOREIGN_SHARE).select("book", "page", "id", "line_no", "line", F.round("own", 4).alias("own"), F.round("other", 4).alias("other"))
-
-
 # --- judging an answer ----------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import answers, markdown, tables, text
 from ..functions.homoglyphs import fix_output as markdown_twins
-from ..operators import consensus, evaluate, events, geometry, layout, pages, tablediff, vocabulary
+from ..operators import consensus, evaluate, events, geometry, guard, layout, pages, tablediff, vocabulary
 from ..sources import files
 from ..streaming import live
 
@@ -352,13 +352,53 @@ def html_table_sizes(spark, d):
     return t.select("id", F.size("t").alias("n_rows"), F.size(F.flatten("t")).alias("n_cells"))
 
 
-@query("table_findings")
-def table_findings(spark, d):
-    """Columns, single-value rows, invented dashes and footnote rows of every table."""
+# Rows and cells of tables that are HTML in one line, as SQL reads them.
+T_SQL = (
+    "t AS (SELECT id, list_transform(regexp_extract_all(txt, '(?i)<tr[^>]*>(.*?)</tr>', 1), lambda r: regexp_extract_all(r, '(?i)<t[dh][^>]*>.*?</t[dh]>')) AS rows "
+    f"FROM (SELECT id, {TXT} AS txt FROM b WHERE category = 'Table' AND regexp_matches({TXT}, '(?i)<table'))), "
+    "c AS (SELECT id, list_transform(rows, lambda r: list_transform(r, lambda x: {'text': trim(regexp_replace(regexp_replace(x, '(?i)<br[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), ' '), "
+    "'span': coalesce(try_cast(regexp_extract(x, '(?i)^<t[dh][^>]*colspan=\"?([0-9]+)', 1) AS INTEGER), 1)})) AS rows FROM t WHERE len(rows) > 0)"
+)
+SINGLE_SQL = "len(r) >= 3 AND len(list_filter(r, lambda x: x.span > 1)) = 0 AND len(list_filter(r[2:], lambda x: x.text <> '')) = 1"
+
+
+def _tables(spark, d):
     b = _blocks(spark, d, "category").where((F.col("category") == "Table") & F.col("txt").rlike("(?i)<table"))
-    t = b.select("id", tables.parse_table("txt").alias("t")).where("size(t) > 0")
+    return b.select("id", tables.parse_table("txt").alias("t")).where("size(t) > 0")
+
+
+@query(
+    "table_findings",
+    f"""WITH {B}, {T_SQL}, w AS (SELECT id, list_max(list_transform(rows, lambda r: list_sum(list_transform(r, lambda x: x.span)))) AS columns, len(list_filter(rows, lambda r: {SINGLE_SQL})) AS single_values,
+      len(list_filter(rows, lambda r: len(r) >= 4 AND len(list_filter(r, lambda x: x.span > 1)) = 0 AND regexp_matches(array_to_string(list_transform(r[2:], lambda x: CASE WHEN regexp_full_match(x.text, '[-–—−]') THEN 'd' WHEN regexp_matches(x.text, '[–—]') THEN 'r' ELSE 'x' END), ''), 'ddr|rdd|drd'))) AS dash_rows,
+      rows[-1] AS last, list_max(list_transform(rows[:-2], lambda r: len(r))) AS widest FROM c)
+    SELECT id, CAST(columns AS INTEGER) AS columns, CAST(single_values AS INTEGER) AS single_values, CAST(dash_rows AS INTEGER) AS dash_rows,
+      CASE WHEN len(last) = 1 AND coalesce(widest, 0) > 1 AND regexp_matches(last[1].text, '^\\s*(?:\\*{{1,3}}|[¹²³⁴⁵⁶⁷⁸⁹]|Примечани|Note)') THEN last[1].text END AS note FROM w""",
+)
+def table_findings(spark, d):
+    """Columns, single-value rows, invented dashes and footnotes of every table."""
     c = F.col("t")
-    return t.select("id", tables.width(c).alias("columns"), F.size(tables.single_values(c)).alias("single_values"), F.size(tables.invented_dashes(c)).alias("dash_rows"), tables.footnote_rows(c).alias("note"))
+    return _tables(spark, d).select("id", tables.width(c).alias("columns"), F.size(tables.single_values(c)).alias("single_values"), F.size(tables.invented_dashes(c)).alias("dash_rows"), tables.footnote_rows(c).alias("note"))
+
+
+@query(
+    "table_spans",
+    f"""WITH {B}, {T_SQL}, r AS (SELECT id, unnest(rows) AS r, generate_subscripts(rows, 1) - 1 AS row FROM c)
+    SELECT id, CAST(row AS INTEGER) AS row, left(r[1].text, 40) AS label, list_filter(r[2:], lambda x: x.text <> '')[1].text AS value, CAST(len(r) - 1 AS INTEGER) AS columns FROM r WHERE {SINGLE_SQL}""",
+)
+def table_spans(spark, d):
+    """Rows whose one value was spread over the empty cells beside it."""
+    t = _tables(spark, d).select("id", F.posexplode("t").alias("row", "before"), tables.spread_singles(F.col("t")).alias("after")).withColumn("r", F.get("after", F.col("row")))
+    changed = t.where(F.size("before") != F.size("r"))
+    return changed.select("id", "row", F.left(F.trim(F.col("r")[0]["text"]), F.lit(40)).alias("label"), F.trim(F.col("r")[1]["text"]).alias("value"), F.col("r")[1]["colspan"].alias("columns"))
+
+
+@query("tidy_tables")
+def tidy_tables(spark, d):
+    """Tables that change when single values are spread and footnotes moved out: their HTML and the footnotes."""
+    t = _tables(spark, d).withColumn("own", tables.html_of(F.col("t"))).withColumn("notes", tables.notes(F.col("t")))
+    out = t.withColumn("html", tables.html_of(tables.spread_singles(tables.without_notes(F.col("t")))))
+    return out.where("html <> own").select("id", "html", "notes")
 
 
 @query("table_likeness")
@@ -368,10 +408,10 @@ def table_likeness(spark, d):
     return b.select("id", F.round(tables.teds("text_b", "text_a"), 6).alias("teds"), F.round(tables.teds_structure("text_b", "text_a"), 6).alias("teds_structure"))
 
 
-@query("foreign_draft_lines")
-def foreign_draft_lines(spark, d):
-    """Lines of a draft that belong to another block of the page."""
-    return consensus.foreign_lines(schemas.block_rows(spark, d, "book", "page", "kind", "parent", "text_a", "text_b"))
+@query("draft_guard")
+def draft_guard(spark, d):
+    """Drafts that hold lines or tables of other blocks of the page, without them."""
+    return guard.guarded(schemas.block_rows(spark, d, "book", "page", "kind", "parent", "drafts_status", "text_a", "text_b"))
 
 
 @query("judged_answers")

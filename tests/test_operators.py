@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagespark import schemas
-from pagespark.operators import consensus, evaluate, events, geometry, layout, pages, tablediff, vocabulary
+from pagespark.operators import consensus, evaluate, events, geometry, guard, layout, pages, tablediff, vocabulary
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 
@@ -76,11 +76,21 @@ def test_context_reasons(spark):
     assert {r.id: r.reason for r in consensus.context_reasons(shifted).collect()} == {"1": "shifts value", "2": "shifts value", "3": None}
 
 
-def test_foreign_lines(spark):
-    other = "The riser feeds the casting while metal cools"
-    rows = [(1, "b", "p", "text", None, "Own words of this block stand here", f"Own words of this block stand here\n{other}"), (2, "b", "p", "text", None, other + " slowly", None), (3, "b", "q", "text", None, "x", other)]
-    df = spark.createDataFrame(rows, "id long, book string, page string, kind string, parent long, text_a string, text_b string")
-    assert [(r.id, r.line_no) for r in consensus.foreign_lines(df).collect()] == [(1, 1)]
+def test_guard(spark):
+    own = "Сущность магнитных методов заключается в создании в детали равномерного магнитного поля, и равномер-"
+    table = "*Таблица IX.11*\n\n| Выявление дефектов при намагничивании |  |  |\n| :-- | :-- | :-- |\n| Режим для контроля | Н, Э | Размеры дефекта |\n| А | 60 | 2,5 |\n| Б | 30 | 10 |"
+    html = "<table><tr><td>Режим для контроля</td><td>Н, Э</td><td>Размеры дефекта</td></tr><tr><td>А</td><td>60</td><td>2,5</td></tr><tr><td>Б</td><td>30</td><td>10</td></tr></table>"
+    rows = [
+        (1, "p", "text", own, own + "\n\n" + table), (2, "p", "caption", "Таблица IX.11", None), (3, "p", "text", "Выявление дефектов при намагничивании", None), (4, "p", "table", html, html),
+        (5, "q", "text", "** Масса указана без учета шкафов управления.", "Диаметр ячейки сила 10 мм.\n* Масса указана без учета шкафов управления."), (6, "q", "text", "* Диаметр ячейки сита 16 мм.", None),
+        (7, "r", "text", "Таблица IX.11 и текст", "Таблица IX.11 и текст"), (8, "r", "caption", "Таблица IX.11", None),
+        (9, "s", "text", "", "Таблица IX.11"), (10, "s", "caption", "Таблица IX.11", None), (11, "s", "text", "Сравниваем $|D|$.", "Сравниваем $ |D| $ с $ |C| $."), (12, None, "text", "a", "b"),
+    ]
+    df = spark.createDataFrame([(i, "b", p, k, None, "done", a, b) for i, p, k, a, b in rows], "id long, book string, page string, kind string, parent long, drafts_status string, text_a string, text_b string")
+    got = {r.id: r.clean for r in guard.guarded(df).collect()}
+    assert got == {1: own, 5: "* Масса указана без учета шкафов управления.", 9: ""}
+    assert guard.likeness("abcdef", "zzabcxefzz") == 83 and guard.likeness("abcdef", "zzzzzzzz") == 0
+    assert guard.common("abcbdab", "bdcaba") == 4 and guard.guarded(df.limit(0)).count() == 0
 
 
 def chain(spark, nums):

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagespark.functions import answers, tables
 
@@ -10,7 +11,7 @@ T1 = "<table><tr><th>Steel</th><th>kg</th></tr><tr><td>A</td><td>12</td></tr></t
 
 def test_reader():
     t = tables.read_tables("x<table><tr><td rowspan=2>a<br>b</td><td colspan='3'>c<img src=q></td></tr><tr><td colspan=no>d</table>")[0]
-    assert [[(c["text"], c["rowspan"], c["colspan"], c["imgs"]) for c in r] for r in t] == [[("a b", 2, 1, 0), ("c", 1, 3, 1)], [("d", 1, 1, 0)]]
+    assert [[(c["text"], c["rowspan"], c["colspan"], c["imgs"]) for c in r] for r in t] == [[("a\nb", 2, 1, 0), ("c", 1, 3, 1)], [("d", 1, 1, 0)]]
     assert tables.read_tables(None) == [] and tables.read_tables("plain < text") == []
 
 
@@ -105,3 +106,18 @@ def test_levenshtein_against_brute_force():
     long = "".join(rng.choice("abcdefgh ") for _ in range(300))
     other = long[:100] + "x" + long[130:]
     assert tables.levenshtein(long, other) == slow(long, other)
+
+
+def test_passes_over_tables(spark):
+    rows = [
+        ("<table><tr><td>n</td><td>a</td><td>b</td></tr><tr><td>x</td><td></td><td>7</td></tr><tr><td colspan=3>* see 5<br>** and 6</td></tr></table>",),
+        ("<table><tfoot><tr><td>Note: one</td></tr></tfoot><tr><td>1</td><td>2</td></tr></table>",), ("<table><tr><td>* only</td></tr></table>",), ("<table><tr><th>a</th></tr><tr><td>Total | 3 &lt; 4</td></tr></table>",),
+    ]
+    df = spark.createDataFrame(rows, "m string").select(tables.parse_table("m").alias("t"))
+    got = [(r.h, r.n) for r in df.select(tables.html_of(tables.spread_singles(tables.without_notes(F.col("t")))).alias("h"), tables.notes(F.col("t")).alias("n")).collect()]
+    assert got == [
+        ('<table><tr><td>n</td><td>a</td><td>b</td></tr><tr><td>x</td><td colspan="2">7</td></tr></table>', ["* see 5", "** and 6"]),
+        ("<table><tr><td>1</td><td>2</td></tr></table>", ["Note: one"]), ("<table><tr><td>* only</td></tr></table>", []), ("<table><tr><th>a</th></tr><tr><td>Total | 3 &lt; 4</td></tr></table>", []),
+    ]
+    caps = spark.createDataFrame([("*Таблица IX.12*",), ("Т а б л и ц а 13",), ("**Продолжение табл. 4",), ("Текст о таблица",), ("",)], "c string")
+    assert [r.x for r in caps.select(tables.is_new_caption(F.col("c")).alias("x")).collect()] == [True, True, True, False, False]
