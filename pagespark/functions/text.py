@@ -47,6 +47,16 @@ def once(c: Column, fn) -> Column:
     return F.get(F.transform(F.array(c), lambda x: fn(x)), F.lit(0))
 
 
+def replaced(c: Column, pattern: str, fn) -> Column:
+    """The text with every match of the pattern replaced by what ``fn`` makes of it."""
+
+    def whole(x: Column) -> Column:
+        made = F.transform(F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)), fn)
+        return F.array_join(F.zip_with(F.split(x, pattern, -1), made, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
+
+    return once(c, whole)
+
+
 #: A word of two alphabets has a place where they meet.
 MEETING = "[А-Яа-яЁё][A-Za-z]|[A-Za-z][А-Яа-яЁё]"
 

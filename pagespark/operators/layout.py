@@ -80,11 +80,11 @@ def number_chain(pages: DataFrame, window: int = 3) -> DataFrame:
 SENTENCE_END = r"[.!?…:;][)»”\"']* *$"
 
 
-def stitches(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+def stitches(blocks: DataFrame, pages: DataFrame, words: DataFrame) -> DataFrame:
     """(book, page, id, join_to, hyphen): first Text of a page that continues the last Text of the page just before.
 
-    ``hyphen`` is the word at the joint put together, NULL without one.  Footnotes end no page.  Needs book, page, ord,
-    id, category, txt of top-level blocks.
+    ``hyphen`` is the word at the joint put together where the book has it whole (``words``: book, word), else NULL: a
+    compound keeps its hyphen.  Footnotes end no page.  Needs book, page, ord, id, category, txt of top-level blocks.
     """
     pos = pages.select("book", F.col("name").alias("page"), F.row_number().over(Window.partitionBy("book").orderBy("idx", "name")).alias("pos"))
     row = F.struct("ord", "id", "category", "txt")
@@ -98,7 +98,10 @@ def stitches(blocks: DataFrame, pages: DataFrame) -> DataFrame:
         & nxt.rlike(r"^\p{Ll}") & ~F.col("prev.txt").rlike(SENTENCE_END) & ~nxt.rlike(r"^[а-яa-z]\)")
     )
     left, right = F.regexp_extract("prev.txt", r"(\p{L}+)-\s*$", 1), F.regexp_extract(nxt, r"^(\p{Ll}+)", 1)
-    return pairs.where(rule).select("book", "page", F.col("first.id").alias("id"), F.col("prev.id").alias("join_to"), F.when(left != "", F.concat(left, right)).alias("hyphen"))
+    joined = pairs.where(rule).select("book", "page", F.col("first.id").alias("id"), F.col("prev.id").alias("join_to"), F.when(left != "", F.concat(left, right)).alias("hyphen"))
+    known = words.select(F.col("book").alias("_b"), F.col("word").alias("_w")).distinct()
+    asked = joined.join(known, (F.col("book") == F.col("_b")) & (F.lower("hyphen") == F.col("_w")), "left")
+    return asked.select("book", "page", "id", "join_to", F.when(F.col("_w").isNotNull(), F.col("hyphen")).alias("hyphen"))
 
 
 def chains(blocks: DataFrame, joins: DataFrame, pages: DataFrame) -> DataFrame:
@@ -140,11 +143,20 @@ def continuations(blocks: DataFrame, reach: int = 3) -> DataFrame:
     return rows.where(is_table & F.col("_l").isNotNull() & (F.coalesce("_t", F.lit(0)) < F.col("_l._n"))).select("id", F.col("_l.ref").alias("continues"))
 
 
-def contents(blocks: DataFrame) -> DataFrame:
+def page_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Blocks with the place of their page in the book; blocks of unknown pages come last, by the name of the page."""
+    return blocks.join(pages.select("book", F.col("name").alias("page"), F.col("idx").alias("_idx")), ["book", "page"], "left")
+
+
+def in_order() -> list[Column]:
+    return [F.asc_nulls_last("_idx"), F.asc("page"), F.asc("ord"), F.asc("id")]
+
+
+def contents(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(book, page, ord, id, title, slug, nth): headings in order with an anchor name; equal names are numbered."""
-    heads = blocks.where(F.col("category").isin("Title", "Section-header") & (F.trim("txt") != ""))
-    rows = heads.select("book", "page", "ord", "id", F.regexp_replace(F.trim("txt"), r"\s+", " ").alias("title")).withColumn("slug", text.slug(F.col("title")))
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("book", "slug").orderBy("page", "ord", "id")))
+    heads = page_order(blocks.where(F.col("category").isin("Title", "Section-header") & (F.trim("txt") != "")), pages)
+    rows = heads.select("book", "page", "_idx", "ord", "id", F.regexp_replace(F.trim("txt"), r"\s+", " ").alias("title")).withColumn("slug", text.slug(F.col("title")))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("book", "slug").orderBy(*in_order()))).drop("_idx")
 
 
 def assemble(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -165,11 +177,30 @@ def assemble(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.groupBy("book", "page", "idx").agg(F.array_join(parts, "\n\n").alias("markdown"))
 
 
-def footnotes(blocks: DataFrame) -> DataFrame:
+def footnotes(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, book, page, mark, number): footnotes with their mark and running number in the book."""
     mark = F.regexp_extract("txt", r"^\s*(\*{1,3}|[¹²³⁴⁵⁶⁷⁸⁹]+|\d{1,2}\))", 1)
-    rows = blocks.where((F.col("category") == "Footnote") & (mark != "")).select("id", "book", "page", "ord", mark.alias("mark"))
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy("book").orderBy("page", "ord", "id"))).drop("ord")
+    rows = page_order(blocks.where((F.col("category") == "Footnote") & (mark != "")), pages).select("id", "book", "page", "_idx", "ord", mark.alias("mark"))
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("book").orderBy(*in_order()))).drop("ord", "_idx")
+
+
+# How a reference to a figure, table or chapter begins, and the categories that hold references.
+REFERENCE = r"(?:[Рр]ис\.|[Рр]исун[а-яё]+|[Тт]абл\.|[Тт]аблиц[а-яё]+|[Гг]л\.|[Гг]лав[аеуы])\s*"
+REFERRING = ("Text", "Caption", "List-item", "Section-header", "Title", "Footnote", "Table")
+
+
+def roman_references(blocks: DataFrame, books: DataFrame) -> DataFrame:
+    """(id, fixed): texts of books with Roman chapters in which a reference had a 1 for an I (1.28, 1V.4)."""
+    mine = blocks.where(F.col("category").isin(*REFERRING) & F.col("txt").isNotNull()).join(books.where("is_roman").select("book"), "book", "left_semi")
+    pattern = rf"(?U)(?<![\w.]){REFERENCE}[1IVX]+\.\s?\d+(?![\d]|\.\d)"
+
+    def word(w: Column) -> Column:
+        part = F.regexp_extract(w, r"([1IVX]+)\.\s?\d+$", 1)
+        roman = text.roman_chapter(part)
+        return F.when(roman.isNotNull(), F.concat(F.regexp_replace(w, r"[1IVX]+\.\s?\d+$", ""), roman, F.regexp_extract(w, r"(\.\s?\d+)$", 1))).otherwise(w)
+
+    fixed = text.replaced(F.col("txt"), pattern, word)
+    return mine.select("id", "txt", fixed.alias("fixed")).where("txt <> fixed").select("id", "fixed")
 
 
 def roman_books(blocks: DataFrame, ratio: int = 3) -> DataFrame:
@@ -177,10 +208,10 @@ def roman_books(blocks: DataFrame, ratio: int = 3) -> DataFrame:
 
     Distinct Roman references must be ``ratio`` times the Arabic ones with a chapter not of ones alone, one with V or X.
     """
-    prefix = r"(?:[Рр]ис\.|[Рр]исун[а-яё]+|[Тт]абл\.|[Тт]аблиц[а-яё]+|[Гг]л\.|[Гг]лав[аеуы])\s*"
+    prefix = REFERENCE
     r = F.regexp_extract_all("txt", F.lit(rf"(?U)(?<![\w.]){prefix}([IVX]+\.\s?\d+)(?![\d]|\.\d)"), F.lit(1))
     a = F.regexp_extract_all("txt", F.lit(rf"(?U)(?<![\w.]){prefix}(\d+\.\s?\d+)(?![\d]|\.\d)"), F.lit(1))
-    rows = blocks.where("txt is not null and book is not null").select("book", F.explode(F.concat(F.transform(r, lambda x: F.struct(F.lit("r").alias("k"), x.alias("v"))), F.transform(a, lambda x: F.struct(F.lit("a").alias("k"), x.alias("v"))))).alias("s"))
+    rows = blocks.where(F.col("txt").isNotNull() & F.col("book").isNotNull() & F.col("category").isin(*REFERRING)).select("book", F.explode(F.concat(F.transform(r, lambda x: F.struct(F.lit("r").alias("k"), x.alias("v"))), F.transform(a, lambda x: F.struct(F.lit("a").alias("k"), x.alias("v"))))).alias("s"))
     v = F.regexp_replace("s.v", r"\s", "")
     rows = rows.select("book", "s.k", v.alias("v")).where(~((F.col("k") == "a") & F.col("v").rlike(r"^1+\."))).distinct()
     g = rows.groupBy("book").agg(F.count_if(F.col("k") == "r").alias("roman"), F.count_if(F.col("k") == "a").alias("arabic"), F.coalesce(F.bool_or((F.col("k") == "r") & F.col("v").rlike("^[IVX]*[VX]")), F.lit(False)).alias("vx"))

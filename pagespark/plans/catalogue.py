@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import answers, markdown, tables, text
-from ..functions.homoglyphs import fix_output as markdown_twins
+from ..functions import answers, homoglyphs, markdown, tables, text
 from ..operators import consensus, evaluate, events, geometry, guard, layout, pages, tablediff, vocabulary
 from ..sources import files
 from ..streaming import live
+from . import sqlforms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +130,7 @@ def language_vote(spark, d):
     return v.withColumn("lang", text.vote(*[F.col(c) for c in ("cyr", "lat", "de", "en")]))
 
 
-SIG_SQL = f"trim(regexp_replace(regexp_replace(lower({TXT}), '[0-9]+', '', 'g'), '\\s+', ' ', 'g'))"
+SIG_SQL = f"trim(regexp_replace(regexp_replace(lower({sqlforms.normal(TXT)}), '[0-9]+', '', 'g'), '\\s+', ' ', 'g'))"
 BAND_SQL = "bbox IS NOT NULL AND (bbox.y2 <= 0.08 * height OR bbox.y1 >= 0.92 * height)"
 
 
@@ -203,6 +203,11 @@ def number_candidates(spark, d):
     return layout.number_candidates(_blocks(spark, d, "book", "page").where("txt is not null"))
 
 
+WORDS_SQL = (
+    "list_filter(regexp_extract_all(regexp_replace(regexp_replace({t}, '<[^<>]*>|\\$[^$]*\\$', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+(?:-[ \\t]*\\r?\\n?[ \\t]*[\\p{{L}}\\p{{N}}_]+)+', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '\\p{{L}}+'))"
+)
+
+
 @query(
     "page_stitches",
     f"""WITH {B}, {P}, t AS (SELECT id, book, page, ord, category, {TXT} AS txt FROM b WHERE parent IS NULL AND {TXT} IS NOT NULL AND category NOT IN ('Page-header','Page-footer')),
@@ -210,14 +215,15 @@ def number_candidates(spark, d):
     f AS (SELECT book, page, id, category, txt FROM (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY ord, id) AS r FROM t) WHERE r = 1),
     l AS (SELECT book, page, id, category, txt FROM (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY ord DESC, id DESC) AS r FROM t WHERE category <> 'Footnote') WHERE r = 1),
     e AS (SELECT f.book, f.page, f.id, f.category, f.txt, l.id AS lid, l.category AS lcat, l.txt AS ltxt, pos.pos FROM f JOIN pos ON f.book = pos.book AND f.page = pos.page LEFT JOIN l ON f.book = l.book AND f.page = l.page),
+    v AS (SELECT DISTINCT book, lower(unnest({WORDS_SQL.format(t=TXT)})) AS word FROM b WHERE {TXT} IS NOT NULL),
     w AS (SELECT *, lag(lid) OVER o AS pid, lag(lcat) OVER o AS pcat, lag(ltxt) OVER o AS ptxt, pos - lag(pos) OVER o AS gap FROM e WINDOW o AS (PARTITION BY book ORDER BY pos))
-    SELECT book, page, id, pid AS join_to, CASE WHEN regexp_matches(ptxt, '\\p{{L}}-\\s*$') THEN concat(regexp_extract(ptxt, '(\\p{{L}}+)-\\s*$', 1), regexp_extract(ltrim(txt), '^(\\p{{Ll}}+)', 1)) END AS hyphen
-    FROM w WHERE gap = 1 AND pcat = 'Text' AND category = 'Text' AND regexp_matches(ltrim(txt), '^\\p{{Ll}}') AND NOT regexp_matches(ptxt, '[.!?…:;][)»”"'']* *$') AND NOT regexp_matches(ltrim(txt), '^[а-яa-z]\\)')""",
+    SELECT w.book, page, id, pid AS join_to, CASE WHEN v.word IS NOT NULL THEN joined END AS hyphen FROM (SELECT *, CASE WHEN regexp_matches(ptxt, '\\p{{L}}-\\s*$') THEN concat(regexp_extract(ptxt, '(\\p{{L}}+)-\\s*$', 1), regexp_extract(ltrim(txt), '^(\\p{{Ll}}+)', 1)) END AS joined FROM w) w
+    LEFT JOIN v ON v.book = w.book AND v.word = lower(w.joined) WHERE gap = 1 AND pcat = 'Text' AND category = 'Text' AND regexp_matches(ltrim(txt), '^\\p{{Ll}}') AND NOT regexp_matches(ptxt, '[.!?…:;][)»”"'']* *$') AND NOT regexp_matches(ltrim(txt), '^[а-яa-z]\\)')""",
 )
 def page_stitches(spark, d):
     """Paragraphs that go on over the end of a page."""
     b = _blocks(spark, d, "book", "page", "ord", "category", "parent").where("parent is null and txt is not null and category not in ('Page-header','Page-footer')")
-    return layout.stitches(b, schemas.page_rows(spark, d))
+    return layout.stitches(b, schemas.page_rows(spark, d), vocabulary.vocabulary(_blocks(spark, d, "book")))
 
 
 @query(
@@ -235,15 +241,13 @@ def table_continuations(spark, d):
 
 @query(
     "book_contents",
-    f"""WITH {B}, h AS (SELECT book, page, ord, id, regexp_replace(trim({TXT}), '\\s+', ' ', 'g') AS title FROM b WHERE category IN ('Title','Section-header') AND trim({TXT}) <> ''),
-    s AS (SELECT *, regexp_replace(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s-]', '', 'g')), '\\s+', '-', 'g') AS slug FROM h)
-    SELECT *, row_number() OVER (PARTITION BY book, slug ORDER BY page, ord, id) AS nth FROM s""",
+    f"""WITH {B}, {P}, h AS (SELECT book, page, ord, id, regexp_replace(trim({TXT}), '\\s+', ' ', 'g') AS title FROM b WHERE category IN ('Title','Section-header') AND trim({TXT}) <> ''),
+    s AS (SELECT h.*, p.idx, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s-]', '', 'g'), '\\s+', '-', 'g'), '-') AS slug FROM h LEFT JOIN p ON p.book = h.book AND p.name = h.page)
+    SELECT book, page, ord, id, title, slug, row_number() OVER (PARTITION BY book, slug ORDER BY idx NULLS LAST, page, ord, id) AS nth FROM s""",
 )
 def book_contents(spark, d):
     """Headings of every book with anchor names."""
-    rows = layout.contents(_blocks(spark, d, "book", "page", "ord", "category"))
-    slug = F.regexp_replace(F.trim(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{M}\p{N}\p{Pc}\s-]", "")), r"\s+", "-")
-    return rows.select("book", "page", "ord", "id", "title", slug.alias("slug")).withColumn("nth", F.row_number().over(Window.partitionBy("book", "slug").orderBy("page", "ord", "id")))
+    return layout.contents(_blocks(spark, d, "book", "page", "ord", "category"), schemas.page_rows(spark, d))
 
 
 @query(
@@ -260,23 +264,35 @@ def page_markdown(spark, d):
 
 @query(
     "footnote_numbers",
-    f"""WITH {B}, t AS (SELECT id, book, page, ord, regexp_extract({TXT}, '^\\s*(\\*{{1,3}}|[¹²³⁴⁵⁶⁷⁸⁹]+|[0-9]{{1,2}}\\))', 1) AS mark FROM b WHERE category = 'Footnote')
-    SELECT id, book, page, mark, row_number() OVER (PARTITION BY book ORDER BY page, ord, id) AS number FROM t WHERE mark <> ''""",
+    f"""WITH {B}, {P}, t AS (SELECT id, b.book, page, ord, p.idx, regexp_extract({TXT}, '^\\s*(\\*{{1,3}}|[¹²³⁴⁵⁶⁷⁸⁹]+|[0-9]{{1,2}}\\))', 1) AS mark FROM b LEFT JOIN p ON p.book = b.book AND p.name = b.page WHERE category = 'Footnote')
+    SELECT id, book, page, mark, row_number() OVER (PARTITION BY book ORDER BY idx NULLS LAST, page, ord, id) AS number FROM t WHERE mark <> ''""",
 )
 def footnote_numbers(spark, d):
     """Footnotes with their mark and running number."""
-    return layout.footnotes(_blocks(spark, d, "book", "page", "ord", "category"))
+    return layout.footnotes(_blocks(spark, d, "book", "page", "ord", "category"), schemas.page_rows(spark, d))
+
+
+_REF_SQL = "(?:^|[^\\p{{L}}\\p{{N}}_.])(?:[Рр]ис\\.|[Рр]исун[а-яё]+|[Тт]абл\\.|[Тт]аблиц[а-яё]+|[Гг]л\\.|[Гг]лав[аеуы])\\s*({n}\\.\\s?[0-9]+)"
 
 
-@query("roman_chapters")
+@query(
+    "roman_chapters",
+    f"""WITH {B}, x AS (SELECT book, {TXT} AS t FROM b WHERE {TXT} IS NOT NULL AND book IS NOT NULL AND category IN ('Text','Caption','List-item','Section-header','Title','Footnote','Table')),
+    r AS (SELECT book, 'r' AS k, unnest(regexp_extract_all(t, '{_REF_SQL.format(n="[IVX]+")}', 1)) AS v FROM x), a AS (SELECT book, 'a' AS k, unnest(regexp_extract_all(t, '{_REF_SQL.format(n="[0-9]+")}', 1)) AS v FROM x),
+    u AS (SELECT DISTINCT book, k, regexp_replace(v, '\\s', '', 'g') AS v FROM (SELECT * FROM r UNION ALL SELECT * FROM a)), g AS (SELECT book, count(*) FILTER (WHERE k = 'r') AS roman, count(*) FILTER (WHERE k = 'a') AS arabic,
+      coalesce(bool_or(k = 'r' AND regexp_matches(v, '^[IVX]*[VX]')), false) AS vx FROM u WHERE NOT (k = 'a' AND regexp_matches(v, '^1+\\.')) GROUP BY book)
+    SELECT book, roman, arabic, roman > 0 AND vx AND roman >= 3 * arabic AS is_roman FROM g""",
+)
 def roman_chapters(spark, d):
     """Books that number their chapters in Roman numerals."""
-    return layout.roman_books(_blocks(spark, d, "book"))
+    return layout.roman_books(_blocks(spark, d, "book", "category"))
 
 
-WORDS_SQL = (
-    "list_filter(regexp_extract_all(regexp_replace(regexp_replace({t}, '<[^<>]*>|\\$[^$]*\\$', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+(?:-[ \\t]*\\r?\\n?[ \\t]*[\\p{{L}}\\p{{N}}_]+)+', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '\\p{{L}}+'))"
-)
+@query("roman_references")
+def roman_references(spark, d):
+    """Texts of books with Roman chapters in which a reference had a 1 for an I."""
+    b = _blocks(spark, d, "book", "category")
+    return layout.roman_references(b, layout.roman_books(b))
 
 
 @query(
@@ -311,7 +327,17 @@ def unknown_words(spark, d):
     return vocabulary.unknown_words(vocabulary.vocabulary(_blocks(spark, d, "book")), dictionary)
 
 
-@query("line_break_joins")
+@query(
+    "line_break_joins",
+    f"""WITH {B}, x AS (SELECT id, book, {TXT} AS t FROM b WHERE {TXT} IS NOT NULL),
+    w AS (SELECT book, lower(unnest({WORDS_SQL.format(t='t')})) AS word FROM x), v AS (SELECT book, word, count(*) AS n FROM w GROUP BY book, word),
+    soft AS (SELECT id, book, unnest(regexp_extract_all(t, '(?:\\p{{L}}+)-[ \\t]*\\r?\\n[ \\t]*(?:\\p{{Ll}}+)')) AS f, true AS soft FROM x),
+    runs AS (SELECT id, book, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_-]+')) AS f FROM x), inl AS (SELECT id, book, f, false AS soft FROM runs WHERE regexp_full_match(f, '\\p{{L}}+-\\p{{Ll}}+')),
+    c AS (SELECT book, lower(f) AS form, count(*) AS n FROM inl GROUP BY ALL HAVING count(*) >= 2),
+    s AS (SELECT DISTINCT id, book, soft, regexp_extract(f, '^(\\p{{L}}+)-', 1) AS "left", regexp_extract(f, '-\\s*(\\p{{L}}+)$', 1) AS "right" FROM (SELECT * FROM soft UNION ALL SELECT * FROM inl))
+    SELECT DISTINCT s.id, s.book, s."left", s."right", lower(s."left" || s."right") AS joined, v.n FROM s JOIN v ON v.book = s.book AND v.word = lower(s."left" || s."right")
+    LEFT JOIN c ON c.book = s.book AND c.form = lower(s."left" || '-' || s."right") WHERE s.soft OR c.form IS NULL""",
+)
 def line_break_joins(spark, d):
     """Words broken by a hyphen that the same book has whole."""
     b = _blocks(spark, d, "book")
@@ -498,11 +524,17 @@ def best_book(spark, d):
     return evaluate.best(s, "category", "book", "up", "down")
 
 
-@query("number_scores")
+@query(
+    "number_scores",
+    f"""WITH {B}, n AS (SELECT id, {sqlforms.numbers("coalesce(text_b, '')")} AS p, {sqlforms.numbers("final")} AS g FROM b WHERE final IS NOT NULL),
+    h AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))), 0) AS hit FROM n),
+    s AS (SELECT id, CASE WHEN len(p) + len(g) = 0 THEN 1.0::DOUBLE WHEN len(p) = 0 THEN 0.0 ELSE hit / len(p) END AS pr, CASE WHEN len(p) + len(g) = 0 THEN 1.0::DOUBLE WHEN len(g) = 0 THEN 0.0 ELSE hit / len(g) END AS re FROM h)
+    SELECT id, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END, 6) AS f1 FROM s""",
+)
 def number_scores(spark, d):
     """Numbers of draft B against those of the final text: precision, recall and F1 of every block."""
     b = schemas.block_rows(spark, d, "text_b", "final", heavy=True).where("final is not null")
-    return evaluate.number_scores(b.select("id", F.coalesce("text_b", F.lit("")).alias("txt")), b.select("id", F.col("final").alias("txt")), "id")
+    return evaluate.number_scores(b, F.coalesce("text_b", F.lit("")), F.col("final"), "id")
 
 
 @query("draft_errors")
@@ -747,14 +779,27 @@ def page_scores(spark, d):
 def paragraph_chains(spark, d):
     """Paragraphs with their continuation over page ends put together."""
     b = _blocks(spark, d, "book", "page", "ord", "category", "parent").where("parent is null and txt is not null and category not in ('Page-header','Page-footer')")
-    return layout.chains(b, layout.stitches(b, schemas.page_rows(spark, d)), schemas.page_rows(spark, d))
+    joins = layout.stitches(b, schemas.page_rows(spark, d), vocabulary.vocabulary(_blocks(spark, d, "book")))
+    return layout.chains(b, joins, schemas.page_rows(spark, d))
+
+
+_TOKEN_SQL = r"\$\$(?:.|\n)+?\$\$|\$[^$\n]+?\$|\\\((?:.|\n)+?\\\)|\\\[(?:.|\n)+?\\\]|<[^>]*>|[0-9A-Za-zА-Яа-яЁё]+(?:[.-][0-9A-Za-zА-Яа-яЁё]+)*"
+_ASIDE_SQL = _TOKEN_SQL.rsplit("|", 1)[0]
+_TWIN_SQL = f"translate(w, '{homoglyphs.LATIN_TWINS}', '{homoglyphs.CYRILLIC_TWINS}')"
+_CHEM_SQL = f"regexp_full_match(p, '(?:(?:{'|'.join(sorted(homoglyphs.ELEMENTS, key=len, reverse=True))})[0-9]*)+')"
 
 
-@query("output_homoglyphs")
+@query(
+    "output_homoglyphs",
+    f"""WITH {B}, x AS (SELECT id, {TXT} AS txt, regexp_replace({TXT}, '{_ASIDE_SQL}', '', 'g') AS plain FROM b WHERE {TXT} IS NOT NULL AND coalesce(kind, '') <> 'formula'),
+    y AS (SELECT id, txt, len(regexp_extract_all(plain, '[А-Яа-яЁё]')) >= len(regexp_extract_all(plain, '[A-Za-z]')) AS cyr FROM x),
+    z AS (SELECT id, txt, {sqlforms.words_apart("txt", _TOKEN_SQL, "w", f"CASE WHEN regexp_matches(w, '^[$<\\\\]') OR NOT regexp_matches(w, '[A-Za-z]') OR len(list_filter(regexp_extract_all(w, '[A-Za-z]'), lambda q: NOT contains('{homoglyphs.LATIN_TWINS}', q))) > 0 OR regexp_full_match(w, '(?:{'|'.join(homoglyphs.DESIGNATIONS)})[0-9]*') THEN w WHEN regexp_matches(w, '[А-Яа-яЁё]') OR (cyr AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Z]') AND len(list_filter(string_split_regex(w, '[.-]'), lambda p: {_CHEM_SQL})) = 0) THEN {_TWIN_SQL} ELSE w END")} AS fixed FROM y)
+    SELECT id, fixed FROM z WHERE fixed <> txt""",
+)
 def output_homoglyphs(spark, d):
     """Final texts in which look-alike letters were put right for output."""
     b = _blocks(spark, d, "kind").where("txt is not null and coalesce(kind, '') <> 'formula'")
-    return b.select("id", "txt", markdown_twins("txt").alias("fixed")).where("txt <> fixed").select("id", "fixed")
+    return b.select("id", "txt", homoglyphs.fix_output("txt").alias("fixed")).where("txt <> fixed").select("id", "fixed")
 
 
 @query("float_order")
@@ -771,7 +816,23 @@ def promoted_footnotes(spark, d):
     return pages.promoted(b)
 
 
-@query("fix_places")
+# A token that stands alone: no letter or digit goes on at its ends, nor a decimal part.
+_ALONE_SQL = (
+    "list_filter(range(1, length(txt) - length(tok) + 2), lambda i: substr(txt, i, length(tok)) = tok "
+    "AND NOT (regexp_matches(tok, '^[\\p{L}\\p{N}_.,]') AND i > 1 AND regexp_matches(substr(txt, i - 1, 1), '[\\p{L}\\p{N}_]')) "
+    "AND NOT (regexp_matches(tok, '^[\\p{L}\\p{N}_]') AND i > 2 AND regexp_matches(substr(txt, i - 2, 2), '^[0-9][.,]$')) "
+    "AND NOT (regexp_matches(tok, '[\\p{L}\\p{N}_]$') AND regexp_matches(substr(txt, i + length(tok), 2), '^(?:[\\p{L}\\p{N}_]|[.,][0-9])')))"
+)
+
+
+@query(
+    "fix_places",
+    f"""WITH {B}, f AS (SELECT DISTINCT ON (id) * FROM fixes ORDER BY id), x AS (SELECT f.id, {TXT} AS txt, CASE WHEN f.state = 'applied' THEN f.now ELSE f.was END AS tok, coalesce(f.before, '') AS bef, coalesce(f.after, '') AS aft FROM f JOIN b ON f.block = b.id),
+    y AS (SELECT *, concat(bef, tok, aft) AS whole FROM x WHERE txt IS NOT NULL AND tok IS NOT NULL),
+    z AS (SELECT *, CASE WHEN tok <> '' AND bef || aft <> '' THEN list_filter(range(1, length(txt) + 1), lambda i: substr(txt, i, length(whole)) = whole) ELSE [] END AS exact, CASE WHEN tok <> '' THEN {_ALONE_SQL} ELSE [] END AS alone FROM y)
+    SELECT id, CASE WHEN len(exact) = 1 THEN 'exact' WHEN len(alone) > 1 THEN 'ambiguous' WHEN len(alone) = 1 THEN 'token' ELSE 'absent' END AS status,
+      CASE WHEN len(exact) = 1 THEN exact[1] - 1 + length(bef) WHEN len(alone) = 1 THEN alone[1] - 1 END AS "offset" FROM z""",
+)
 def fix_places(spark, d):
     """Where in its block each correction stands."""
     f = schemas.scan(spark, d, "fixes", "id", "block", "before", "was", "now", "after", "state").dropDuplicates(["id"])
@@ -814,7 +875,11 @@ def streamed_daily_events(spark, d):
     return live.run_once(live.counted(live.events_stream(spark, f"{d}/library_events.parquet").where("ts is not null")), "complete")
 
 
-@query("streamed_breaker")
+@query(
+    "streamed_breaker",
+    f"""WITH {E_SQL}, x AS (SELECT book, id, coalesce(level = 'error', false) AS bad FROM e WHERE book IS NOT NULL), i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY id ROWS UNBOUNDED PRECEDING) AS g FROM x),
+    r AS (SELECT book, id, row_number() OVER (PARTITION BY book, g ORDER BY id) AS k FROM i WHERE bad) SELECT book, id, 2::BIGINT AS n FROM r WHERE k % 2 = 0""",
+)
 def streamed_breaker(spark, d):
     """Books that failed twice in a row, told by a stream with state."""
     return live.run_once(live.breaker(live.events_stream(spark, f"{d}/library_events.parquet")), "append")

@@ -21,7 +21,7 @@ def read_journals(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.input_file_name().alias("file"), F.explode("fixes").alias("f")).select("file", "f.*")
 
 
-def write_journals(fixes: DataFrame, path: str, files: int = 1) -> None:
+def write_journals(fixes: DataFrame, path: str) -> None:
     """Fixes as one JSON document per book, ordered by id, under ``path/book=.../``."""
     cols = [c for c in fixes.columns if c != "book"]
     doc = fixes.groupBy("book").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("fixes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import pandas as pd
@@ -22,9 +23,13 @@ def events_stream(spark: SparkSession, path: str, files_per_batch: int = 64) ->
     return src.withColumn("level", F.lower(F.trim("level"))).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def counted(events: DataFrame, width: str = "1 day", delay: str = "30 days") -> DataFrame:
-    """Events per window and level; an id counts once, events later than ``delay`` are dropped."""
-    once = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+def counted(events: DataFrame, width: str = "1 day", delay: str | None = None) -> DataFrame:
+    """Events per window and level; an id counts once.
+
+    Without a ``delay`` nothing is ever too late, as in batch: the state keeps every id.  With one the state is bounded,
+    and events further behind than that are dropped.
+    """
+    once = events.dropDuplicates(["id"]) if delay is None else events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
     g = once.groupBy(F.window("ts", width).alias("w"), "level").agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "level", "n")
 
@@ -52,8 +57,10 @@ def breaker(events: DataFrame, limit: int = 2) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set (tests)."""
+    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set in a local session (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if base is None:
         return tempfile.mkdtemp(prefix="pagespark-stream-")
     return os.path.join(base, f"stream-{os.urandom(8).hex()}")

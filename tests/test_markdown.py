@@ -66,5 +66,6 @@ def test_chains(spark):
     ps = spark.createDataFrame([("b", f"p{i}", i) for i in range(5)], "book string, name string, idx int")
     rows = [(1, "b", "p0", 0, "Text", "Структура ме-"), (2, "b", "p1", 0, "Text", "талла зависит от"), (3, "b", "p2", 0, "Text", "формы."), (4, "b", "p3", 0, "Text", "Новый и"), (5, "b", "p4", 0, "Text", "дальше.")]
     df = spark.createDataFrame(rows, "id long, book string, page string, ord int, category string, txt string")
-    got = [(r.id, r.blocks, r.text) for r in layout.chains(df, layout.stitches(df, ps), ps).orderBy("id").collect()]
+    words = spark.createDataFrame([("b", "металла")], "book string, word string")
+    got = [(r.id, r.blocks, r.text) for r in layout.chains(df, layout.stitches(df, ps, words), ps).orderBy("id").collect()]
     assert got == [(1, 3, "Структура металла зависит от формы."), (4, 2, "Новый и дальше.")]

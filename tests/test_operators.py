@@ -120,21 +120,28 @@ def test_headers(spark):
     assert layout.repeated_signatures(tilted).count() == 0
 
 
+def words(spark, *known):
+    return spark.createDataFrame([("b", w) for w in known], "book string, word string")
+
+
 def test_stitches(spark):
     ps = spark.createDataFrame([("b", f"p{i}", i) for i in range(4)], "book string, name string, idx int")
     rows = [(1, "b", "p0", 0, "Text", "Структура ме-"), (2, "b", "p0", 1, "Footnote", "* Note."), (3, "b", "p1", 0, "Text", "талла зависит."), (4, "b", "p2", 0, "Text", "новый"), (5, "b", "p3", 0, "Text", "а) пункт")]
     df = spark.createDataFrame(rows, "id long, book string, page string, ord int, category string, txt string")
-    assert [(r.id, r.join_to, r.hyphen) for r in layout.stitches(df, ps).collect()] == [(3, 1, "металла")]
+    assert [(r.id, r.join_to, r.hyphen) for r in layout.stitches(df, ps, words(spark, "металла")).collect()] == [(3, 1, "металла")]
+    assert layout.stitches(df, ps, words(spark, "другое")).first().hyphen is None  # no word of the book: the hyphen stays
     gap = df.where("page <> 'p1'")
-    assert {(r.id) for r in layout.stitches(gap, ps).collect()} == set()
+    assert {(r.id) for r in layout.stitches(gap, ps, words(spark)).collect()} == set()
 
 
 def test_continuations_and_roman(spark):
     rows = [(1, "b", "p", 0, "Caption", "Продолжение табл. IV. 15"), (2, "b", "p", 1, "Text", "x"), (3, "b", "p", 2, "Table", "t"), (4, "b", "p", 3, "Table", "t"), (5, "b", "q", 0, "Caption", "Окончание таблицы 7"), (6, "b", "r", 0, "Table", "t")]
     df = spark.createDataFrame(rows, "id long, book string, page string, ord int, category string, txt string")
     assert [(r.id, r.continues) for r in layout.continuations(df).collect()] == [(3, "IV.15")]
-    refs = spark.createDataFrame([("a", "рис. IV.5, табл. II.3, рис. III.1, рис. 1.7"), ("c", "рис. I.5, табл. II.3, рис. III.1"), ("d", "рис. 3.2 и рис. V.1")], "book string, txt string")
+    refs = spark.createDataFrame([("a", "рис. IV.5, табл. II.3, рис. III.1, рис. 1.7"), ("c", "рис. I.5, табл. II.3, рис. III.1"), ("d", "рис. 3.2 и рис. V.1")], "book string, txt string").withColumn("category", F.lit("Text"))
     assert {r.book: r.is_roman for r in layout.roman_books(refs).collect()} == {"a": True, "c": False, "d": False}
+    own = spark.createDataFrame([("a", "см. рис. 1.28 и табл. 1V.4, рис. 3.2", "Text"), ("a", "1.28", "Text"), ("c", "рис. 1.28", "Text")], "book string, txt string, category string").withColumn("id", F.monotonically_increasing_id())
+    assert [r.fixed for r in layout.roman_references(own, layout.roman_books(refs)).collect()] == ["см. рис. I.28 и табл. IV.4, рис. 3.2"]
 
 
 def test_vocabulary(spark):
@@ -196,9 +203,8 @@ def test_places():
 
 
 def test_scores(spark):
-    p = spark.createDataFrame([(1, "5 5 6"), (2, "no"), (3, "7")], "id long, txt string")
-    g = spark.createDataFrame([(1, "5 6 6"), (2, "none"), (3, "x"), (4, "8")], "id long, txt string")
-    got = {r.id: (r.precision, r.recall, r.f1) for r in evaluate.number_scores(p, g, "id").collect()}
+    df = spark.createDataFrame([(1, "5 5 6", "5 6 6"), (2, "no", "none"), (3, "7", "x"), (4, "", "8")], "id long, p string, g string")
+    got = {r.id: (r.precision, r.recall, r.f1) for r in evaluate.number_scores(df, F.col("p"), F.col("g"), "id").collect()}
     assert got[1] == pytest.approx((2 / 3, 2 / 3, 2 / 3), abs=1e-5) and got[2] == (1, 1, 1) and got[3] == (0, 0, 0) and got[4] == (0, 0, 0)
     df = spark.createDataFrame([("a b c", "a x c"), ("", ""), ("z", ""), (None, "q")], "p string, g string")
     assert [round(r.w, 4) for r in df.select(evaluate.word_error("p", "g").alias("w")).collect()] == [0.3333, 0, 1, 1]
