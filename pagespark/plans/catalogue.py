@@ -242,7 +242,7 @@ def table_continuations(spark, d):
 @query(
     "book_contents",
     f"""WITH {B}, {P}, h AS (SELECT book, page, ord, id, regexp_replace(trim({TXT}), '\\s+', ' ', 'g') AS title FROM b WHERE category IN ('Title','Section-header') AND trim({TXT}) <> ''),
-    s AS (SELECT h.*, p.idx, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s-]', '', 'g'), '\\s+', '-', 'g'), '-') AS slug FROM h LEFT JOIN p ON p.book = h.book AND p.name = h.page)
+    s AS (SELECT h.*, p.idx, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s\\p{{Z}}-]', '', 'g'), '[\\s\\p{{Z}}]+', '-', 'g'), '-') AS slug FROM h LEFT JOIN p ON p.book = h.book AND p.name = h.page)
     SELECT book, page, ord, id, title, slug, row_number() OVER (PARTITION BY book, slug ORDER BY idx NULLS LAST, page, ord, id) AS nth FROM s""",
 )
 def book_contents(spark, d):
