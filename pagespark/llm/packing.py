@@ -67,11 +67,13 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pieces(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFrame:
-    """(key, piece_no, start, length): full containers of oversized items and the rest of every item."""
-    n = F.greatest(F.lit(1), F.ceil(F.col(size) / capacity)).cast("int")
-    rows = items.where(F.col(size) > 0).select(key, size, F.explode(F.sequence(F.lit(0), n - 1)).alias("piece_no"))
+    """(key, piece_no, start, length): full containers of oversized items and the rest of every item; length 0 for items of no size."""
+    own = F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("long")
+    rows = items.select(key, own.alias("_size"))
+    n = F.greatest(F.lit(1), F.ceil(F.col("_size") / capacity)).cast("int")
+    rows = rows.select(key, "_size", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece_no"))
     start = F.col("piece_no").cast("long") * capacity
-    return rows.select(key, "piece_no", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col(size) - start).alias("length"))
+    return rows.select(key, "piece_no", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("_size") - start).alias("length"))
 
 
 def _pack_streams(rows: DataFrame, ids: list[str], streams: int, capacity: int, prefix: str) -> DataFrame:
@@ -98,9 +100,9 @@ def fill(items: DataFrame, key: str = "doc_id", size: str = "tokens", capacity:
     checkpoint folder first, so that nothing is measured twice.
     """
     cut = cut_lineage(pieces(items, key, size, capacity))
-    none = items.where(~F.coalesce(F.col(size) > 0, F.lit(False))).select(key, F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("container"))
+    none = cut.where(F.col("length") == 0).withColumn("container", F.lit(None).cast("string"))
     full = cut.where(F.col("length") == capacity).select(key, "piece_no", "start", "length", F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), F.col("piece_no")).alias("container"))
-    rest = cut.where(F.col("length") < capacity)
+    rest = cut.where((F.col("length") > 0) & (F.col("length") < capacity))
     n = rest.count()
     first = cut_lineage(_pack_streams(rest.select(key, "piece_no", "length"), [key, "piece_no"], max(1, -(-n // per_stream)), capacity, "s"))
     boxes = first.groupBy("container").agg(F.sum("length").alias("length"))
