@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import tables, text
+from . import pages
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -256,6 +262,54 @@ def context_reasons(fixes: DataFrame, refused: DataFrame | None = None, corpus:
     return out.select("id", "block", "was", "now", reason.alias("reason"))
 
 
+FIXES = "array<struct<was:string,now:string,reason:string>>"
+
+
+@F.pandas_udf(T.StringType())
+def rolled_back(answer: pd.Series, drafts: pd.Series, fixes: pd.Series) -> pd.Series:
+    """The answer with refused corrections taken back: where all drafts have what was printed and every place of the
+    new text is due to a correction."""
+
+    def one(text_: str | None, printed: np.ndarray, rows: np.ndarray) -> str | None:
+        if text_ is None:
+            return None
+        refused = [f for f in rows if f["reason"] is not None]
+        due = Counter(f["now"] for f in refused)
+        for f in refused:
+            was, now = f["was"], f["now"]
+            if now and len(printed) and all(was in d for d in printed):
+                at = [i for i in pages.occurrences(text_, now) if pages.stands_alone(text_, i, i + len(now))]
+                if 0 < len(at) <= due[now]:
+                    text_ = text_[: at[0]] + was + text_[at[0] + len(now) :]
+        return text_
+
+    return pd.Series([one(*row) for row in zip(answer, drafts, fixes)], dtype=object)
+
+
+def sanitized(blocks: DataFrame, corpus: DataFrame | None = None, refused: DataFrame | None = None) -> DataFrame:
+    """(id, text, kept, rejected): every answer with its corrections judged by the rules, the refused ones taken back.
+
+    Needs id, text_a, text_b, answer and fixes (array of was, now).  Corrections of a leading zero only are dropped.
+    """
+    one = blocks.where(F.col("answer").isNotNull() & (F.size("fixes") > 0))
+    rows = one.select(F.col("id").alias("block"), F.posexplode("fixes").alias("pos", "f")).select("block", "pos", F.coalesce("f.was", F.lit("")).alias("was"), F.coalesce("f.now", F.lit("")).alias("now"))
+    rows = rows.where(~((F.col("was") != F.col("now")) & same_number(F.col("was"), F.col("now")))).withColumn("id", F.concat_ws(":", "block", "pos"))
+    judged = context_reasons(rows, refused, corpus).select("id", "reason")
+    found = rows.join(judged, "id").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "was", "now", "reason"))).alias("_f"))
+    all_ = F.transform("_f", lambda f: F.struct(f["was"].alias("was"), f["now"].alias("now"), f["reason"].alias("reason"))).cast(FIXES)
+    drafts = F.filter(F.array("text_a", "text_b"), lambda d: d.isNotNull() & (F.trim(d) != ""))
+    out = one.join(found.withColumnRenamed("block", "id"), "id").withColumn("_all", all_).withColumn("text", rolled_back(F.col("answer"), drafts, F.col("_all")))
+    pair = lambda f: F.struct(f["was"].alias("was"), f["now"].alias("now"))
+    return out.select("id", "text", F.transform(F.filter("_all", lambda f: f["reason"].isNull()), pair).alias("kept"), F.filter("_all", lambda f: f["reason"].isNotNull()).alias("rejected"))
+
+
+def worth_reporting(fixes: Column, drafts: Column, final: Column, source: Column) -> Column:
+    """The corrections that a report shows: of an accepted answer, seen in all drafts and in the result, not of a dash only."""
+    dash = lambda c: F.translate(c, "–—−", "---")
+    kept = F.filter(fixes, lambda f: (f["was"] != f["now"]) & final.contains(f["now"]) & F.forall(drafts, lambda d: d.contains(f["was"])) & (dash(f["was"]) != dash(f["now"])))
+    return F.when((source == "arbiter") & (F.size(drafts) > 0), kept).otherwise(F.slice(fixes, 1, 0))
+
+
 def denied(fixes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Fixes whose (was, now) pair is on the list of refused pairs; NULLs never match."""
     return fixes.join(pairs.select("was", "now").distinct(), ["was", "now"], "left_semi")

@@ -80,3 +80,23 @@ def run_statistics(blocks: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size("arbiter_fixes")), F.lit(0)).alias("fixes"),
         F.round(F.avg("cer_ab"), 6).alias("mean_cer"),
     )
+
+
+def quality_report(stats: DataFrame) -> DataFrame:
+    """(book, report): the figures of ``run_statistics`` as a Markdown table."""
+    percent = lambda c: F.concat(F.format_string("%.1f", c * 100), F.lit(" %"))
+    lines = [
+        F.concat(F.lit("# Recognition quality: "), "book"), F.lit(""), F.lit("| Metric | Value |"), F.lit("|---|---|"), F.concat(F.lit("| Pages | "), F.col("pages"), F.lit(" |")),
+        F.concat(F.lit("| Blocks | "), F.col("blocks"), F.lit(" |")), F.concat(F.lit("| Arbitrated share | "), percent(F.col("arbitrated_share")), F.lit(" ("), F.col("arbitrated"), F.lit(" of "), F.col("decided"), F.lit(") |")),
+        F.concat(F.lit("| Answers rejected | "), F.col("rejected"), F.lit(" |")), F.concat(F.lit("| Failures | "), F.col("failed"), F.lit(" |")), F.concat(F.lit("| Lost drafts | "), F.col("lost_drafts"), F.lit(" |")),
+        F.concat(F.lit("| Misprint fixes | "), F.col("fixes"), F.lit(" |")),
+    ]
+    return stats.select("book", F.array_join(F.array(*lines), "\n").alias("report"))
+
+
+def comparison_report(scores: DataFrame, group: str, name: str, up: str, down: str) -> DataFrame:
+    """(group, report): entries of every group as a Markdown table, best first: greatest ``up``, then least ``down`` (NULL last)."""
+    shown = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("—"))
+    rank = F.struct((-F.coalesce(up, F.lit(0.0))).alias("a"), F.coalesce(down, F.lit(1.0)).alias("b"), F.col(name).alias("c"), F.concat(F.lit("| "), name, F.lit(" | "), F.when(F.col(up).isNull(), "—").otherwise(shown(up)), F.lit(" | "), F.when(F.col(down).isNull(), "—").otherwise(shown(down)), F.lit(" |")).alias("row"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["row"]), "\n")
+    return scores.groupBy(group).agg(F.concat(F.lit(f"| {name} | {up} | {down} |\n|---|---|---|\n"), rows).alias("report"))

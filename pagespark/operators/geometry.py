@@ -109,6 +109,38 @@ def suppress(boxes: list[tuple[float, Box]], threshold: float = 0.5) -> list[int
     return kept
 
 
+def pad(b: Column, by: int, width: Column, height: Column) -> Column:
+    """The box grown by ``by`` on all sides, inside the page."""
+    return F.struct(
+        F.greatest(F.lit(0), b["x1"] - by).alias("x1"), F.greatest(F.lit(0), b["y1"] - by).alias("y1"), F.least(width, b["x2"] + by).alias("x2"), F.least(height, b["y2"] + by).alias("y2"),
+    )
+
+
+def figures_only(boxes: DataFrame, least: float = 0.025) -> DataFrame:
+    """Boxes at least ``least`` of the page high: lower ones are text.  Needs bbox and height."""
+    return boxes.where(F.col("bbox.y2") - F.col("bbox.y1") >= least * F.col("height"))
+
+
+def figure_counts(pred: DataFrame, outside: DataFrame, inside: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(book, page, inside_hit, inside_gold, hit, predicted, gold): predicted figures against gold ones inside tables, the rest against those outside."""
+    keys = ["book", "page"]
+
+    def matched(a: DataFrame, b: DataFrame) -> DataFrame:
+        p = page_pairs(a, b)
+        scored = p.select(*keys, F.col("l.id").alias("l"), F.col("r.id").alias("r"), iou(F.col("l.bbox"), F.col("r.bbox")).alias("score"))
+        return greedy(scored, keys, threshold)
+
+    first = matched(pred, inside)
+    rest = pred.join(first.select(*keys, F.col("l").alias("id")), [*keys, "id"], "left_anti")
+    second = matched(rest, outside)
+    parts = [first.select(*keys, F.lit(0).alias("k")), inside.select(*keys, F.lit(1).alias("k")), second.select(*keys, F.lit(2).alias("k")), rest.select(*keys, F.lit(3).alias("k")), outside.select(*keys, F.lit(4).alias("k"))]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    names = ("inside_hit", "inside_gold", "hit", "predicted", "gold")
+    return every.groupBy(*keys).agg(*[F.count_if(F.col("k") == k).alias(n) for k, n in enumerate(names)])
+
+
 def overlap(a: Box, b: Box) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:

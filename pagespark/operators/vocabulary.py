@@ -55,3 +55,26 @@ def repeated_top(vocab: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` words of every book: (book, word, n, rank); ties by the word."""
     w = Window.partitionBy("book").orderBy(F.desc("n"), "word")
     return vocab.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+SPELLED = "[A-Za-zÄÖÜäöüßА-Яа-яЁё]+"
+
+
+def spelling(blocks: DataFrame, pages: DataFrame, dictionary: DataFrame, top: int = 30, most_pages: int = 10) -> DataFrame:
+    """(book, word, n, pages, rank): the ``top`` unknown words of every book with the first pages they stand on.
+
+    Words of three letters and more outside formulas and tags, short capitals left out; a word of two alphabets is
+    unknown whatever the dictionary says.  Ties go to the word that comes first.
+    """
+    plain = F.regexp_replace("txt", r"(?s)\$\$.+?\$\$|\$[^$\n]+?\$|\\\(.+?\\\)|\\\[.+?\\\]|<[^>]*>", " ")
+    rows = blocks.where("txt is not null").join(pages.select("book", F.col("name").alias("page"), "idx"), ["book", "page"])
+    words = rows.select("book", "page", "idx", "ord", "id", F.posexplode(F.regexp_extract_all(plain, F.lit(f"({SPELLED})"), F.lit(1))).alias("at", "word"))
+    words = words.where((F.length("word") >= 3) & ~((F.upper("word") == F.col("word")) & (F.length("word") <= 6)))
+    place = F.struct("idx", "ord", "id", "at")
+    per_page = words.groupBy("book", "word", "page").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    mixed = F.col("word").rlike("[А-Яа-яЁё]") & F.col("word").rlike("[A-Za-zÄÖÜäöüß]")
+    known = dictionary.select(F.col("word").alias("_low")).distinct().withColumn("_known", F.lit(True))
+    odd = per_page.withColumn("_low", F.lower("word")).join(known, "_low", "left").where(F.col("_known").isNull() | mixed)
+    g = odd.groupBy("book", "word").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.array_sort(F.collect_list(F.struct("first", "page"))).alias("all"))
+    ranked = g.withColumn("rank", F.row_number().over(Window.partitionBy("book").orderBy(F.desc("n"), "first"))).where(F.col("rank") <= top)
+    return ranked.select("book", "word", "n", F.array_join(F.transform(F.slice("all", 1, most_pages), lambda x: x["page"]), ", ").alias("pages"), "rank")

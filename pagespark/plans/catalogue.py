@@ -885,6 +885,62 @@ def streamed_breaker(spark, d):
     return live.run_once(live.breaker(live.events_stream(spark, f"{d}/library_events.parquet")), "append")
 
 
+@query("sanitized_answers")
+def sanitized_answers(spark, d):
+    """Answers whose corrections the rules judged: text with the refused ones taken back."""
+    b = schemas.block_rows(spark, d, "book", "text_a", "text_b", "arbiter_text", "arbiter_fixes")
+    out = consensus.sanitized(b.select("id", "text_a", "text_b", F.col("arbiter_text").alias("answer"), F.col("arbiter_fixes").alias("fixes")), vocabulary.vocabulary(_blocks(spark, d, "book")))
+    return out.select("id", "text", F.size("kept").alias("kept"), F.array_join(F.transform("rejected", lambda f: f["reason"]), "; ").alias("reasons"))
+
+
+@query(
+    "spelling_report",
+    f"""WITH {B}, {P}, x AS (SELECT b.book, b.page, p.idx, ord, b.id, regexp_replace({TXT}, '\\$\\$(?:.|\n)+?\\$\\$|\\$[^$\n]+?\\$|\\\\\\((?:.|\n)+?\\\\\\)|\\\\\\[(?:.|\n)+?\\\\\\]|<[^>]*>', ' ', 'g') AS t FROM b JOIN p ON b.book = p.book AND b.page = p.name WHERE {TXT} IS NOT NULL),
+    l AS (SELECT *, regexp_extract_all(t, '[A-Za-zÄÖÜäöüßА-Яа-яЁё]+') AS ws FROM x), w AS (SELECT book, page, idx, ord, id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM l),
+    dict AS (SELECT DISTINCT lower(unnest({WORDS_SQL.format(t='text')})) AS word FROM documents WHERE text IS NOT NULL),
+    o AS (SELECT * FROM w WHERE length(word) >= 3 AND NOT (upper(word) = word AND length(word) <= 6) AND (lower(word) NOT IN (SELECT word FROM dict) OR (regexp_matches(word, '[А-Яа-яЁё]') AND regexp_matches(word, '[A-Za-zÄÖÜäöüß]')))),
+    g AS (SELECT book, word, page, count(*) AS n, min((idx, ord, id, pos)) AS first FROM o GROUP BY ALL), h AS (SELECT book, word, sum(n)::BIGINT AS n, min(first) AS first, array_to_string(list(page ORDER BY first)[1:10], ', ') AS pages FROM g GROUP BY book, word),
+    r AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, first) AS rank FROM h) SELECT book, word, n, pages, rank FROM r WHERE rank <= 30""",
+)
+def spelling_report(spark, d):
+    """Thirty unknown words of every book with the first pages they stand on (a report); the documents are the dictionary."""
+    docs = schemas.scan(spark, d, "documents", F.col("text").alias("txt")).where("txt is not null")
+    dictionary = docs.select(F.explode(vocabulary.whole_words(F.col("txt"))).alias("word"))
+    return vocabulary.spelling(_blocks(spark, d, "book", "page", "ord"), schemas.page_rows(spark, d), dictionary)
+
+
+@query("linked_footnotes")
+def linked_footnotes(spark, d):
+    """Texts with references to footnotes and the footnotes themselves, numbered through the book."""
+    b = layout.with_pages(_blocks(spark, d, "book", "page", "ord", "category", "parent"), schemas.page_rows(spark, d))
+    return pages.linked_footnotes(b.where("parent is null"))
+
+
+@query(
+    "quality_reports",
+    f"""WITH {B}, s AS (SELECT book, count(*) AS blocks, count(DISTINCT page) AS pages, count(*) FILTER (WHERE decision IN ('accept','arbiter')) AS decided, count(*) FILTER (WHERE decision = 'arbiter') AS arb,
+      count(*) FILTER (WHERE arbiter_status = 'rejected') AS rejected, count(*) FILTER (WHERE arbiter_status = 'failed') AS failed, count(*) FILTER (WHERE text_b IS NULL AND drafts_status = 'done') AS lost, coalesce(sum(len(arbiter_fixes)), 0)::BIGINT AS fixes FROM b GROUP BY book)
+    SELECT book, concat_ws(chr(10), '# Recognition quality: ' || book, '', '| Metric | Value |', '|---|---|', '| Pages | ' || pages || ' |', '| Blocks | ' || blocks || ' |', '| Arbitrated share | ' || format('{{:.1f}}', round(CASE WHEN decided > 0 THEN arb / decided ELSE 0 END, 4) * 100) || ' % (' || arb || ' of ' || decided || ') |',
+      '| Answers rejected | ' || rejected || ' |', '| Failures | ' || failed || ' |', '| Lost drafts | ' || lost || ' |', '| Misprint fixes | ' || fixes || ' |') AS report FROM s""",
+)
+def quality_reports(spark, d):
+    """The figures of every book as a Markdown table."""
+    b = schemas.block_rows(spark, d, "book", "page", "decision", "arbiter_status", "text_b", "drafts_status", "arbiter_fixes", "cer_ab")
+    return evaluate.quality_report(evaluate.run_statistics(b))
+
+
+@query(
+    "comparison_reports",
+    f"""WITH {B}, s AS (SELECT category, book, round(count(*) FILTER (WHERE decision = 'accept') / count(*), 4) AS accepted, round(avg(cer_ab), 4) AS distance FROM b WHERE kind IS NOT NULL GROUP BY category, book)
+    SELECT category, '| book | accepted | distance |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || book || ' | ' || coalesce(format('{{:.4f}}', accepted), '—') || ' | ' || coalesce(format('{{:.4f}}', distance), '—') || ' |', chr(10) ORDER BY coalesce(accepted, 0) DESC, coalesce(distance, 1), book) AS report FROM s GROUP BY category""",
+)
+def comparison_reports(spark, d):
+    """Books compared per category, best first, as Markdown tables."""
+    b = schemas.block_rows(spark, d, "kind", "category", "book", "decision", "cer_ab").where("kind is not null")
+    s = b.groupBy("category", "book").agg(F.round(F.count_if(F.col("decision") == "accept") / F.count("*"), 4).alias("accepted"), F.round(F.avg("cer_ab"), 4).alias("distance"))
+    return evaluate.comparison_report(s, "category", "book", "accepted", "distance")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: both drafts of every block compared and decided, counted by kind and decision."""
     out = consensus_decisions(spark, d)
