@@ -60,7 +60,7 @@ def test_images():
         img[y : y + 8, 30:270] = 0
     tilted = pixels.turned(img, 2.0)
     level, angle = pixels.deskewed(tilted)
-    assert abs(abs(angle) - 2.0) <= 0.2 and abs(pixels.skew(level)) <= 0.15
+    assert abs(abs(angle) - 2.0) <= 0.2 and abs(pixels.skew(level)) <= 0.25  # half a pixel over the half of the width
     assert pixels.deskewed(img)[1] == 0.0 and (pixels.turned(img, 0.0) == img).all()
     assert pixels.padded((5, 5, 290, 190), 300, 200, 12) == (0, 0, 300, 200)
     crop = pixels.block_crop(img, (30, 20, 270, 68), pad=0, least_line=16, masks=((30, 40, 270, 68),))
