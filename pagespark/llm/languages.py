@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import bounded_sample, cut_lineage
 from .crf import LinearChain
 
 LANGS = ("ru", "en", "de", "uk", "fr")
@@ -181,8 +181,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     names = F.create_map(*[F.lit(x) for kv in _NAME.items() for x in kv])
     base = F.split(F.lower(F.trim(F.col(label))), "[-_ ]")[0]
     coded = docs.withColumn("_code", F.coalesce(names[F.lower(F.trim(F.col(label)))], names[base])).where(F.col("_code").isNotNull() & F.col(text).isNotNull())
-    ids = coded.select(key).orderBy(F.xxhash64(key), key).limit(sample)
-    rows = cut_lineage(coded.select(key, "_code", text).join(F.broadcast(ids), key, "left_semi").select("_code", text))  # bounded; every round reads it
+    rows = cut_lineage(bounded_sample(coded.select(key, "_code", text), key, sample).select("_code", text))  # every round reads it
     logp: np.ndarray | None = None
     for _ in range(rounds):
         current = logp

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import melt_fields, memo
+from .common import bounded_sample, melt_fields, memo
 
 # Element names of HTML and of the wiki extensions seen in page text.
 TAGS = (
@@ -168,7 +168,7 @@ def sample_weights(df: DataFrame, fields: Sequence[str], draft: str, key: str =
     """``fit`` on the values of at most ``sample`` rows with another draft, chosen by a hash of their key."""
     hint = r"[<&\[\]{}\\$*_#`|~=>]|''"
     rows = df.where(F.col(draft).isNotNull() & F.greatest(*[F.coalesce(F.col(f).rlike(hint), F.lit(False)) for f in fields]))
-    got = rows.select(key, draft, *fields).orderBy(F.xxhash64(key), key).limit(sample).collect()
+    got = bounded_sample(rows.select(key, draft, *fields), key, sample).collect()
     return fit([p for r in got for f in fields if r[f] for p in labelled_lines(r[f], r[draft])])
 
 
