@@ -234,12 +234,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.col("shape") != "prose").select("doc_id", "shape").distinct()
 
 
-def _codes(spark: SparkSession, d: str) -> list[str]:
-    """The reference list of designations: a small fixed table, checked to be one."""
-    rows = table(spark, d, "grades", "code").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("the reference list of designations is meant to be small")
-    return sorted({r.code for r in rows if r.code})
+#: A list of this many designations is sent to all tasks; a longer one is joined.
+FEW_CODES = 100_000
+
+
+def _codes(spark: SparkSession, d: str) -> list[str] | DataFrame:
+    """The reference list of designations, or the table it is where it is long."""
+    codes = table(spark, d, "grades", "code")
+    rows = codes.limit(FEW_CODES + 1).collect()
+    return codes if len(rows) > FEW_CODES else sorted({r.code for r in rows if r.code})
 
 
 def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -251,13 +254,13 @@ def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Values with a token that its skeleton group spells otherwise."""
     blocks = table(spark, d, "blocks", "id", "text_a", "final")
-    return skeleton.respell(*skeleton.survey(blocks, _codes(spark, d))).select("id", "field").distinct()
+    return skeleton.found_in(blocks, _codes(spark, d))[1].select("id", "field").distinct()
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of several spellings that look the same, with the consistent one."""
     blocks = table(spark, d, "blocks", "id", "text_a", "final")
-    return skeleton.skeleton_groups(skeleton.survey(blocks, _codes(spark, d))[1]).where("n_spellings > 1")
+    return skeleton.skeleton_groups(skeleton.survey(blocks, ())[1]).where("n_spellings > 1")
 
 
 def queries() -> dict[str, Query]:

@@ -207,8 +207,9 @@ def ruled(token: str, cyrillic_text: bool) -> tuple[str, str]:
 class Surveyor:
     """What one task learns: the spellings of its texts, and the values with tokens to look up in their group."""
 
-    def __init__(self, codes: Iterable[str]):
-        self.codes = {c for c in codes if c}
+    def __init__(self, codes: Iterable[str] | None):
+        self.joined = codes is None  # the list is too long to be here: every token that could be listed is looked up
+        self.codes = {c for c in codes or () if c and _CODE_RE.search(c)}
         self.listed: dict[str, str] = {}
         for c in sorted(self.codes):
             self.listed.setdefault(skeleton(c), c)
@@ -238,7 +239,10 @@ class Surveyor:
                 if hit != tok and tok not in self.codes:
                     out.append({"was": tok, "skeleton": self.key(tok), "now": hit, "faults": "designation", "listed": True})
                 continue
-            if plain or not (_ODD_RE.search(tok) or _MIX_RE.search(tok)):
+            odd = not plain and (_ODD_RE.search(tok) or _MIX_RE.search(tok))
+            if not odd:
+                if self.joined and _CODE_RE.search(tok):
+                    out.append({"was": tok, "skeleton": self.key(tok), "now": tok, "faults": "designation", "listed": False})
                 continue
             cyrillic = alphabet_of(text) if cyrillic is None else cyrillic
             now, faults = ruled(tok, cyrillic)
@@ -256,12 +260,13 @@ class Surveyor:
 TOKENS = "array<struct<was:string,skeleton:string,now:string,faults:string,listed:boolean>>"
 
 
-def survey(blocks: DataFrame, codes: Sequence[str], fields: Sequence[str] = ("text_a", "final"), key: str = "id") -> tuple[DataFrame, DataFrame]:
+def survey(blocks: DataFrame, codes: Sequence[str] | None, fields: Sequence[str] = ("text_a", "final"), key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(values with tokens to look up, spellings by skeleton), from one pass over the texts, written once.
 
-    ``codes`` is a short reference list (its size is the caller's bound; it travels with the task closure).
+    ``codes`` is the reference list where it is short enough to travel with the tasks, else None: then every token with
+    a digit beside a letter is kept for ``respell`` to look up in the table.
     """
-    codes = tuple(codes)
+    codes = None if codes is None else tuple(codes)
     names = [key, "field", "value", "tokens", "skeleton", "spelling", "n", "consistent"]
 
     def words(s: Surveyor) -> pd.DataFrame:
@@ -296,20 +301,51 @@ def skeleton_groups(spellings: DataFrame) -> DataFrame:
     return counts.groupBy("skeleton").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"), F.max(rank)["spelling"].alias("spelling"))
 
 
-def respell(values: DataFrame, spellings: DataFrame, key: str = "id") -> DataFrame:
-    """(key, field, was, now, faults): every token whose group spells it otherwise."""
+def code_table(codes: DataFrame, col: str = "code") -> DataFrame:
+    """(skeleton, code): the designations by skeleton, the first of those that look the same; and (code) all of them."""
+
+    def run(it):
+        for pdf in it:
+            own = [c for c in pdf[col] if c and _CODE_RE.search(c)]
+            yield pd.DataFrame({"skeleton": [skeleton(c) for c in own], "code": own}, dtype=object)
+
+    return codes.select(col).mapInPandas(run, "skeleton string, code string").distinct()
+
+
+def respell(values: DataFrame, spellings: DataFrame, key: str = "id", codes: DataFrame | None = None) -> DataFrame:
+    """(key, field, was, now, faults): every token whose group spells it otherwise.
+
+    ``codes`` is the table of designations where ``survey`` had no list of them.
+    """
     asked = values.select(key, "field", F.explode("tokens").alias("t")).select(key, "field", "t.*").distinct()
     known = spellings.where("consistent").select(F.col("spelling").alias("now")).distinct().withColumn("_known", F.lit(True))
     groups = skeleton_groups(spellings.join(asked.select("skeleton").distinct(), "skeleton", "left_semi")).select("skeleton", "spelling")
     found = asked.join(known, "now", "left").join(groups, "skeleton", "left")
+    if codes is not None:
+        listed = code_table(codes)
+        first = listed.groupBy("skeleton").agg(F.min("code").alias("_code"))
+        right = listed.select(F.col("code").alias("was")).distinct().withColumn("_right", F.lit(True))
+        found = found.join(first, "skeleton", "left").join(right, "was", "left")
+        hit = F.col("_code").isNotNull()
+        found = found.withColumn("now", F.when(F.col("_right"), F.col("was")).when(hit, F.col("_code")).otherwise(F.col("now")))
+        found = found.withColumn("listed", hit | F.coalesce("_right", F.lit(False))).withColumn("faults", F.when(hit, "designation").otherwise(F.col("faults")))
     now = F.when(F.col("listed") | F.col("_known"), F.col("now")).otherwise(F.coalesce("spelling", "now"))
     return found.select(key, "field", "was", now.alias("now"), "faults").where("was <> now")
 
 
-def canonicalise(blocks: DataFrame, codes: Sequence[str], fields: Sequence[str] = ("text_a", "final"), key: str = "id") -> DataFrame:
-    """(key, field, value, clean, faults): one row per value that had a fault, with every token as its group spells it."""
+def found_in(blocks: DataFrame, codes: Sequence[str] | DataFrame, fields: Sequence[str] = ("text_a", "final"), key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(values with tokens to look up, respelled tokens), with the designations as a list or as a table of any length."""
+    if isinstance(codes, DataFrame):
+        values, spellings = survey(blocks, None, fields, key)
+        return values, respell(values, spellings, key, codes)
     values, spellings = survey(blocks, codes, fields, key)
-    fixes = respell(values, spellings, key).groupBy(key, "field").agg(F.map_from_entries(F.collect_set(F.struct("was", "now"))).alias("map"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("faults", ","))))), ",").alias("faults"))
+    return values, respell(values, spellings, key)
+
+
+def canonicalise(blocks: DataFrame, codes: Sequence[str] | DataFrame, fields: Sequence[str] = ("text_a", "final"), key: str = "id") -> DataFrame:
+    """(key, field, value, clean, faults): one row per value that had a fault, with every token as its group spells it."""
+    values, fixes = found_in(blocks, codes, fields, key)
+    fixes = fixes.groupBy(key, "field").agg(F.map_from_entries(F.collect_set(F.struct("was", "now"))).alias("map"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("faults", ","))))), ",").alias("faults"))
 
     def run(it):
         for pdf in it:

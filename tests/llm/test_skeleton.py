@@ -61,3 +61,13 @@ def test_group_names_the_spelling(spark):
     }
     none = skeleton.respell(*skeleton.survey(df.limit(0), []))
     assert none.count() == 0
+
+
+def test_designations_as_a_table(spark):
+    rows = [(1, "сталь 41T4X18 и СТО261", "41Т4Х18"), (2, "CTO261 и В7", "мoдель A5"), (3, None, "41Т4Х1８")]
+    df = spark.createDataFrame(rows, "id long, text_a string, final string")
+    codes = ["41Т4Х18", "CTO261", "HB30"]
+    table = spark.createDataFrame([(c,) for c in [*codes, None, ""]], "code string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(skeleton.found_in(df, table)[1]) == key(skeleton.found_in(df, codes)[1])
+    assert key(skeleton.canonicalise(df, table)) == key(skeleton.canonicalise(df, codes)) and skeleton.canonicalise(df, codes).count() == 3
