@@ -75,7 +75,7 @@ DIGIT_LETTERS = {
 
 _L = r"[^\W\d_]"
 _WORD = re.compile(rf"{_L}+")
-_BREAK = re.compile(rf"({_L}+)(?:-[ \t]*\r?\n[ \t]*|- +|[ \t]*¬[ \t]*\r?\n?[ \t]*)({_L}+)")
+_BREAK = re.compile(rf"(?<![^\W\d_])({_L}++)(?:-[ \t]*\r?\n[ \t]*|- +|[ \t]*¬[ \t]*\r?\n?[ \t]*)({_L}+)")
 _END_BREAK = re.compile(rf"({_L}{{2,}})(?:-|¬)\s*\Z")
 _SPACED = re.compile(rf"(?<![\w-])(?:{_L} ){{2,}}{_L}(?!\w)")
 _DIGIT_WORD = re.compile(rf"(?<!\w)(?={_L}*\d)(?:{_L}{{1,}}\d{{1,2}}|\d(?={_L}{{3}}))(?:{_L}|\d(?={_L}))*(?![\w])")
@@ -85,7 +85,8 @@ _DIGIT_HINT = re.compile(rf"\d(?={_L}{{3}})|(?<={_L})\d")
 _WITH_DIGIT = re.compile(r"\w*\d\w*")
 _SIGN_HINT = re.compile(rf"[|!@€$](?={_L})")
 _SIGN_WORD = re.compile(rf"{_L}+[|!@€$]{_L}+")
-_COMPOUND = re.compile(rf"{_L}+(?:-{_L}+)+")
+_COMPOUND = re.compile(rf"(?<![^\W\d_]){_L}++(?:-{_L}++)+")
+_BREAK_HINT = re.compile(r"-[ \t\r\n]|¬")
 #: The rest of a word whose first half stands in another value.
 _REST = re.compile(r"\A\s*[^\W\d_A-ZА-ЯЁÄÖÜ]+")
 _RUN = re.compile(rf"{_L}+(?: +{_L}+)+")
@@ -258,7 +259,7 @@ def word_table(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
             for row in zip(*[pdf[f] for f in fields]):
                 for v in {v for v in row if v}:
                     t = clean_marks(v)
-                    if "-" in t or "¬" in t:
+                    if _BREAK_HINT.search(t):
                         t = _BREAK.sub(" ", t)
                     ws = _WORD.findall(t.lower())
                     counts.setdefault(language(ws), Counter()).update(ws)
@@ -351,11 +352,13 @@ class Gatherer:
             if ln[-1:] in ("-", "¬"):  # a running line or reading doesn't go on in the next line
                 body = body.replace(ln, ln[:-1])
         if "-" in body or "¬" in body:
-            for m in _BREAK.finditer(body):
-                out.add(("sure", "break") if "¬" in m[0] else ("good", (m[1] + m[2]).lower()))
-            if body.rstrip()[-1:] in ("-", "¬") and _END_BREAK.search(body[-2 * MAX_WORD :]):
+            if _BREAK_HINT.search(body):
+                for m in _BREAK.finditer(body):
+                    out.add(("sure", "break") if "¬" in m[0] else ("good", (m[1] + m[2]).lower()))
+                body = _BREAK.sub(" ", body)
+            if body.rstrip()[-1:] in ("-", "¬") and (m := _END_BREAK.search(body, max(0, len(body.rstrip()) - 2 * MAX_WORD))):
                 out.add(("sure", "end"))
-            body = _END_BREAK.sub(" ", _BREAK.sub(" ", body))
+                body = body[: m.start()] + " "
             if "-" in body:
                 body = _COMPOUND.sub(" ", body)  # parts of a compound need not be words
         if _SPACED_HINT.search(body):
@@ -376,8 +379,10 @@ class Gatherer:
         if len(ws) > 1 and (strange or not known.isdisjoint(map(add, ws[:-1], ws[1:]))):
             for m in _RUN.finditer(low):
                 parts = m[0].split()
-                for x, y in zip(parts[:-1], parts[1:]):
-                    j = x + y
+                joined = list(map(add, parts[:-1], parts[1:]))
+                if strange.isdisjoint(parts) and known.isdisjoint(joined):
+                    continue
+                for x, y, j in zip(parts[:-1], parts[1:], joined):
                     if len(j) <= MAX_WORD and (j in known or x in strange or y in strange):
                         out.add(("parts", f"{x} {y}"))
         odd = {w for w in strange if 4 <= len(w) <= MAX_WORD}
