@@ -583,7 +583,16 @@ def box_overlaps(spark, d):
     return p.select(F.col("l.id").alias("l"), F.col("r.id").alias("r"), F.round(v, 6).alias("iou")).where("iou > 0")
 
 
-@query("box_matches")
+@query(
+    "box_matches",
+    f"""WITH RECURSIVE i AS (SELECT x.*, bl.book, bl.page FROM (SELECT l, r, iou_raw AS score FROM ({{IOU}}) WHERE iou_raw >= 0.05) x JOIN (SELECT DISTINCT id, book, page FROM blocks) bl ON bl.id = x.l),
+    s AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY score DESC, l DESC, r DESC) AS k FROM i),
+    g AS (SELECT book, page, l, r, score, k, true AS keep, [l] AS ls, [r] AS rs FROM s WHERE k = 1
+      UNION ALL SELECT s.book, s.page, s.l, s.r, s.score, s.k, NOT list_contains(g.ls, s.l) AND NOT list_contains(g.rs, s.r),
+        CASE WHEN NOT list_contains(g.ls, s.l) AND NOT list_contains(g.rs, s.r) THEN list_append(g.ls, s.l) ELSE g.ls END, CASE WHEN NOT list_contains(g.ls, s.l) AND NOT list_contains(g.rs, s.r) THEN list_append(g.rs, s.r) ELSE g.rs END
+      FROM g JOIN s ON s.book = g.book AND s.page = g.page AND s.k = g.k + 1)
+    SELECT book, page, l, r, score FROM g WHERE keep""".replace("{IOU}", SQL["box_overlaps"].replace("round(i / (a - i), 6) AS iou", "i / (a - i) AS iou_raw")),
+)
 def box_matches(spark, d):
     """Greedy one-to-one matching of overlapping boxes of a page."""
     b = schemas.block_rows(spark, d, "book", "page", "bbox")
@@ -592,7 +601,14 @@ def box_matches(spark, d):
     return geometry.greedy(scored, ["book", "page"], 0.05)
 
 
-@query("reading_order")
+@query(
+    "reading_order",
+    f"""WITH RECURSIVE {B}, s AS (SELECT book, page, id, bbox, row_number() OVER (PARTITION BY book, page ORDER BY bbox.y1, bbox.x1, id) AS k FROM b WHERE bbox IS NOT NULL),
+    r AS (SELECT book, page, id, bbox.x1 AS x1, k, 1 AS line, bbox.y2 AS bottom FROM s WHERE k = 1
+      UNION ALL SELECT s.book, s.page, s.id, s.bbox.x1, s.k, CASE WHEN (s.bbox.y1 + s.bbox.y2) / 2.0 < r.bottom THEN r.line ELSE r.line + 1 END, CASE WHEN (s.bbox.y1 + s.bbox.y2) / 2.0 < r.bottom THEN greatest(r.bottom, s.bbox.y2) ELSE s.bbox.y2 END
+      FROM r JOIN s ON s.book IS NOT DISTINCT FROM r.book AND s.page IS NOT DISTINCT FROM r.page AND s.k = r.k + 1)
+    SELECT book, page, id, row_number() OVER (PARTITION BY book, page ORDER BY line, x1, k) AS place FROM r""",
+)
 def reading_order(spark, d):
     """Place of every box in the reading order of its page."""
     return geometry.reading_order(schemas.block_rows(spark, d, "book", "page", "bbox"))
@@ -775,7 +791,13 @@ def page_scores(spark, d):
     return evaluate.averages(s, ["book"], markdown.SCORES.names)
 
 
-@query("paragraph_chains")
+@query(
+    "paragraph_chains",
+    f"""WITH RECURSIVE j AS (SELECT * FROM ({SQL["page_stitches"]})), x AS (SELECT DISTINCT ON (id) id, trim({TXT}, ' ') AS txt FROM blocks ORDER BY id),
+    r AS (SELECT j.book, j.join_to AS root, j.join_to AS last, 1 AS n, x.txt AS text FROM j JOIN x ON x.id = j.join_to WHERE j.join_to NOT IN (SELECT id FROM j)
+      UNION ALL SELECT r.book, r.root, j.id, r.n + 1, CASE WHEN j.hyphen IS NOT NULL THEN regexp_replace(r.text, '-\\s*$', '') || x.txt ELSE r.text || ' ' || x.txt END FROM r JOIN j ON j.join_to = r.last JOIN x ON x.id = j.id)
+    SELECT book, root AS id, CAST(max(n) AS INTEGER) AS blocks, arg_max(text, n) AS text FROM r GROUP BY book, root""",
+)
 def paragraph_chains(spark, d):
     """Paragraphs with their continuation over page ends put together."""
     b = _blocks(spark, d, "book", "page", "ord", "category", "parent").where("parent is null and txt is not null and category not in ('Page-header','Page-footer')")
@@ -809,7 +831,14 @@ def float_order(spark, d):
     return pages.reorder_floats(b)
 
 
-@query("promoted_footnotes")
+@query(
+    "promoted_footnotes",
+    f"""WITH {B}, t AS (SELECT id, book, page, ord, category, {TXT} AS txt FROM b WHERE {TXT} IS NOT NULL AND book IS NOT NULL AND category NOT IN ('Page-header','Page-footer')),
+    m AS (SELECT *, CASE WHEN category = 'Text' AND length(txt) <= 400 THEN nullif(regexp_extract(txt, '^\\s*(\\*{{1,3}}|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)\\s+\\S', 1), '') END AS mark FROM t),
+    w AS (SELECT *, coalesce(bool_and(mark IS NOT NULL OR category = 'Footnote') OVER (PARTITION BY book, page ORDER BY ord, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true) AS tail FROM m)
+    SELECT id, book, page, mark, tail FROM w WHERE mark IS NOT NULL AND (tail OR EXISTS (SELECT 1 FROM w o WHERE o.book = w.book AND o.page = w.page AND (o.ord < w.ord OR (o.ord = w.ord AND o.id < w.id))
+      AND o.category IN ('Text','List-item','Caption','Table') AND contains(regexp_replace(o.txt, '^\\s*(?:\\*{{1,3}}|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)\\s+', ''), w.mark)))""",
+)
 def promoted_footnotes(spark, d):
     """Text blocks that are footnotes."""
     b = _blocks(spark, d, "book", "page", "ord", "category").where("txt is not null and book is not null and category not in ('Page-header','Page-footer')")
