@@ -57,7 +57,23 @@ def decision_counts(spark, d):
     return b.groupBy("kind", "decision").agg(F.count("*").alias("blocks"), F.round(F.avg("cer_ab"), 6).alias("mean_cer"))
 
 
-@query("consensus_decisions")
+_FREE_SQL = lambda c: sqlforms.numbers(f"regexp_replace({sqlforms.formula_form(c)}, '_\\s*\\{{[^{{}}]*\\}}|_\\s*\\\\?[\\pL\\pN_]', '', 'g')")
+_COUNT_SQL = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
+_BALANCED_SQL = " AND ".join(f"{_COUNT_SQL('text_a', a)} = {_COUNT_SQL('text_a', b)}" for a, b in (("\\{", "\\}"), ("\\\\begin", "\\\\end"), ("\\\\left", "\\\\right")))
+# Both drafts in canonical form by kind, with their distance and whether their numbers agree.
+D_SQL = f"""f AS (SELECT id, kind, text_a, text_b, CASE kind WHEN 'table' THEN {sqlforms.table_form("text_a")} WHEN 'formula' THEN {sqlforms.formula_form("text_a")} ELSE {sqlforms.text_form("text_a")} END AS ca,
+      CASE kind WHEN 'table' THEN {sqlforms.table_form("text_b")} WHEN 'formula' THEN {sqlforms.formula_form("text_b")} ELSE {sqlforms.text_form("text_b")} END AS cb FROM b),
+    m AS (SELECT *, CASE WHEN ca = cb THEN 0.0::DOUBLE ELSE {sqlforms.distance("ca", "cb")} / greatest(length(ca), length(cb)) END AS cer, text_a = text_b OR list_sort({sqlforms.numbers("text_a")}) = list_sort({sqlforms.numbers("text_b")}) AS same,
+      kind = 'formula' AND length(ca) > 0 AND {_BALANCED_SQL} AS usable, text_a = text_b OR list_sort({_FREE_SQL("text_a")}) = list_sort({_FREE_SQL("text_b")}) AS free FROM f)"""
+DECIDE_SQL = """CASE WHEN kind IS NULL THEN 'nodraft' WHEN usable THEN CASE WHEN text_b IS NULL OR free THEN 'accept' ELSE 'arbiter' END WHEN text_b IS NULL OR kind = 'page' THEN 'arbiter' WHEN ca = '' AND cb = '' THEN 'arbiter'
+      WHEN ca = cb THEN CASE WHEN kind = 'formula' AND NOT same THEN 'arbiter' ELSE 'accept' END WHEN kind IN ('table','formula') THEN 'arbiter' WHEN cer <= {tau} AND same THEN 'accept' ELSE 'arbiter' END"""
+
+
+@query(
+    "consensus_decisions",
+    f"""WITH {B}, {D_SQL}, d AS (SELECT *, {DECIDE_SQL.format(tau="0.01")} AS decision FROM m)
+    SELECT id, kind, decision, round(CASE WHEN decision = 'nodraft' OR text_b IS NULL OR kind = 'page' THEN NULL ELSE cer END, 6) AS cer_ab, CASE WHEN decision <> 'arbiter' THEN 'a' END AS final_source FROM d""",
+)
 def consensus_decisions(spark, d):
     """Both drafts compared in canonical form: decision and distance of every block."""
     b = schemas.block_rows(spark, d, "kind", "text_a", "text_b", heavy=True)
@@ -82,7 +98,11 @@ def threshold_sweep(spark, d):
     return rows.groupBy("kind", "tau").agg(F.count("*").alias("blocks"), over.alias("arbiter"), F.round(over / F.count("*"), 4).alias("share"))
 
 
-@query("replayed_sweep")
+@query(
+    "replayed_sweep",
+    f"""WITH {B}, {D_SQL}, g AS (SELECT unnest([0.0, 0.005, 0.01, 0.02, 0.05]::DOUBLE[]) AS tau), d AS (SELECT kind, tau, {DECIDE_SQL.format(tau="tau")} AS decision FROM m CROSS JOIN g WHERE kind IS NOT NULL)
+    SELECT kind, tau, count(*) AS blocks, count(*) FILTER (WHERE decision = 'arbiter') AS arbiter, round(count(*) FILTER (WHERE decision = 'arbiter') / count(*), 4) AS share FROM d GROUP BY kind, tau""",
+)
 def replayed_sweep(spark, d):
     """The same from the drafts themselves: canonical forms once, every threshold decided from them."""
     b = schemas.block_rows(spark, d, "kind", "text_a", "text_b", heavy=True)
