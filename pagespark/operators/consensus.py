@@ -210,7 +210,7 @@ def fix_reason(was: Column, now: Column) -> Column:
     for op in DOUBLED:
         twice = twice | (F.regexp_count(now, F.lit(op + op)) > F.regexp_count(was, F.lit(op + op)))
     indexes = lambda c: F.regexp_count(F.replace(c, F.lit("⁻"), F.lit("")), F.lit(r"\d(?:<(sub|sup)>[-−+]?\d+</\1>|[₀-₉⁰-⁹]+)"))
-    double_word = lambda c: c.rlike(rf"\b([{text.LETTER}]{{3,}}),\s*\1\b")
+    double_word = lambda c: c.rlike(rf"(?U)\b([{text.LETTER}]{{3,}}),\s*\1\b")
     hyphens = F.regexp_extract_all(now, F.lit(rf"([{text.LETTER}]{{2,}}-[{text.LETTER}]{{2,}})"), F.lit(1))
     return (
         F.when((was == now) | same_number(was, now), F.lit(None).cast("string"))

@@ -460,7 +460,32 @@ def draft_guard(spark, d):
     return guard.guarded(schemas.block_rows(spark, d, "book", "page", "kind", "parent", "drafts_status", "text_a", "text_b"))
 
 
-@query("judged_answers")
+_FORM_SQL = lambda c: f"CASE kind WHEN 'table' THEN {sqlforms.table_form(c)} WHEN 'formula' THEN {sqlforms.formula_form(c)} ELSE {sqlforms.text_form(c)} END"
+_LOOPS_SQL = "(length({c}) >= 600 AND len(list_filter(range(1, 201), lambda k: substr(right({c}, 600), CAST(k + 1 AS BIGINT), CAST(600 - k AS BIGINT)) = substr(right({c}, 600), 1, CAST(600 - k AS BIGINT)))) > 0)"
+_LETTERS_SQL = "regexp_extract_all(regexp_replace({c}, '<[^>]*>|\\$[^$]*\\$', ' ', 'g'), '\\p{{L}}+')"
+_KEPT_SQL = ", ".join(f"'{w}'" for w in consensus.KEPT_LATIN)
+_LATIN_SQL = f"(regexp_full_match(w, '[A-Za-z]{{3,}}') AND NOT regexp_full_match(w, '[IVXLCDM]+') AND lower(w) NOT IN ({_KEPT_SQL}))"
+
+
+@query(
+    "judged_answers",
+    f"""WITH {B}, x AS (SELECT id, coalesce(kind, '') AS kind, text_a, text_b, arbiter_text AS answer, arbiter_error AS error, nullif(trim(coalesce(text_a, ''), ' '), '') IS NOT NULL AS has_a, nullif(trim(coalesce(text_b, ''), ' '), '') IS NOT NULL AS has_b,
+      CASE WHEN kind = 'table' THEN regexp_replace(arbiter_text, '<img\\b[^>]*>', '', 'g') ELSE arbiter_text END AS bare FROM b WHERE arbiter_status IN ('done','rejected','failed')),
+    y AS (SELECT *, {_FORM_SQL("bare")} AS ans, CASE WHEN has_a THEN {_FORM_SQL("text_a")} END AS fa, CASE WHEN has_b THEN {_FORM_SQL("text_b")} END AS fb, NOT (has_a AND NOT {_LOOPS_SQL.format(c="text_a")}) AND has_b AS use_b,
+      list_transform(list_concat(CASE WHEN has_a THEN {_LETTERS_SQL.format(c="text_a")} ELSE [] END, CASE WHEN has_b THEN {_LETTERS_SQL.format(c="text_b")} ELSE [] END), lambda q: lower(q)) AS known, {_LETTERS_SQL.format(c="answer")} AS words FROM x),
+    z AS (SELECT *, CASE WHEN kind <> 'formula' THEN list_filter(words, lambda w: ({_LATIN_SQL} OR (regexp_matches(w, '[А-Яа-яЁё]') AND regexp_matches(w, '[A-Za-z]'))) AND NOT list_contains(known, lower(w)))[1] END AS script,
+      CASE WHEN fa IS NOT NULL AND ans IS NOT NULL THEN {sqlforms.distance("ans", "fa")} END AS da, CASE WHEN fb IS NOT NULL AND ans IS NOT NULL THEN {sqlforms.distance("ans", "fb")} END AS db FROM y),
+    n AS (SELECT *, CASE WHEN db IS NULL OR da < db OR (da = db AND fa <= fb) THEN da ELSE db END AS d, CASE WHEN db IS NULL OR da < db OR (da = db AND fa <= fb) THEN fa ELSE fb END AS t FROM z),
+    r AS (SELECT *, CASE WHEN script IS NULL THEN d / greatest(length(ans), length(t), 1) END AS cer, greatest(0.15::DOUBLE * length(t), 3.0) AS budget FROM n),
+    q AS (SELECT *, CASE WHEN script IS NOT NULL THEN 'script changed: ' || script WHEN d > budget THEN 'cer ' || format('{{:.3f}}', round(cer, 3)) || ': ' || d || ' chars > ' || CAST(round_even(budget, 0) AS BIGINT) END AS reason, CASE WHEN use_b THEN text_b ELSE text_a END AS ftext,
+      CASE WHEN use_b THEN 'fallback_b' ELSE 'fallback_a' END AS fsource, trim(answer, ' ') = '' AS blank, list_sort(list_distinct(list_filter(words, lambda w: {_LATIN_SQL}))) AS latin,
+      CASE WHEN len(regexp_extract_all(answer, '\\p{{L}}')) > 0 THEN len(regexp_extract_all(answer, '[А-Яа-яЁё]')) / len(regexp_extract_all(answer, '\\p{{L}}')) ELSE 1.0 END AS cyr FROM r)
+    SELECT id, CASE WHEN error IS NOT NULL OR answer IS NULL THEN 'failed' WHEN NOT has_a AND NOT has_b THEN CASE WHEN blank THEN 'failed' ELSE 'done' END WHEN reason IS NULL OR (coalesce(trim(ftext, ' ') = '', true) AND NOT blank) THEN 'done' ELSE 'rejected' END AS status,
+      CASE WHEN error IS NOT NULL OR answer IS NULL THEN fsource WHEN (NOT has_a AND NOT has_b) OR reason IS NULL OR (coalesce(trim(ftext, ' ') = '', true) AND NOT blank) THEN 'arbiter' ELSE fsource END AS source,
+      CASE WHEN error IS NULL AND answer IS NOT NULL AND (has_a OR has_b) THEN round(cer, 6) END AS cer,
+      CASE WHEN error IS NOT NULL OR answer IS NULL THEN coalesce(nullif(error, ''), 'no answer') WHEN NOT has_a AND NOT has_b THEN CASE WHEN blank THEN 'empty answer, no drafts' ELSE 'unverified: no drafts' || CASE WHEN kind = 'formula' THEN '' ELSE CASE WHEN len(latin) > 0 THEN '; latin: ' || array_to_string(latin, ', ') ELSE '' END
+        || CASE WHEN cyr < 0.5 THEN '; cyrillic share ' || format('{{:.2f}}', cyr) ELSE '' END END END WHEN reason IS NULL THEN NULL WHEN coalesce(trim(ftext, ' ') = '', true) AND NOT blank THEN 'kept: fallback empty: ' || reason ELSE reason END AS note FROM q""",
+)
 def judged_answers(spark, d):
     """Every stored answer judged against its drafts."""
     b = schemas.block_rows(spark, d, "kind", "text_a", "text_b", "arbiter_text", "arbiter_error", "arbiter_status", heavy=True).where("arbiter_status in ('done','rejected','failed')")
@@ -468,7 +493,41 @@ def judged_answers(spark, d):
     return j.select("id", "verdict.status", "verdict.source", F.round("verdict.cer", 6).alias("cer"), "verdict.note")
 
 
-@query("fix_reasons")
+# What the rules of corrections look at, as SQL of one side.
+_L_SQL = "A-Za-zА-Яа-яЁё"
+_NOSCRIPT_SQL = f"translate(regexp_replace(regexp_replace(regexp_replace({{c}}, '(?s)<(?:sub|sup)>.*?</(?:sub|sup)>', '', 'g'), '[\\^_]\\{{{{[^{{{{}}}}]*\\}}}}|[\\^_].', '', 'g'), '<[^<>]*>', '', 'g'), '{consensus.SCRIPT}', '')"
+_LOOKS_SQL = f"translate(translate(regexp_replace({{c}}, '<[^<>]*>', '', 'g'), '{consensus.SCRIPT}', '01234567890123456789'), '{consensus.CONFUSED}', '{consensus.CONFUSED_AS}')"
+_SIGNS_SQL = lambda c: f"regexp_extract_all({sqlforms.unescaped(f"regexp_replace({c}, '</?[A-Za-z][^<>]*>', '', 'g')")}, '[{consensus.RELATIONS}]')"
+_INDEX_SQL = "len(regexp_extract_all(replace({c}, '⁻', ''), '[0-9](?:<sub>[-−+]?[0-9]+</sub>|<sup>[-−+]?[0-9]+</sup>|[₀-₉⁰-⁹]+)'))"
+_BARE_SQL = "regexp_replace({c}, '(?s)<(?:sub|sup)>.*?</(?:sub|sup)>', ' ', 'g')"
+_ELEMENTS_SQL = ", ".join(f"'{e}'" for e in consensus.ELEMENTS)
+_COUNTED_SQL = lambda c: (
+    f"len(list_filter(regexp_extract_all({_BARE_SQL.format(c=c)}, '[{_L_SQL}]+'), lambda e: length(e) = 2 AND e IN ({_ELEMENTS_SQL}))) + len(list_filter(regexp_extract_all({_BARE_SQL.format(c=c)}, '%\\s*([A-Z])(?:[^{_L_SQL}]|$)', 1), lambda e: length(e) = 1 AND e IN ({_ELEMENTS_SQL})))"
+)
+_TWICE_SQL = lambda c: (
+    f"len(list_filter(range(1, len(string_split({c}, ','))), lambda i: regexp_extract(string_split({c}, ',')[i], '(?:^|[^\\p{{L}}\\p{{N}}_])([{_L_SQL}]{{3,}})$', 1) <> '' AND regexp_matches(string_split({c}, ',')[i + 1], '^\\s*' || regexp_extract(string_split({c}, ',')[i], '(?:^|[^\\p{{L}}\\p{{N}}_])([{_L_SQL}]{{3,}})$', 1) || '(?:[^\\p{{L}}\\p{{N}}_]|$)'))) > 0"
+)
+_FRACTION_SQL = "regexp_extract(trim({c}, ' '), '^0?([.,][0-9]+)$', 1)"
+_DOUBLED_SQL = " OR ".join(f"(length(now) - length(replace(now, '{op * 2}', ''))) > (length(was) - length(replace(was, '{op * 2}', '')))" for op in consensus.DOUBLED)
+_CYR_LAT_SQL = f"translate({{c}}, '{text.CYRILLIC_TWINS}', '{text.LATIN_TWINS}')"
+
+
+@query(
+    "fix_reasons",
+    f"""WITH {B}, j AS (SELECT DISTINCT ON (id) * FROM fixes ORDER BY id), f AS (SELECT id, block, was, now FROM j WHERE was IS NOT NULL AND now IS NOT NULL), refused AS (SELECT DISTINCT was, now FROM j WHERE state = 'reverted'),
+    w AS (SELECT lower(unnest({WORDS_SQL.format(t=TXT)})) AS word FROM b WHERE {TXT} IS NOT NULL), corpus AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+    chained AS (SELECT block, was AS t FROM f WHERE was <> now INTERSECT SELECT block, now FROM f WHERE was <> now),
+    x AS (SELECT f.*, f.was = f.now OR ({_FRACTION_SQL.format(c="f.was")} <> '' AND {_FRACTION_SQL.format(c="f.was")} = {_FRACTION_SQL.format(c="f.now")}) AS same, r.was IS NOT NULL AS denied, EXISTS (SELECT 1 FROM chained c WHERE c.block = f.block AND c.t IN (f.was, f.now)) AS shifts,
+      trim({_NOSCRIPT_SQL.format(c="f.was")}, ' ') AS pw, trim({_NOSCRIPT_SQL.format(c="f.now")}, ' ') AS pn, {_SIGNS_SQL("f.was")} AS sw, {_SIGNS_SQL("f.now")} AS sn, lower(rtrim(f.now, '.,:;')) AS bare, coalesce(corpus.n, 0) AS seen
+      FROM f LEFT JOIN refused r ON r.was = f.was AND r.now = f.now LEFT JOIN corpus ON corpus.word = lower(f.was))
+    SELECT id, block, was, now, CASE WHEN same THEN NULL WHEN denied THEN 'rejected by user' WHEN trim(was, ' ') <> '' AND trim(now, ' ') = '' THEN 'deletes text' WHEN {sqlforms.unescaped("was")} = {sqlforms.unescaped("now")} THEN 'escapes markup'
+      WHEN regexp_replace(pw, '[^0-9]', '', 'g') <> regexp_replace(pn, '[^0-9]', '', 'g') AND {_LOOKS_SQL.format(c="was")} <> {_LOOKS_SQL.format(c="now")} THEN 'changes digits' WHEN {_DOUBLED_SQL} THEN 'doubles operator'
+      WHEN len(list_filter(list_distinct(sw), lambda o: len(list_filter(sw, lambda p: p = o)) > len(list_filter(sn, lambda p: p = o)))) > 0 THEN 'changes operator' WHEN {_INDEX_SQL.format(c="now")} < {_INDEX_SQL.format(c="was")} THEN 'deletes index'
+      WHEN {_CYR_LAT_SQL.format(c="now")} = {_CYR_LAT_SQL.format(c="was")} AND {_COUNTED_SQL("now")} < {_COUNTED_SQL("was")} THEN 'element to Cyrillic' WHEN regexp_full_match(pw, '[A-Za-z]') AND regexp_full_match(pn, '[A-Za-z]') THEN 'ambiguous single letter'
+      WHEN pn <> '' AND pn <> pw AND contains(pw, pn) THEN 'deletes span' WHEN {_TWICE_SQL("now")} AND NOT ({_TWICE_SQL("was")}) THEN 'duplicates word'
+      WHEN len(list_filter(regexp_extract_all(now, '[{_L_SQL}]{{2,}}-[{_L_SQL}]{{2,}}'), lambda h: contains(was, replace(h, '-', '')) AND NOT contains(was, h))) > 0 THEN 'keeps line-break hyphen' WHEN shifts THEN 'shifts value'
+      WHEN regexp_full_match(was, '[{_L_SQL}]{{5,}}') AND regexp_full_match(bare, '[{_L_SQL}]{{5,}}') AND {sqlforms.distance("lower(was)", "bare")} <= 2 AND seen >= 2 THEN 'normalizes term' END AS reason FROM x""",
+)
 def fix_reasons(spark, d):
     """Rule by which each journalled correction would be refused."""
     f = schemas.scan(spark, d, "fixes", "id", "block", "was", "now", "state").dropDuplicates(["id"])

@@ -34,10 +34,7 @@ def words_apart(expr: str, pattern: str, var: str, word: str) -> str:
 
 def _composed(expr: str) -> str:
     """Entities, composition, script digits, look-alikes in Cyrillic words, dashes, quotes, decimal braces."""
-    e = expr
-    for entity, char in ENTITIES:
-        e = f"replace({e}, '{entity}', '{char}')"
-    e = f"translate(nfc_normalize({e}), '{forms.SCRIPT_DIGITS}', '{forms.BASE_DIGITS}')"
+    e = f"translate({unescaped(expr)}, '{forms.SCRIPT_DIGITS}', '{forms.BASE_DIGITS}')"
     e = words_apart(e, _WORD, "w", f"CASE WHEN regexp_matches(w, '[А-Яа-яЁё]') THEN translate(w, '{forms.LATIN_TWINS}', '{forms.CYRILLIC_TWINS}') ELSE w END")
     return f"replace(translate({e}, '{forms.DASHES}{forms.QUOTES}', '{'-' * len(forms.DASHES)}{quoted(forms.PLAIN_QUOTES)}'), '{{,}}', ',')"
 
@@ -46,6 +43,13 @@ def _squeezed(e: str) -> str:
     return rf"trim(regexp_replace({e}, '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{3000}}]+', ' ', 'g'))"
 
 
+def unescaped(expr: str) -> str:
+    """Entities undone and accents composed."""
+    for entity, char in ENTITIES:
+        expr = f"replace({expr}, '{entity}', '{char}')"
+    return f"nfc_normalize({expr})"
+
+
 def plain(expr: str) -> str:
     """The comparison form without the rule for signs between numbers."""
     return _squeezed(_composed(expr))

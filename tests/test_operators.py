@@ -55,6 +55,7 @@ def test_judge(spark):
 @pytest.mark.parametrize(
     "was, now, reason",
     [
+        ("сталь мягкая", "сталь, сталь мягкая", "duplicates word"), ("0,15", ",15", None), ("Po", "Ро", "element to Cyrillic"),
         ("C + 1/3 Si", "C + <sup>1/8</sup> Si", "changes digits"), ("1 дм³", "1 дм²", None), ("0,15", ",15", None), ("a×b", "a××b", "doubles operator"), ("т/мм", "т мм", "changes operator"), ("5.0<sub>2</sub>", "5.0", "deletes index"),
         ("слово", "", "deletes text"), ("a & b", "a &amp; b", "escapes markup"), ("l", "t", "ambiguous single letter"), ("длинный текст", "текст", "deletes span"), ("ковка", "ковка, ковка", "duplicates word"), ("перенос", "пере-нос", "keeps line-break hyphen"),
         ("0,3% C и Mo", "0,3% С и Мо", "element to Cyrillic"), ("трсбует", "требует", None), ("x", "x", None), ("СТО261", "CTO261", None), ("З5", "35", None),
