@@ -47,6 +47,20 @@ def test_every_start_is_measured():
         assert like == pytest.approx(1 - least / len(needle)) and (like == 0 or tables.levenshtein(needle, hay[start:end]) == least)
 
 
+def test_regions_lose_no_stretch():
+    rng = random.Random(5)
+    words = ["casting", "mould", "slowly", "the", "sand", "of", "a", "riser"]
+    for _ in range(120):
+        needle = " ".join(rng.choices(words, k=rng.randrange(6, 12)))
+        copy = list(needle)
+        for _ in range(rng.randrange(0, len(needle) // 4)):
+            copy[rng.randrange(len(copy))] = rng.choice("xyz ")
+        hay = " ".join(rng.choices(words, k=20)) + " " + "".join(copy) + " " + " ".join(rng.choices(words, k=20))
+        whole = markdown.best_stretch(needle, hay)
+        found = markdown.find_like(needle, hay, 0.8)
+        assert found[0] == (pytest.approx(whole[0]) if whole[0] >= 0.8 else 0)
+
+
 def test_order_looks_behind_the_last_hit_first():
     one, two = "the casting cools slowly in the mould", "a second paragraph with other words in it"
     assert markdown.order_share(f"{two} {one} {two.replace('words', 'w0rds')}", [one, two]) == 1
