@@ -738,7 +738,7 @@ def event_sessions(spark, d):
 )
 def error_streaks(spark, d):
     """Errors of a book in a row."""
-    return events.streaks(_events(spark, d), "book", F.coalesce(F.col("level") == "error", F.lit(False)), 2, ["id"])
+    return events.streaks(_events(spark, d), "book", F.coalesce(F.col("level") == "error", F.lit(False)), 2, "id")
 
 
 @query(

@@ -214,7 +214,7 @@ def test_scores(spark):
     assert {r.cat: r.best for r in evaluate.best(s, "cat", "name", "f1", "cer").collect()} == {"c": "n", "d": "m"}
 
 
-def test_events_and_diffs(spark):
+def test_events_and_diffs(spark, monkeypatch):
     import datetime as dt
 
     t = lambda m: dt.datetime(2031, 3, 1, 0, 0) + dt.timedelta(minutes=m)
@@ -223,7 +223,11 @@ def test_events_and_diffs(spark):
     assert e.count() == 6
     assert [(r.id, r.behind_s) for r in events.late(e).collect()] == [(5, 180 * 60)]
     assert sorted((r.session, r.n) for r in events.sessions(e, 3600, "book", ["id"]).collect()) == [(1, 3), (2, 1), (3, 1)]
-    assert [(r.start, r.n) for r in events.streaks(e, "book", F.col("level") == "error", 2, ["id"]).collect()] == [(2, 3)]
+    assert [(r.start, r.n) for r in events.streaks(e, "book", F.col("level") == "error", 2, "id").collect()] == [(2, 3)]
+    whole = [sorted(map(str, d.collect())) for d in (events.late(e), events.sessions(e, 3600, "book", ["id"]), events.streaks(e, "book", F.col("level") == "error", 2, "id"))]
+    monkeypatch.setattr(events, "IDS", 2)  # every stretch of two ids and of an hour
+    monkeypatch.setattr(events, "SECONDS", 3600)
+    assert whole == [sorted(map(str, d.collect())) for d in (events.late(e), events.sessions(e, 3600, "book", ["id"]), events.streaks(e, "book", F.col("level") == "error", 2, "id"))]
     assert {r.id: r.n for r in events.rolling(e, "book", 600).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 1}
     assert [r.id for r in events.tail(e, 2).collect()] == [5, 6]
     assert events.tumbling(e, "1 hour").agg(F.sum("n")).first()[0] == 6 and events.sliding(e, "1 hour", "30 minutes", "level").agg(F.sum("n")).first()[0] == 12
