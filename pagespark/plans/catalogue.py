@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import answers, homoglyphs, markdown, tables, text
+from ..functions import answers, homoglyphs, markdown, sketches, tables, text
 from ..operators import consensus, evaluate, events, geometry, guard, layout, pages, tablediff, vocabulary
 from ..sources import files
 from ..streaming import live
@@ -993,6 +993,14 @@ def streamed_breaker(spark, d):
     return live.run_once(live.breaker(live.events_stream(spark, f"{d}/library_events.parquet")), "append")
 
 
+@query("placed_sketches")
+def placed_sketches(spark, d):
+    """Tables with their pictures put into their cells, and the pictures that go behind them."""
+    b = schemas.block_rows(spark, d, "category", "final", "text_a", "text_b", "sketches").where((F.col("category") == "Table") & (F.size("sketches") > 0))
+    s = b.select("id", sketches.placed(F.coalesce("final", "text_a"), F.transform("sketches", lambda x: x["path"]), F.col("text_b")).alias("s"))
+    return s.select("id", "s.html", F.array_join("s.rest", ", ").alias("behind"), "s.note")
+
+
 @query("sanitized_answers")
 def sanitized_answers(spark, d):
     """Answers whose corrections the rules judged: text with the refused ones taken back."""

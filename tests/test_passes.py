@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagespark.functions import pixels
+from pagespark.functions import pixels, sketches
 from pagespark.operators import consensus, evaluate, geometry, pages, vocabulary
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
@@ -83,3 +83,31 @@ def test_figures(spark):
 def test_reports(spark):
     s = spark.createDataFrame([("c", "m", 0.5, None), ("c", "n", 0.5, 0.25), ("c", "o", None, 0.0)], "category string, book string, up double, down double")
     assert evaluate.comparison_report(s, "category", "book", "up", "down").first().report.split("\n")[2:] == ["| n | 0.5000 | 0.2500 |", "| m | 0.5000 | — |", "| o | — | 0.0000 |"]
+
+
+TABLE = "<table><tr><td>a<img></td><td>b<img/></td></tr></table>"
+
+
+@pytest.mark.parametrize(
+    "markup, paths, other, html, rest, note",
+    [
+        (TABLE, ["1.webp", "2.webp"], None, '<table><tr><td>a<img src="1.webp"/></td><td>b<img src="2.webp"/></td></tr></table>', [], None),
+        ('<table><tr><td><img n="2"><img n=1></td><td><img n="2"></td></tr></table>', ["x", "y"], None, '<table><tr><td><img src="y"/><img src="x"/></td><td></td></tr></table>', [], None),
+        ('<table><tr><td><img n="3"></td></tr></table>', ["x"], None, "<table><tr><td></td></tr></table>", ["x"], "1 sketches, 0 placed by arbiter: the rest appended after the table"),
+        (TABLE, [], None, "<table><tr><td>a</td><td>b</td></tr></table>", [], "0 sketches, 2 <img> slots: empty <img> removed"),
+        ("<table><tr><td>a</td><td>b</td></tr></table>", ["p"], "<table><tr><td>q</td><td>r<img></td></tr></table>", '<table><tr><td>a</td><td>b<img src="p"/></td></tr></table>', [], None),
+        ("<table><tr><td>Fig. 1</td><td>x<br>Fig. 2a</td></tr></table>", ["p", "q"], None, '<table><tr><td><img src="p"/><br/>Fig. 1</td><td>x<br><img src="q"/><br/>Fig. 2a</td></tr></table>', [], None),
+        ("<table><tr><td><img></td></tr></table>t<table></table>", ["p", "q"], None, '<table><tr><td><img src="p"/></td></tr></table>t<table></table>', ["q"], "2 sketches, 1 <img> slots: extra sketches appended after tables"),
+        ("no table <img>", ["p"], None, "no table ", ["p"], "table not parsed, sketches placed after it"),
+        ('<table><tr><td><img src="kept.png"></td></tr></table>', [], None, '<table><tr><td><img src="kept.png"></td></tr></table>', [], None),
+        ("<table><tr><td>a</td></tr></table>", ["p"], None, "<table><tr><td>a</td></tr></table>", ["p"], "1 sketches, 0 <img> slots: sketches placed after the table"),
+    ],
+)
+def test_sketches(markup, paths, other, html, rest, note):
+    assert sketches.place(markup, paths, other) == (html, rest, note)
+
+
+def test_sketch_columns(spark):
+    df = spark.createDataFrame([(TABLE, ["1", "2"], None), (None, ["1"], None), (TABLE, None, None)], "m string, s array<string>, o string")
+    got = [(r.x.html is None, list(r.x.rest)) for r in df.select(sketches.placed("m", "s", "o").alias("x")).collect()]
+    assert got == [(False, []), (True, ["1"]), (False, [])]
