@@ -67,3 +67,50 @@ def summary(reply: Column) -> Column:
     words = F.filter(F.transform(F.coalesce(got["keywords"], F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: k != "")
     good = F.trim(F.coalesce(got["description"], F.lit(""))) != ""
     return F.struct(F.when(good, F.trim(got["description"])).otherwise(F.trim(reply)).alias("description"), words.alias("keywords"), good.alias("parsed"))
+
+
+# --- books as one Markdown text with page anchors ----------------------------------------------------------------
+
+ANCHOR_PATTERN = r"<!-- page: [^>]*? scan: \S+ -->"
+
+
+def page_anchor(printed: Column, scan: Column) -> Column:
+    """Comment that begins a page of a book."""
+    return F.concat(F.lit("<!-- page: "), F.coalesce(printed, F.lit("?")), F.lit(" scan: "), scan, F.lit(" -->"))
+
+
+def without_front_matter(md: Column) -> Column:
+    return F.regexp_replace(md, r"(?s)\A---\n.*?\n---\n+", "")
+
+
+def cleaned_markdown(raw: Column) -> Column:
+    """A model's page without the fence round it and the coordinates behind its lines; ends in one line break."""
+    body = F.regexp_replace(F.regexp_replace(raw, r"\A\s+|\s+\z", ""), r"(?s)\A```(?:markdown|md)?\s*\n(.*?)\n?```\s*\z", "$1")
+    body = F.regexp_replace(F.regexp_replace(body, r"(?m)\s*\(\d+,\s*\d+\),\s*\(\d+,\s*\d+\)[ \t]*$", ""), r"\A\s+|\s+\z", "")
+    return F.when(body == "", "").otherwise(F.concat(body, F.lit("\n")))
+
+
+def contents_name(book: Column, taken: tuple[str, ...] = ("book", "quality")) -> Column:
+    """File name of a book's contents note; names of other files of the folder get an ending."""
+    return F.when(book.isin(*taken), F.concat(book, F.lit("-contents"))).otherwise(book)
+
+
+def candidate_name(stem: Column, suffix: Column, scan: Column) -> Column:
+    return F.format_string("%s_%s_%04d.jpg", stem, suffix, scan)
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds as 45s, 12m, 3h05m or 2d 4h; a dash where there are none."""
+    s = F.greatest(F.lit(0), F.floor(seconds + 0.5))
+    m = F.floor(s / 60 + 0.5)
+    h = F.floor(m / 60)
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    shown = F.when(s < 60, text(s, "s")).when(m < 60, text(m, "m")).when(h < 24, text(h, "h", F.lpad((m % 60).cast("string"), 2, "0"), "m"))
+    return F.when(seconds.isNull() | F.isnan(seconds), "—").otherwise(shown.otherwise(text(F.floor(h / 24), "d ", h % 24, "h")))
+
+
+def readable_table(markup: Column) -> Column:
+    """A table's markup for display: cells told apart by a bar, rows by lines; sub- and superscripts stay."""
+    for pattern, by in ((r"</t[dh]>\s*<t[dh][^>]*>", " │ "), (r"</tr>\s*", "\n"), (r"<br\s*/?>", " "), (r"<(?!/?(?:sub|sup)>)[^>]*>", "")):
+        markup = F.regexp_replace(markup, pattern, by)
+    return markup

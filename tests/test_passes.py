@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagespark.functions import pixels, sketches
-from pagespark.operators import consensus, evaluate, geometry, pages, vocabulary
+from pagespark.functions import notes, pixels, sketches
+from pagespark.operators import books, consensus, evaluate, geometry, pages, vocabulary
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 
@@ -111,3 +111,29 @@ def test_sketch_columns(spark):
     df = spark.createDataFrame([(TABLE, ["1", "2"], None), (None, ["1"], None), (TABLE, None, None)], "m string, s array<string>, o string")
     got = [(r.x.html is None, list(r.x.rest)) for r in df.select(sketches.placed("m", "s", "o").alias("x")).collect()]
     assert got == [(False, []), (True, ["1"]), (False, [])]
+
+
+def test_book_texts(spark):
+    md = "---\ntitle: x\n---\n\n# T\n<!-- page: 1 scan: 001 -->\nСталь 12 и сталь 45.\n<!-- page: ? scan: 002 -->\nЧугун 12 и дальше.\n<!-- page: 3 scan: 003 -->\nКонец."
+    df = spark.createDataFrame([("b", md), ("c", "no anchors"), ("d", None)], "book string, md string")
+    got = [(r.book, r.scan, md[r.start : r.start + len(r.text)] == r.text) for r in books.sections(df).orderBy("nth").collect()]
+    assert got == [("b", "001", True), ("b", "002", True), ("b", "003", True)]
+    rows = [("1", "b", "001", "сталь", None, None), ("2", "b", "001", "Чугун", None, None), ("3", "b", "001", "12", None, None), ("4", "b", "002", "сталь", None, None), ("5", "b", "001", "и", None, " сталь"), ("6", "z", "001", "и", None, None)]
+    fixes = spark.createDataFrame(rows, "id string, book string, scan string, token string, before string, after string")
+    at = {r.id: r for r in books.located_in_books(fixes, df).collect()}
+    assert {i: r.status for i, r in at.items()} == {"1": "token", "2": "token", "3": "token", "4": "absent", "5": "exact", "6": "absent"}
+    assert all(md[at[i].offset :].startswith(t) for i, t in (("1", "сталь"), ("2", "Чугун"), ("3", "12"), ("5", "и сталь"))) and at["2"].before == "\n" and at["1"].after == " 45.\n"
+    one = df.where("book = 'b'").select(notes.without_front_matter(F.col("md")).alias("x")).first().x
+    assert one.startswith("# T")
+
+
+def test_small_texts(spark):
+    df = spark.createDataFrame([("```markdown\n# A (1, 2), (3, 4)\ntext\n```", 45.4, "book"), ("  ", 3540.0, "x"), ("a", 7500.0, "quality"), ("b", 200000.0, None), ("c", None, "y")], "raw string, s double, b string")
+    rows = df.select(notes.cleaned_markdown(F.col("raw")).alias("m"), notes.duration(F.col("s")).alias("d"), notes.contents_name(F.col("b")).alias("n"), notes.candidate_name(F.col("b"), F.lit("pdf"), F.lit(7)).alias("c")).collect()
+    assert [r.m for r in rows] == ["# A\ntext\n", "", "a\n", "b\n", "c\n"] and [r.d for r in rows] == ["45s", "59m", "2h05m", "2d 7h", "—"]
+    assert [r.n for r in rows] == ["book-contents", "x", "quality-contents", None, "y"] and rows[0].c == "book_pdf_0007.jpg"
+    t = spark.createDataFrame([("<table><tr><td>a<sub>1</sub></td> <td>b<br>c</td></tr><tr><th>d</th></tr></table>",)], "t string")
+    assert t.select(notes.readable_table(F.col("t")).alias("x")).first().x == "a<sub>1</sub> │ b c\nd\n"
+    b = spark.createDataFrame([(1, "b", "p", 0, "Picture", None), (2, "b", "p", 1, "Caption", " Fig. [1]\nmore"), (3, "b", "p", 2, "Picture", None), (4, "b", "p", 3, "Text", "x"), (5, "b", "q", 0, "Picture", None)], "id long, book string, page string, ord int, category string, txt string")
+    assert {r.id: r.alt for r in books.alt_texts(b).collect()} == {1: "Fig. 1", 3: "Fig. 1", 5: ""}
+    assert df.select(notes.page_anchor(F.lit(None).cast("string"), F.lit("001")).alias("x")).first().x == "<!-- page: ? scan: 001 -->"
