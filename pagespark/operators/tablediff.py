@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,28 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def multiset_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.intersectAll(b)
+
+
+def united(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of all parts, each key once."""
+    out = parts[0].select(*keys)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*keys))
+    return out.distinct()
+
+
+def is_subset(part: DataFrame, whole: DataFrame, keys: list[str]) -> bool:
+    """Does ``whole`` have every key of ``part``?  NULL keys count as keys."""
+    on = [part[k].eqNullSafe(whole[k]) for k in keys]
+    return part.join(whole, on, "left_anti").isEmpty()
+
+
+def appended(parts: list[DataFrame], order: list[str]) -> DataFrame:
+    """All rows of the parts one behind the other, with their place: by part, then by ``order``."""
+    rows = [p.withColumn("_part", F.lit(k)) for k, p in enumerate(parts)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    before = out.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return out.withColumn("_at", within).join(F.broadcast(before.drop("_n")), "_part").withColumn("place", F.col("_base") + F.col("_at")).drop("_part", "_base", "_at")

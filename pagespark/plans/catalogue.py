@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import answers, homoglyphs, markdown, sketches, tables, text
-from ..operators import consensus, evaluate, events, geometry, guard, layout, pages, tablediff, vocabulary
+from ..operators import books, consensus, evaluate, events, geometry, guard, layout, pages, tablediff, vocabulary
 from ..sources import files
 from ..streaming import live
 from . import sqlforms
@@ -1001,6 +1001,17 @@ def placed_sketches(spark, d):
     return s.select("id", "s.html", F.array_join("s.rest", ", ").alias("behind"), "s.note")
 
 
+@query(
+    "picture_texts",
+    f"""WITH {B}, t AS (SELECT id, category, CASE WHEN category = 'Caption' AND trim({TXT}, ' ') <> '' THEN {TXT} END AS c, book, page, ord FROM b),
+    w AS (SELECT id, category, regexp_replace(coalesce(lead(c) OVER o, lag(c) OVER o, ''), '^\\s+|\\s+$', '', 'g') AS alt FROM t WINDOW o AS (PARTITION BY book, page ORDER BY ord, id))
+    SELECT id, left(regexp_replace(split_part(alt, chr(10), 1), '[\\[\\]]', '', 'g'), 200) AS alt FROM w WHERE category = 'Picture'""",
+)
+def picture_texts(spark, d):
+    """What every picture shows, by the caption beside it."""
+    return books.alt_texts(_blocks(spark, d, "book", "page", "ord", "category"))
+
+
 @query("sanitized_answers")
 def sanitized_answers(spark, d):
     """Answers whose corrections the rules judged: text with the refused ones taken back."""

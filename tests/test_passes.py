@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagespark.functions import notes, pixels, sketches
-from pagespark.operators import books, consensus, evaluate, geometry, pages, vocabulary
+from pagespark.operators import books, consensus, evaluate, geometry, pages, tablediff, vocabulary
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 
@@ -137,3 +137,10 @@ def test_small_texts(spark):
     b = spark.createDataFrame([(1, "b", "p", 0, "Picture", None), (2, "b", "p", 1, "Caption", " Fig. [1]\nmore"), (3, "b", "p", 2, "Picture", None), (4, "b", "p", 3, "Text", "x"), (5, "b", "q", 0, "Picture", None)], "id long, book string, page string, ord int, category string, txt string")
     assert {r.id: r.alt for r in books.alt_texts(b).collect()} == {1: "Fig. 1", 3: "Fig. 1", 5: ""}
     assert df.select(notes.page_anchor(F.lit(None).cast("string"), F.lit("001")).alias("x")).first().x == "<!-- page: ? scan: 001 -->"
+
+
+def test_row_sets(spark):
+    a, b = (spark.createDataFrame(rows, "k string, v int") for rows in ([("x", 1), (None, 2), ("x", 3)], [("y", 4), ("x", 5)]))
+    assert sorted(r.k or "" for r in tablediff.united([a, b], ["k"]).collect()) == ["", "x", "y"]
+    assert tablediff.is_subset(b.where("k = 'x'"), a, ["k"]) and not tablediff.is_subset(b, a, ["k"]) and tablediff.is_subset(a.limit(0), b, ["k"])
+    assert [(r.v, r.place) for r in tablediff.appended([a, b], ["v"]).orderBy("place").collect()] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
