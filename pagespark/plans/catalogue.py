@@ -111,14 +111,13 @@ def replayed_sweep(spark, d):
 
 @query(
     "digit_agreement",
-    f"""WITH {B} SELECT kind, count(*) AS blocks, count(*) FILTER (WHERE list_sort(regexp_extract_all(text_a, '[0-9]+(?:[.,][0-9]+)?')) = list_sort(regexp_extract_all(text_b, '[0-9]+(?:[.,][0-9]+)?'))) AS same
-    FROM b WHERE text_a IS NOT NULL AND text_b IS NOT NULL GROUP BY kind""",
+    f"""WITH {B} SELECT kind, count(*) AS blocks, count(*) FILTER (WHERE list_sort({sqlforms.numbers("text_a")}) = list_sort({sqlforms.numbers("text_b")})) AS same FROM b WHERE text_a IS NOT NULL AND text_b IS NOT NULL GROUP BY kind""",
 )
 def digit_agreement(spark, d):
     """In how many blocks do both drafts hold the same numbers, each as often?"""
     b = schemas.block_rows(spark, d, "kind", "text_a", "text_b").where("text_a is not null and text_b is not null")
-    n = lambda c: F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
-    return b.groupBy("kind").agg(F.count("*").alias("blocks"), F.count_if(text.same_multiset(n(F.col("text_a")), n(F.col("text_b")))).alias("same"))
+    same = text.same_multiset(text.numbers(F.col("text_a")), text.numbers(F.col("text_b")))
+    return b.select("kind", same.alias("same")).groupBy("kind").agg(F.count("*").alias("blocks"), F.count_if("same").alias("same"))
 
 
 @query(
@@ -720,6 +719,15 @@ def daily_events(spark, d):
     return events.tumbling(_events(spark, d), "1 day")
 
 
+@query(
+    "sliding_events",
+    f"""WITH {E_SQL}, w AS (SELECT level, time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - k * INTERVAL '12 hours' AS start FROM e, unnest([0, 1]) AS u(k) WHERE ts IS NOT NULL) SELECT start, level, count(*) AS n FROM w GROUP BY 1, 2""",
+)
+def sliding_events(spark, d):
+    """Events per level in windows of a day, one every twelve hours."""
+    return events.sliding(_events(spark, d), "1 day", "12 hours", "level")
+
+
 @query(
     "event_sessions",
     f"""WITH {E_SQL}, g AS (SELECT *, CAST(epoch(ts) AS BIGINT) - CAST(epoch(lag(ts) OVER (PARTITION BY book ORDER BY ts, id)) AS BIGINT) AS gap FROM e WHERE book IS NOT NULL),
