@@ -271,7 +271,32 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in own}
 
 
+def _one_misreading_sql(a: str, b: str) -> str:
+    """Two keys are equal but for one letter that was changed, lost, added or read as two, told letter by letter."""
+    s, t = f"(CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END)", f"(CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END)"
+    cut = f"len(list_filter(range(1, length({s}) + 2), lambda i: substr({s}, 1, i - 1) = substr({t}, 1, i - 1) AND (substr({s}, i) = substr({t}, i + 1) OR (i <= length({s}) AND substr({s}, i + 1) = substr({t}, i + 2))))) > 0"
+    changed = f"len(list_filter(range(1, length({a}) + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1))) <= 1"
+    return f"({a} = {b} OR CASE WHEN length({a}) = length({b}) THEN {changed} ELSE {cut} END)"
+
+
+def _repeated_sql(columns: str, late: str = "") -> str:
+    """Every key against every frequent one of its book: what the joins by halves must find."""
+    src, dst = lines._fold()
+    rule = lines.Rule()
+    key = f"regexp_replace(translate(replace(replace(replace(upper(line), 'ﬀ', 'FF'), 'ﬁ', 'FI'), 'ﬂ', 'FL'), '{src}', '{dst}'), '[^\\p{{L}}]+', '', 'g')"
+    return f"""WITH b AS (SELECT DISTINCT id, book AS source, page, category, final AS text FROM blocks), p AS (SELECT source, greatest({rule.min_pages}, ceil(count(DISTINCT page) * {rule.min_share} - 1e-9)) AS need FROM b WHERE source IS NOT NULL AND page IS NOT NULL GROUP BY source),
+    t AS (SELECT id, source, page, string_split(replace(text, chr(13), ''), chr(10)) AS ls FROM b WHERE text IS NOT NULL AND source IS NOT NULL AND page IS NOT NULL AND coalesce(category, '') NOT IN ('Table', 'Formula', 'Picture')),
+    l AS (SELECT id, source, page, CAST(unnest(range(0, len(ls))) AS INTEGER) AS line_no, unnest(ls) AS line FROM t), k AS (SELECT id, source, page, line_no, {key} AS key FROM l),
+    o AS (SELECT DISTINCT source, key, page FROM k WHERE length(key) >= {rule.min_letters}), r AS (SELECT source, key, count(*) AS pages FROM o GROUP BY ALL), c AS (SELECT r.source, r.key AS centre, p.need FROM r JOIN p ON p.source = r.source WHERE r.pages >= p.need * {rule.centre_share}),
+    m AS (SELECT c.source, c.centre, c.need, r.key FROM c JOIN r ON r.source = c.source AND abs(length(r.key) - length(c.centre)) <= 1 AND {_one_misreading_sql("r.key", "c.centre")}),
+    g AS (SELECT m.source, m.centre FROM m JOIN o ON o.source = m.source AND o.key = m.key GROUP BY m.source, m.centre, m.need HAVING count(DISTINCT o.page) >= m.need),
+    f AS (SELECT DISTINCT m.source, m.key FROM m JOIN g ON g.source = m.source AND g.centre = m.centre), h AS (SELECT DISTINCT k.id, k.line_no FROM k JOIN f ON f.source = k.source AND f.key = k.key) {columns}"""
+
+
 def oracle_sql() -> dict[str, str]:
+    kept = "array_to_string(list_transform(list_filter(list_zip(t.ls, range(0, len(t.ls))), lambda z: NOT list_contains(d.gone, z[2])), lambda z: z[1]), chr(10))"
     return {
+        "p1_found": _repeated_sql("SELECT id, line_no FROM h"),
+        "p1_clean": _repeated_sql(f", d AS (SELECT id, list(line_no) AS gone FROM h GROUP BY id) SELECT DISTINCT d.id, {kept} AS clean FROM d JOIN t ON t.id = d.id"),
         "p3_found": "SELECT DISTINCT b.id FROM blocks b JOIN split_limits l ON b.category = l.category WHERE length(b.final) > l.max_chars",
     }
