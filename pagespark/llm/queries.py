@@ -293,10 +293,24 @@ def _repeated_sql(columns: str, late: str = "") -> str:
     f AS (SELECT DISTINCT m.source, m.key FROM m JOIN g ON g.source = m.source AND g.centre = m.centre), h AS (SELECT DISTINCT k.id, k.line_no FROM k JOIN f ON f.source = k.source AND f.key = k.key) {columns}"""
 
 
+def _lookalikes_sql() -> str:
+    """Tokens that don't stand as they look, by classes of characters, and designations by the letters they look like."""
+    k = skeleton
+    twins = "".join(map(chr, k.PROTO)), "".join(k.PROTO.values())
+    letters = {"c": k._CYR, "l": k._LAT, "g": k._GRK}
+    meet = "|".join(f"[{x}][{y}]" for m, x in letters.items() for n, y in letters.items() if m != n)
+    token = f"[0-9{k._CYR}{k._LAT}{k._GRK}{k.INVISIBLE}{k.JOINED}{k.ACCENT}]+|[{k.ODD_SPACE}]+"
+    values = " UNION ALL ".join(f"SELECT DISTINCT id, '{f}' AS field, {f} AS v FROM blocks WHERE {f} IS NOT NULL" for f in ("text_a", "final"))
+    return f"""WITH x AS ({values}), t AS (SELECT id, field, unnest(list_distinct(regexp_extract_all(v, '{token}'))) AS w FROM x), codes AS (SELECT DISTINCT code FROM grades WHERE regexp_matches(code, '[^0-9][0-9]|[0-9][^0-9]')),
+    looks AS (SELECT DISTINCT translate(code, '{twins[0]}', '{twins[1]}') AS form FROM codes)
+    SELECT DISTINCT id, field FROM t WHERE w NOT IN (SELECT code FROM codes) AND (regexp_matches(w, '[{k.INVISIBLE}{k.ODD_SPACE}{k.JOINED}]') OR nfc_normalize(w) <> w OR regexp_matches(w, '{meet}') OR translate(w, '{twins[0]}', '{twins[1]}') IN (SELECT form FROM looks))"""
+
+
 def oracle_sql() -> dict[str, str]:
     kept = "array_to_string(list_transform(list_filter(list_zip(t.ls, range(0, len(t.ls))), lambda z: NOT list_contains(d.gone, z[2])), lambda z: z[1]), chr(10))"
     return {
         "p1_found": _repeated_sql("SELECT id, line_no FROM h"),
         "p1_clean": _repeated_sql(f", d AS (SELECT id, list(line_no) AS gone FROM h GROUP BY id) SELECT DISTINCT d.id, {kept} AS clean FROM d JOIN t ON t.id = d.id"),
+        "p6_found": _lookalikes_sql(),
         "p3_found": "SELECT DISTINCT b.id FROM blocks b JOIN split_limits l ON b.category = l.category WHERE length(b.final) > l.max_chars",
     }
