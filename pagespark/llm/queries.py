@@ -306,11 +306,21 @@ def _lookalikes_sql() -> str:
     SELECT DISTINCT id, field FROM t WHERE w NOT IN (SELECT code FROM codes) AND (regexp_matches(w, '[{k.INVISIBLE}{k.ODD_SPACE}{k.JOINED}]') OR nfc_normalize(w) <> w OR regexp_matches(w, '{meet}') OR translate(w, '{twins[0]}', '{twins[1]}') IN (SELECT form FROM looks))"""
 
 
+def _repetition_sql() -> str:
+    """Values at least half of whose letters lie in a window of letters that the value has shown before."""
+    w = repetition.WINDOW
+    values = " UNION ALL ".join(f"SELECT DISTINCT id, '{f}' AS field, {f} AS v FROM blocks WHERE {f} IS NOT NULL AND coalesce(category, '') NOT IN ('Table', 'Formula', 'Picture')" for f in ("text_b", "arbiter_text", "arbiter_raw"))
+    return f"""WITH x AS ({values}), t AS (SELECT id, field, regexp_replace(lower(replace(v, '\\n', chr(10))), '[\\p{{Nd}}\\s\\pZ]+', '', 'g') AS s FROM x), p AS (SELECT id, field, length(s) AS n, unnest(list_transform(range(1, length(s) - {w} + 2), lambda i: {{'pos': i, 'piece': substr(s, i, {w})}})) AS q FROM t WHERE length(s) > {w}),
+    seen AS (SELECT id, field, n, q.pos AS pos FROM p QUALIFY row_number() OVER (PARTITION BY id, field, q.piece ORDER BY q.pos) > 1), c AS (SELECT DISTINCT id, field, n, unnest(range(pos, pos + {w})) AS letter FROM seen)
+    SELECT id, field FROM c GROUP BY id, field, n HAVING count(*) >= 0.5 * n"""
+
+
 def oracle_sql() -> dict[str, str]:
     kept = "array_to_string(list_transform(list_filter(list_zip(t.ls, range(0, len(t.ls))), lambda z: NOT list_contains(d.gone, z[2])), lambda z: z[1]), chr(10))"
     return {
         "p1_found": _repeated_sql("SELECT id, line_no FROM h"),
         "p1_clean": _repeated_sql(f", d AS (SELECT id, list(line_no) AS gone FROM h GROUP BY id) SELECT DISTINCT d.id, {kept} AS clean FROM d JOIN t ON t.id = d.id"),
+        "p4_found": _repetition_sql(),
         "p6_found": _lookalikes_sql(),
         "p3_found": "SELECT DISTINCT b.id FROM blocks b JOIN split_limits l ON b.category = l.category WHERE length(b.final) > l.max_chars",
     }
