@@ -46,10 +46,11 @@ def page_rows(spark: SparkSession, d: str) -> DataFrame:
 def block_rows(spark: SparkSession, d: str, *cols: str, heavy: bool = False) -> DataFrame:
     """Blocks with one row per id; whole rows are repeated, so any of them will do.
 
-    ``heavy`` is for queries that spend long on each row: the rows are rebalanced by id, so adaptive execution splits
-    them by their size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) whatever the number of shuffle partitions.
+    ``heavy`` is for queries that spend long on each row: adaptive coalescing goes by bytes and would leave few, long tasks,
+    so the same one shuffle gets as many partitions as the scan has splits (these grow with the input), at least one per core.
     """
     rows = scan(spark, d, "blocks", "id", *cols)
     if heavy:
-        return rows.dropDuplicates(["id"]).hint("rebalance", "id")
+        splits = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+        rows = rows.repartition(splits, "id")
     return rows.dropDuplicates(["id"])
